@@ -6,8 +6,8 @@ language that the targets don't name belongs to class ``*``, so the table of tot
 x topics cells, however large the corpus; it alone is collected, and the fitted cells alone are broadcast. A target of a class without tokens is
 dropped and the others of its kind are scaled up.
 
-A document is drawn with its cell's probability: fitted share over actual share, times the largest rate that keeps every
-probability within 1 and the whole sample within ``sample_share``. The draw compares it with a number from a digest of the id, so it is the same on every run.
+A document is drawn with its cell's probability, ``min(1, rate * fitted share / actual share)``; the rate is the one at which the expected
+sample holds ``sample_share`` of all tokens. A cell whose probability reaches 1 gives all it has. The draw compares it with a number from a digest of the id, so it is the same on every run.
 Pre-aggregation by cell makes hot sources cheap; no join or shuffle carries texts.
 
 Null or unnamed sources and languages are class ``*``; null and empty texts have 0 tokens, topic ``prose``, and are drawn with their cell's
@@ -35,8 +35,8 @@ class Targets:
 
     source: dict[str, float] = field(default_factory=lambda: {"src0": 0.25, "*": 0.75})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.1, "*": 0.01})
-    topic: dict[str, float] = field(default_factory=lambda: {"tabular": 0.05, "technical": 0.25, "prose": 0.7})
-    sample_share: float = 0.9
+    topic: dict[str, float] = field(default_factory=lambda: {"tabular": 0.05, "technical": 0.1, "prose": 0.85})
+    sample_share: float = 0.8
 
     def kinds(self) -> tuple[tuple[str, dict[str, float]], ...]:
         return ("source_class", self.source), ("lang_class", self.lang), ("topic", self.topic)
@@ -74,8 +74,11 @@ def rake(cells: list[tuple[str, str, str, float]], targets: Targets) -> dict[tup
                 mass = fitted[rows].sum()
                 fitted[rows] *= goal / mass if mass > 0 else 0.0
     weight = np.divide(fitted, share, out=np.ones_like(share), where=share > 0)
-    rate = min(targets.sample_share, 1.0 / weight[share > 0].max())
-    return {k: (float(w), float(min(1.0, rate * w)) if a > 0 else 1.0) for k, w, a in zip(keys, weight, actual, strict=True)}
+    order = np.argsort(-weight, kind="stable")
+    spent, left = np.cumsum(share[order]) - share[order], np.cumsum(fitted[order][::-1])[::-1]
+    rates = [(targets.sample_share - a) / f for a, f in zip(spent, left, strict=True) if f > 0]
+    rate = next((r for r, w in zip(rates, weight[order], strict=False) if r * w <= 1), float("inf"))
+    return {k: (float(w), float(min(1.0, max(0.0, rate * w))) if a > 0 and w > 0 else float(a <= 0)) for k, w, a in zip(keys, weight, actual, strict=True)}
 
 
 def draw(doc_id: Column) -> Column:
@@ -125,8 +128,10 @@ def oracle(targets: Targets | None = None) -> str:
         for k, _named in targets.kinds():
             sql.append(f"f{n + 1} AS MATERIALIZED (SELECT source_class, lang_class, topic, CASE WHEN s > 0 THEN x * coalesce(g, 0) / s ELSE 0 END AS x FROM (SELECT *, sum(x) OVER (PARTITION BY {k}) AS s FROM f{n}) LEFT JOIN t_{k} ON v = {k})")
             n += 1
-    sql.append(f"w AS MATERIALIZED (SELECT a.source_class, a.lang_class, a.topic, b.x / a.x AS weight FROM f0 a JOIN f{n} b USING (source_class, lang_class, topic))")
-    sql.append(f"rate AS MATERIALIZED (SELECT least({targets.sample_share}, 1 / max(weight)) AS r FROM w)")
-    sql.append("p AS MATERIALIZED (SELECT *, least(1.0, r * weight) AS probability FROM w, rate)")
+    sql.append(f"w AS MATERIALIZED (SELECT a.source_class, a.lang_class, a.topic, b.x / a.x AS weight, a.x AS a, b.x AS f FROM f0 a JOIN f{n} b USING (source_class, lang_class, topic))")
+    order = "ORDER BY weight DESC, source_class, lang_class, topic ROWS BETWEEN"
+    sql.append(f"k AS MATERIALIZED (SELECT weight, ({targets.sample_share} - coalesce(sum(a) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(f) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS r FROM w)")
+    sql.append("rate AS MATERIALIZED (SELECT r FROM k WHERE r * weight <= 1 ORDER BY weight DESC LIMIT 1)")
+    sql.append("p AS MATERIALIZED (SELECT *, least(1.0, greatest(0.0, r * weight)) AS probability FROM w, rate)")
     digest = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0"
     return "WITH " + ",\n".join(sql) + f"\nSELECT doc_id, source_class, lang_class, topic, tokens, round(coalesce(weight, 1.0), 6) AS weight, round(coalesce(probability, 1.0), 6) AS probability, {digest} < coalesce(probability, 1.0) AS sampled FROM d LEFT JOIN p USING (source_class, lang_class, topic)"
