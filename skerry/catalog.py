@@ -1,7 +1,263 @@
-"""All queries of the library by name, with the SQL that they are held against."""
+"""All queries of the library by name, with the SQL that they are held against.
+
+Searches take every row whose id is divisible by 20 as a query, against all rows. Clusters are the table's labels, centroids their means.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from skerry.functions import vectors as V
+from skerry.operators import analysis as A
+from skerry.operators import search as S
+from skerry.streaming.ingest import tumbling
+
+K, NPROBE, D_K, EPS, EVERY = 10, 3, 1.6, 0.05, 20
 FLAGSHIP = "ivf_search"
+
+
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), "embedding", F.col("label").alias("cluster_id"))
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    return _base(spark, sf).filter(f"row_id % {EVERY} = 0").select(F.col("row_id").alias("qid"), V.as_double(F.col("embedding")).alias("qvec"))
+
+
+def _centroids(base: DataFrame) -> DataFrame:
+    means = base.select("cluster_id", F.posexplode("embedding").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return means.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("a")).select("cluster_id", F.col("a.m").alias("centroid"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 5) for c in columns})
+
+
+def exact_search(spark, sf):
+    return _rounded(S.exact_search(_queries(spark, sf), _base(spark, sf), K), "dist")
+
+
+def exact_search_ip(spark, sf):
+    return _rounded(S.exact_search(_queries(spark, sf), _base(spark, sf), K, "ip"), "dist")
+
+
+def _found(spark, sf):
+    base = _base(spark, sf)
+    return S.ivf_search(_queries(spark, sf), _centroids(base), base, base, K, NPROBE)
+
+
+def ivf_search(spark, sf):
+    """Search with payload: the documents' columns are joined to the final rows alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "lang", "source")
+    return _rounded(S.with_payload(_found(spark, sf), docs), "dist").select("qid", "rank", "row_id", "dist", "lang", "source")
+
+
+def route(spark, sf):
+    return _rounded(S.route(_queries(spark, sf), _centroids(_base(spark, sf)), NPROBE), "score").select("qid", "cluster_id", "cluster_rank", "score")
+
+
+def route_two_level(spark, sf):
+    cent = _centroids(_base(spark, sf)).withColumn("super_id", F.col("cluster_id") % 3)
+    means = cent.select("super_id", F.posexplode("centroid").alias("i", "x")).groupBy("super_id", "i").agg(F.avg("x").alias("m"))
+    supers = means.groupBy("super_id").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("a")).select("super_id", F.col("a.m").alias("super_centroid"))
+    return _rounded(S.route_two_level(_queries(spark, sf), cent, supers, NPROBE, 2), "score").select("qid", "cluster_id", "cluster_rank", "score")
+
+
+def assign(spark, sf):
+    base = _base(spark, sf)
+    return _rounded(S.assign(base.drop("cluster_id"), _centroids(base), 10), "norm")
+
+
+def cluster_report(spark, sf):
+    base = _base(spark, sf)
+    own = base.join(F.broadcast(_centroids(base)), "cluster_id").withColumn("norm", V.norm(V.residual(F.col("embedding"), F.col("centroid"))))
+    out = own.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("norm").alias("r_max"), F.avg("norm").alias("mean_norm"), F.stddev_pop("norm").alias("std_norm"))
+    return _rounded(out, "r_max", "mean_norm", "std_norm")
+
+
+def _candidates(spark, sf):
+    """Every query against every row: stage-1 estimate from sign codes, exact distance, norms, and whether it is one of the K nearest."""
+    base = _base(spark, sf)
+    cent = _centroids(base)
+    coded = base.join(F.broadcast(cent), "cluster_id").withColumn("r", V.residual(F.col("embedding"), F.col("centroid")))
+    coded = coded.select("row_id", "cluster_id", "embedding", V.sign_code(F.col("r")).alias("code"), V.norm(F.col("r")).alias("norm_oc"))
+    q = _queries(spark, sf).crossJoin(F.broadcast(cent)).withColumn("r", V.residual(F.col("qvec"), F.col("centroid")))
+    q = q.select("qid", "qvec", "cluster_id", V.sign_code(F.col("r")).alias("qcode"), V.norm(F.col("r")).alias("norm_qc"))
+    both = q.join(coded, "cluster_id")
+    est = V.popcount_distance(V.hamming(F.col("code"), F.col("qcode")), 64, F.col("norm_oc"), F.col("norm_qc"))
+    both = both.select("qid", "row_id", "cluster_id", "norm_oc", "norm_qc", est.alias("est"), V.l2sq(F.col("qvec"), F.col("embedding")).alias("true"))
+    near = F.row_number().over(W.Window.partitionBy("qid").orderBy("true", "row_id")) <= K
+    return both.withColumn("is_true", near).withColumn("margin", F.col("norm_oc") * F.col("norm_qc") * EPS)
+
+
+def _classed(spark, sf):
+    c = F.col
+    return _candidates(spark, sf).withColumn("cls", V.classify_margin(c("est"), F.lit(D_K), F.lit(D_K), c("margin")))
+
+
+def stage1_classes(spark, sf):
+    return A.class_counts(_classed(spark, sf), "qid")
+
+
+def stage1_error(spark, sf):
+    c = _candidates(spark, sf)
+    e = F.abs(F.col("est") - F.col("true"))
+    return _rounded(c.agg(F.avg(e).alias("mae"), F.avg(F.when(F.col("true") > 1e-8, e / F.col("true"))).alias("mean_rel"), F.percentile(e, F.lit(0.95)).alias("p95"), F.percentile(e, F.lit(0.99)).alias("p99")), "mae", "mean_rel", "p95", "p99")
+
+
+def budget_search(spark, sf):
+    """The 50 best estimates of each query, reranked."""
+    c = _candidates(spark, sf).withColumn("cluster_rank", F.lit(1))
+    kept = S.budget(c, 50)
+    return _rounded(S.top_per(kept, "qid", K, "true", "row_id").select("qid", "rank", "row_id", F.col("true").alias("dist")), "dist")
+
+
+def recall(spark, sf):
+    truth = S.exact_search(_queries(spark, sf), _base(spark, sf), K)
+    ids = lambda df, name: df.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "row_id"))).alias("x")).select("qid", F.col("x.row_id").alias(name))
+    both = ids(truth, "gt").join(ids(_found(spark, sf), "found"), "qid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
+    return _rounded(both.select("qid", *(V.recall_at(F.col("found"), F.col("gt"), k).cast("double").alias(f"recall_{k}") for k in (1, 5, 10))), "recall_1", "recall_5", "recall_10")
+
+
+def calibration(spark, sf):
+    """d_k by the low-index rule and by interpolation, and the normalised error by the upper-index rule."""
+    c = _candidates(spark, sf)
+    kth = A.kth_distances(c.select("qid", F.col("true").alias("dist")), K)
+    n = kth.count()
+    low = A.low_index(0.9, n)
+    ranked = kth.select("kth", F.row_number().over(W.Window.orderBy("kth")).alias("r"))  # a row for each sampled query
+    near = c.filter(F.col("true").between(0.1 * D_K, 10 * D_K) & (F.col("norm_oc") * F.col("norm_qc") > 0))
+    e = A.normalised_error(F.col("est"), F.col("true"), F.col("norm_oc"), F.col("norm_qc"))
+    out = ranked.agg(F.max(F.when(F.col("r") == low + 1, F.col("kth"))).alias("d_k_low"), F.percentile("kth", F.lit(0.9)).alias("d_k_linear"))
+    return _rounded(out.crossJoin(near.agg(F.percentile(e, F.lit(0.5)).alias("eps_mid"), F.max(e).alias("eps_max"))), "d_k_low", "d_k_linear", "eps_mid", "eps_max")
+
+
+def margin_replay(spark, sf):
+    c = _candidates(spark, sf).withColumn("d_k", F.lit(D_K))
+    return _rounded(A.margin_replay(c, [0.0, 0.5, 1.0, 2.0]), "safein_rate", "false_safein_rate")
+
+
+def grid_replay(spark, sf):
+    c = _candidates(spark, sf).withColumn("norms", F.col("norm_oc") * F.col("norm_qc"))
+    return A.grid_replay(c, [1.2, 1.6, 2.0], [0.0, 0.05, 0.1])
+
+
+def confusion(spark, sf):
+    c = _classed(spark, sf).withColumn("exact", V.classify_margin(F.col("true"), F.lit(D_K), F.lit(D_K), F.col("margin")))
+    return _rounded(A.confusion(c, "exact", "cls"), "pct")
+
+
+def geometry(spark, sf):
+    c = _candidates(spark, sf)
+    return _rounded(A.distribution(c, ["norm_oc", "norm_qc", "margin"]), "mean", "p50", "p95", "p99", "max")
+
+
+def convergence(spark, sf):
+    """The k-th best exact distance after each further cluster, where there are k candidates."""
+    base = _base(spark, sf)
+    probes = S.route(_queries(spark, sf), _centroids(base), 4)
+    full = probes.join(base, "cluster_id").select("qid", "cluster_rank", "row_id", V.l2sq(F.col("qvec"), F.col("embedding")).alias("dist"))
+    upto = full.withColumn("probed", F.explode(F.sequence("cluster_rank", F.lit(4))))
+    ranked = upto.withColumn("r", F.row_number().over(W.Window.partitionBy("qid", "probed").orderBy("dist", "row_id"))).filter(F.col("r") == K)
+    return _rounded(ranked.select("qid", "probed", F.col("dist").alias("kth")), "kth")
+
+
+def frontier(spark, sf):
+    base = _base(spark, sf)
+    ranks = S.route(_queries(spark, sf), _centroids(base), 4).select("qid", "cluster_id", "cluster_rank")
+    c = _candidates(spark, sf).join(ranks, ["qid", "cluster_id"]).withColumn("safein_d_k", F.lit(D_K))
+    return S.frontier_search(c.select("qid", "cluster_rank", "row_id", "est", "margin", "safein_d_k"), K)
+
+
+def label_entropy(spark, sf):
+    return _rounded(A.entropy_bits(_base(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"))), "entropy")
+
+
+def source_dictionary(spark, sf):
+    return A.dictionary(spark.read.parquet(f"{sf}/documents.parquet"), "source", "doc_id")
+
+
+def validation(spark, sf):
+    return A.validate(_base(spark, sf))
+
+
+def normalised(spark, sf):
+    b = _base(spark, sf)
+    scaled = b.select("row_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    return _rounded(scaled.select("row_id", V.norm(F.col("v")).alias("norm"), V.norm(V.l2_normalize(F.col("v"))).alias("unit"), F.size(V.pad_to(F.slice("v", 1, 48))).alias("padded"), V.popcount_total(V.sign_code(F.col("v"))).alias("positive")), "norm", "unit")
+
+
+def spearman(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    return _rounded(A.spearman(c, "c_acctbal", "c_nationkey", "c_custkey"), "rho")
+
+
+def payload_projection(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    return c.select("c_custkey", "c_name", "c_acctbal")
+
+
+def event_windows(spark, sf):
+    return _rounded(tumbling(spark.read.parquet(f"{sf}/events.parquet")), "total")
+
+
+QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
+
+_D = "pow(list_distance(qvec, e), 2)"
+_CTE = f"""WITH b AS MATERIALIZED (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS e, label AS cluster_id FROM embeddings),
+q AS MATERIALIZED (SELECT row_id AS qid, e AS qvec FROM b WHERE row_id % {EVERY} = 0),
+m AS MATERIALIZED (SELECT cluster_id, i, avg(x) AS m FROM (SELECT cluster_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM b) GROUP BY ALL),
+c AS MATERIALIZED (SELECT cluster_id, list(m ORDER BY i) AS cent FROM m GROUP BY cluster_id),
+p AS MATERIALIZED (SELECT qid, qvec, cluster_id, pow(list_distance(qvec, cent), 2) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY list_distance(qvec, cent), cluster_id) AS INTEGER) AS cluster_rank FROM q, c),
+x AS MATERIALIZED (SELECT qid, row_id, {_D} AS dist FROM q, b),
+gt AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row_id) AS INTEGER) AS rank FROM x) WHERE rank <= {K}),
+ivf AS MATERIALIZED (SELECT * FROM (SELECT qid, row_id, {_D} AS dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_D}, row_id) AS INTEGER) AS rank FROM p JOIN b USING (cluster_id) WHERE cluster_rank <= {NPROBE}) WHERE rank <= {K}),
+s AS MATERIALIZED (SELECT qid, b.row_id, b.cluster_id, list_distance(e, cent) AS norm_oc, list_distance(qvec, cent) AS norm_qc, {_D} AS tru,
+  list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] - cent[i] >= 0) <> (qvec[i] - cent[i] >= 0) THEN 1 ELSE 0 END)) AS h FROM q, b JOIN c USING (cluster_id)),
+k AS MATERIALIZED (SELECT *, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * (1 - 2 * h / 64.0)) AS est, norm_oc * norm_qc * {EPS} AS margin, row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) <= {K} AS is_true FROM s)
+"""
+
+
+def _cls(d: str, scale: float = 1.0) -> str:
+    return f"CASE WHEN {d} > {D_K} + 2 * margin THEN 'SafeOut' WHEN {d} < {D_K} - 2 * {scale} * margin THEN 'SafeIn' ELSE 'Uncertain' END"
+
+
+_COUNTS = "count(*) FILTER (cls = 'SafeIn') AS safein, count(*) FILTER (cls = 'SafeOut') AS safeout, count(*) FILTER (cls = 'Uncertain') AS uncertain, count(*) FILTER (cls = 'SafeIn' AND NOT is_true) AS false_safein, count(*) FILTER (cls = 'SafeOut' AND is_true) AS false_safeout"
+_RECALL = ", ".join(f"round(count(*) FILTER (g.rank <= {k} AND f.rank <= {k}) / {float(k)}, 5) AS recall_{k}" for k in (1, 5, 10))
+_REPLAY = " UNION ALL ".join(f"SELECT CAST({s} AS DOUBLE) AS scale, is_true, {_cls('est', s)} AS cls FROM k" for s in (0.0, 0.5, 1.0, 2.0))
+_GRID = ", ".join(f"(CAST({d} AS DOUBLE), CAST({e} AS DOUBLE))" for d in (1.2, 1.6, 2.0) for e in (0.0, 0.05, 0.1))
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS v FROM k" for c in ("norm_oc", "norm_qc", "margin"))
+
+ORACLE = {
+    "exact_search": _CTE + "SELECT qid, rank, row_id, round(dist, 5) AS dist FROM gt",
+    "exact_search_ip": _CTE + f"SELECT qid, rank, row_id, round(dist, 5) AS dist FROM (SELECT qid, row_id, -list_dot_product(qvec, e) AS dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY -list_dot_product(qvec, e), row_id) AS INTEGER) AS rank FROM q, b) WHERE rank <= {K}",
+    "ivf_search": _CTE + "SELECT qid, rank, row_id, round(dist, 5) AS dist, lang, source FROM ivf LEFT JOIN documents ON doc_id = row_id",
+    "route": _CTE + f"SELECT qid, cluster_id, cluster_rank, round(score, 5) AS score FROM p WHERE cluster_rank <= {NPROBE}",
+    "route_two_level": _CTE + f""", sm AS (SELECT cluster_id % 3 AS super_id, i, avg(m) AS m FROM m GROUP BY ALL), sc AS (SELECT super_id, list(m ORDER BY i) AS cent FROM sm GROUP BY super_id),
+sp AS (SELECT qid, qvec, super_id, row_number() OVER (PARTITION BY qid ORDER BY -list_dot_product(qvec, cent), super_id) AS r FROM q, sc)
+SELECT qid, cluster_id, cluster_rank, round(score, 5) AS score FROM (SELECT qid, cluster_id, -list_dot_product(qvec, cent) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY -list_dot_product(qvec, cent), cluster_id) AS INTEGER) AS cluster_rank FROM sp JOIN c ON c.cluster_id % 3 = super_id WHERE r <= 2) WHERE cluster_rank <= {NPROBE}""",
+    "assign": _CTE + "SELECT row_id, cluster_id, round(d, 5) AS norm FROM (SELECT row_id, c.cluster_id, list_distance(e, cent) AS d, row_number() OVER (PARTITION BY row_id ORDER BY list_distance(e, cent), c.cluster_id) AS r FROM b, c) WHERE r = 1",
+    "cluster_report": _CTE + "SELECT cluster_id, count(*) AS n, round(max(d), 5) AS r_max, round(avg(d), 5) AS mean_norm, round(stddev_pop(d), 5) AS std_norm FROM (SELECT cluster_id, list_distance(e, cent) AS d FROM b JOIN c USING (cluster_id)) GROUP BY cluster_id",
+    "stage1_classes": _CTE + f"SELECT qid, {_COUNTS} FROM (SELECT *, {_cls('est')} AS cls FROM k) GROUP BY qid",
+    "stage1_error": _CTE + "SELECT round(avg(a), 5) AS mae, round(avg(CASE WHEN tru > 1e-8 THEN a / tru END), 5) AS mean_rel, round(quantile_cont(a, 0.95), 5) AS p95, round(quantile_cont(a, 0.99), 5) AS p99 FROM (SELECT abs(est - tru) AS a, tru FROM k)",
+    "budget_search": _CTE + f"SELECT qid, rank, row_id, round(tru, 5) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, row_id) AS r FROM k) WHERE r <= 50) WHERE rank <= {K}",
+    "recall": _CTE + f"SELECT g.qid, {_RECALL} FROM gt g LEFT JOIN ivf f ON f.qid = g.qid AND f.row_id = g.row_id GROUP BY g.qid",
+    "calibration": _CTE + f""", kth AS (SELECT dist AS kth, row_number() OVER (ORDER BY dist) AS r, count(*) OVER () AS n FROM gt WHERE rank = {K}),
+e AS (SELECT abs(est - tru) / (2 * norm_oc * norm_qc) AS e FROM k WHERE tru BETWEEN {0.1 * D_K} AND {10 * D_K} AND norm_oc * norm_qc > 0)
+SELECT (SELECT round(max(CASE WHEN r = 1 + least(n - 1, CAST(floor(CAST(CAST(1 AS FLOAT) - CAST(0.9 AS FLOAT) AS FLOAT) * CAST(n AS FLOAT)) AS BIGINT)) THEN kth END), 5) FROM kth) AS d_k_low, (SELECT round(quantile_cont(kth, 0.9), 5) FROM kth) AS d_k_linear, (SELECT round(quantile_cont(e, 0.5), 5) FROM e) AS eps_mid, (SELECT round(max(e), 5) FROM e) AS eps_max""",
+    "margin_replay": _CTE + f"SELECT scale, safein, safeout, uncertain, false_safein, false_safeout, round(CASE WHEN safein + safeout + uncertain = 0 THEN 0 ELSE safein / (safein + safeout + uncertain) END, 5) AS safein_rate, round(CASE WHEN safein = 0 THEN 0 ELSE false_safein / safein END, 5) AS false_safein_rate FROM (SELECT scale, {_COUNTS} FROM ({_REPLAY}) GROUP BY scale)",
+    "grid_replay": _CTE + f""", g(d_k, eps) AS (VALUES {_GRID}), per AS (SELECT d_k, eps, qid, count(*) FILTER (est < d_k - 2 * (norm_oc * norm_qc * eps)) AS si, count(*) FILTER (est < d_k - 2 * (norm_oc * norm_qc * eps) AND NOT is_true) AS fi, count(*) FILTER (est < d_k AND NOT est < d_k - 2 * (norm_oc * norm_qc * eps)) AS bl FROM k, g GROUP BY ALL)
+SELECT d_k, eps, CAST(sum(si) AS BIGINT) AS safein, CAST(sum(fi) AS BIGINT) AS false_safein, CAST(sum(bl) AS BIGINT) AS blocked, count(*) FILTER (si >= 1) AS queries_1, count(*) FILTER (si >= 2) AS queries_2 FROM per GROUP BY d_k, eps""",
+    "confusion": _CTE + f"SELECT exact, cls, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY exact), 5) AS pct FROM (SELECT {_cls('tru')} AS exact, {_cls('est')} AS cls FROM k) GROUP BY exact, cls",
+    "geometry": _CTE + f"SELECT metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.95), 5) AS p95, round(quantile_cont(v, 0.99), 5) AS p99, round(max(v), 5) AS max FROM ({_LONG}) GROUP BY metric",
+    "convergence": _CTE + f"SELECT qid, probed, round(dist, 5) AS kth FROM (SELECT qid, probed, dist, row_number() OVER (PARTITION BY qid, probed ORDER BY dist, row_id) AS r FROM (SELECT qid, row_id, {_D} AS dist, CAST(n AS INTEGER) AS probed FROM p JOIN b USING (cluster_id), range(1, 5) AS t(n) WHERE cluster_rank <= n)) WHERE r = {K}",
+    "label_entropy": "SELECT round(-sum(n / t * log2(n / t)), 5) AS entropy FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM embeddings GROUP BY label)",
+    "source_dictionary": "SELECT source, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS code FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)",
+    "validation": "SELECT count(*) AS n, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite, count(*) FILTER (abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 0.01) AS not_unit FROM embeddings",
+    "normalised": "SELECT vec_id AS row_id, round(3 * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, CAST(1 AS DOUBLE) AS unit, 64 AS padded, CAST(len(list_filter(embedding, lambda x: x >= 0)) AS INTEGER) AS positive FROM embeddings",
+    "spearman": "SELECT round(coalesce(corr(rx, ry), 0), 5) AS rho FROM (SELECT CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) AS DOUBLE) AS rx, CAST(row_number() OVER (ORDER BY c_nationkey, c_custkey) AS DOUBLE) AS ry FROM customer)",
+    "payload_projection": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY ALL",
+}
