@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skerry.llm.blocks import BASE, Block, mix, text_blocks
 
 BUCKETS, WIDTH, SIZES = 1 << 15, 8, (3, 4, 5, 6)
-MAX_TRAIN_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 12000, 10, 400, 128, 100.0
+MAX_TRAIN_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 6000, 10, 400, 128, 100.0
 THRESHOLD = 0.3
 
 
@@ -70,7 +70,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine = bucket[np.repeat(at[used] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                 count = np.bincount(mine, np.repeat(times, size), minlength=BUCKETS)
                 rows = np.flatnonzero(count)
-                out.append((rows.astype(np.uint16).tobytes(), (count[rows] / max(count.sum(), 1)).astype(np.float32).tobytes()))
+                out.append((rows.astype(np.uint16).tobytes(), (count[rows] / max(count.sum(), 1)).astype(np.float16).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(k).slice(b.first, b.docs) for k in (0, 1)] + [pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["id", "label", "rows", "share"])
 
 
@@ -138,13 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     known = labels.filter("id is not null and label is not null").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_train_rows)  # so many rows at most
     bags = docs.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_bags, "id long, label int, rows binary, share binary")
-    got = bags.dropDuplicates(["id"]).toPandas()
-    if not len(got):
+    got = bags.dropDuplicates(["id"]).toArrow()
+    if not got.num_rows:
         return SubwordSoftmax(), 0.05
-    got = got.sort_values("id")
-    label = (got["label"].to_numpy() > 0).astype(np.int64)
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    label = (got["label"].to_numpy()[order] > 0).astype(np.int64)
     share = float((label.sum() + 0.5) / (len(label) + 10))
-    pairs = [(np.frombuffer(r, np.uint16).astype(np.int64), np.frombuffer(s, np.float32)) for r, s in zip(got["rows"], got["share"], strict=True)]
+    rows, shares = (got[c].combine_chunks() for c in ("rows", "share"))
+    pairs = [(np.frombuffer(rows[i].as_buffer(), np.uint16), np.frombuffer(shares[i].as_buffer(), np.float16)) for i in order.tolist()]
     return SubwordSoftmax(share).fit(pairs, label), share
 
 
