@@ -256,16 +256,17 @@ def _confirm(percent: int):
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids.
+    """The documents with one of the ids, which are distinct.
 
     The ids set bits of a map of 2**MAP_BITS bits, at most 2**(MAP_BITS - 6) rows of one long, and only documents whose bit is set are
-    shuffled to the exact join. With more ids the map fills up and sifts less, but nothing is lost.
+    shuffled to the exact join. With more ids the map fills up and sifts less, but nothing is lost. The exact join is an inner one, as the
+    optimizer would move a semi join below the map's.
     """
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
     word, mask = F.shiftrightunsigned(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << MAP_BITS}) % 64 as int))")
     bits = ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
     sifted = docs.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(mask) != 0).select(*docs.columns)
-    return sifted.join(ids.hint("merge"), "id", "left_semi")
+    return sifted.join(ids.hint("merge"), "id")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
