@@ -19,12 +19,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_TOKENS, LEARNED_ROLE = 65_536, "assistant"
+MAX_TOKENS, LEARNED_ROLE, CONTROLS, BATCH_TOKENS = 65_536, "assistant", 4096, 1 << 19
 OPEN, MIDDLE, CLOSE = "<s>", "[INST]", "[/INST]</s>"
 TURN = re.compile(r"<s>([^<\[]*)\[INST\]([^<\[]*)\[/INST\]</s>")
 ESCAPE = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
@@ -52,6 +54,15 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: The printable bytes of Latin-1 stand for themselves in a byte-level vocabulary, the others for code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in set(plain)]
+        byte = {chr(x): x for x in plain} | {chr(256 + n): x for n, x in enumerate(rest)}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.raw = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.raw[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.control = lru_cache(CONTROLS)(lambda s: self.encode([s])[0])
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -63,7 +74,7 @@ class Tokens:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return b"".join([self.raw[i] for i in ids]).decode(errors="replace")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +101,27 @@ def _walk(path: str, max_tokens: int):
         ids: list[int | None] = []
         leaves: list[int] = []
         stack: list[tuple[bytes, int]] = []
+        done: list[tuple] = []
+        waiting = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def spell(turns: list[dict]) -> list[list[int]]:
+            bodies = coder.encode([escape(t["text"] or "") for t in turns])
+            return [x for t, body in zip(turns, bodies, strict=True) for x in (coder.control(OPEN + escape(t["role"] or "") + MIDDLE), body, coder.control(CLOSE))]
+
+        def close() -> None:
+            nonlocal tokens, positions, nodes, ids, leaves, waiting
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((tokens, positions, nodes, ids, leaves), kinds, strict=True)], names)
-            for v in (tokens, positions, nodes, ids, leaves, stack):
-                v.clear()
+                done.append((np.array(tokens, np.int32), np.array(positions, np.int32), nodes, ids, leaves))
+                waiting += len(tokens)
+            tokens, positions, nodes, ids, leaves = [], [], [], [], []
+            stack.clear()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], kind) for k, kind in enumerate(kinds)], names)
+            done.clear()
+            waiting = 0
 
         for batch in batches:
             for conv, turns, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -103,12 +129,13 @@ def _walk(path: str, max_tokens: int):
                 shared = 0
                 while shared < min(len(stack), len(chain)) and stack[shared][0] == chain[shared]:
                     shared += 1
-                parts = [x for t in turns for x in (OPEN + escape(t["role"] or "") + MIDDLE, escape(t["text"] or ""), CLOSE)]
-                coded = coder.encode(parts[3 * shared :])
+                coded = spell(turns[shared:])
                 if stack and (not shared or len(tokens) + sum(map(len, coded)) > max_tokens):
-                    yield from flush()
+                    close()
+                    if waiting >= BATCH_TOKENS:
+                        yield from emit()
                     if shared:
-                        shared, coded = 0, coder.encode(parts)
+                        shared, coded = 0, spell(turns)
                 del stack[shared:]
                 for k in range(shared, len(chain)):
                     head, body, tail = coded[3 * (k - shared) : 3 * (k - shared) + 3]
@@ -128,7 +155,8 @@ def _walk(path: str, max_tokens: int):
                     nodes.append({"start": start, "end": end, "position": position, "learn_start": learn[0], "learn_end": learn[1], "before": before})
                     stack.append((chain[k], len(nodes) - 1))
                 ids.append(conv), leaves.append(stack[-1][1])
-        yield from flush()
+        close()
+        yield from emit()
 
     return run
 
@@ -144,6 +172,12 @@ def format_trees(rows: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
     return ordered.mapInArrow(_walk(tokenizer_path, max_tokens), SEQUENCE)
 
 
+def _lists(a: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All values of the lists, and where each list starts among them."""
+    offsets = a.offsets.to_numpy()
+    return a.flatten(), offsets - offsets[0]
+
+
 def read_back(sequences: DataFrame, tokenizer_path: str) -> DataFrame:
     """Each conversation's digests, from the tokens that its leaf attends to."""
 
@@ -151,31 +185,36 @@ def read_back(sequences: DataFrame, tokenizer_path: str) -> DataFrame:
         coder = Tokens.of(tokenizer_path)
         for batch in batches:
             out = []
-            for s in batch.to_pylist():
-                starts = {n["start"]: n for n in s["nodes"]}
-                for conv, leaf in zip(s["conv_ids"], s["leaves"], strict=True):
-                    node = s["nodes"][leaf]
-                    spans = [(x["start"], x["end"]) for x in [*node["before"], node]]
-                    text = coder.decode([t for a, b in spans for t in s["tokens"][a:b]])
+            (tokens, token_at), (nodes, node_at), (ids, id_at), (leaves, _) = map(_lists, batch.columns)
+            fields = {c: nodes.field(c).to_numpy() for c in ("start", "end", "learn_start", "learn_end")}
+            before, before_at = _lists(nodes.field("before"))
+            spans = list(zip(before.field("start").to_pylist(), before.field("end").to_pylist(), strict=True))
+            tokens, ids, leaves = tokens.to_numpy(), ids.to_pylist(), leaves.to_pylist()
+            for s in range(batch.num_rows):
+                first, row = int(node_at[s]), tokens[token_at[s] : token_at[s + 1]].tolist()
+                start, end, learn_start, learn_end = (v[first : int(node_at[s + 1])].tolist() for v in fields.values())
+                texts = [coder.decode(row[a:b]) for a, b in zip(start, end, strict=True)]
+                learned = [unescape(coder.decode(row[a:b])) for a, b in zip(learn_start, learn_end, strict=True)]
+                place = {a: n for n, a in enumerate(start)}
+                for i in range(int(id_at[s]), int(id_at[s + 1])):
+                    leaf = leaves[i]
+                    seen = []
+                    for a, b in [*spans[before_at[first + leaf] : before_at[first + leaf + 1]], (start[leaf], end[leaf])]:
+                        while a < b:  # an interval is a run of whole nodes
+                            seen.append(place[a])
+                            a = end[place[a]]
+                    text = "".join([texts[n] for n in seen])
+                    loss = "".join([learned[n] for n in seen])
                     turns = hashlib.sha256()
                     found = TURN.findall(text)
                     for role, body in found:
                         turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode())
-                    learned = []
-                    for a, b in spans:
-                        at = a
-                        while at < b:
-                            n = starts[at]
-                            if n["learn_end"] > n["learn_start"]:
-                                learned.append(unescape(coder.decode(s["tokens"][n["learn_start"] : n["learn_end"]])))
-                            at = n["end"]
-                    loss = "".join(learned)
-                    out.append((conv, len(found), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+                    out.append((ids[i], len(found), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return sequences.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return sequences.select("tokens", "nodes", "conv_ids", "leaves").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
