@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from skerry.functions import codes as C
 from skerry.functions import vectors as V
 from skerry.operators import analysis as A
 from skerry.operators import search as S
+from skerry.plans import index as I
+from skerry.sources.scratch import shared_folder
 from skerry.streaming.ingest import tumbling
 
 K, NPROBE, D_K, EPS, EVERY = 10, 3, 1.6, 0.05, 20
+DIM, EX_BITS, EPS2 = 64, 3, 0.005
+SCALE = C.scale_for(DIM, EX_BITS)
 FLAGSHIP = "ivf_search"
 
 
@@ -82,14 +87,16 @@ def _candidates(spark, sf):
     base = _base(spark, sf)
     cent = _centroids(base)
     coded = base.join(F.broadcast(cent), "cluster_id").withColumn("r", V.residual(F.col("embedding"), F.col("centroid")))
-    coded = coded.select("row_id", "cluster_id", "embedding", V.sign_code(F.col("r")).alias("code"), V.norm(F.col("r")).alias("norm_oc"))
+    coded = coded.withColumn("unit", V.l2_normalize(F.col("r"))).withColumn("levels", V.levels(F.col("unit"), SCALE, EX_BITS)).withColumn("inner", V.dot(F.col("levels"), F.col("unit")))
+    coded = coded.select("row_id", "cluster_id", "embedding", V.sign_code(F.col("r")).alias("code"), V.norm(F.col("r")).alias("norm_oc"), "levels", F.when(F.col("inner") > 0, 1 / F.col("inner")).otherwise(0.0).alias("factor"))
     q = _queries(spark, sf).crossJoin(F.broadcast(cent)).withColumn("r", V.residual(F.col("qvec"), F.col("centroid")))
-    q = q.select("qid", "qvec", "cluster_id", V.sign_code(F.col("r")).alias("qcode"), V.norm(F.col("r")).alias("norm_qc"))
+    q = q.select("qid", "qvec", "cluster_id", V.sign_code(F.col("r")).alias("qcode"), V.norm(F.col("r")).alias("norm_qc"), V.l2_normalize(F.col("r")).alias("qunit"))
     both = q.join(coded, "cluster_id")
     est = V.popcount_distance(V.hamming(F.col("code"), F.col("qcode")), 64, F.col("norm_oc"), F.col("norm_qc"))
-    both = both.select("qid", "row_id", "cluster_id", "norm_oc", "norm_qc", est.alias("est"), V.l2sq(F.col("qvec"), F.col("embedding")).alias("true"))
+    est2 = V.level_distance(F.col("levels"), F.col("factor"), F.col("qunit"), F.col("norm_oc"), F.col("norm_qc"))
+    both = both.select("qid", "row_id", "cluster_id", "norm_oc", "norm_qc", est.alias("est"), est2.alias("est2"), V.l2sq(F.col("qvec"), F.col("embedding")).alias("true"))
     near = F.row_number().over(W.Window.partitionBy("qid").orderBy("true", "row_id")) <= K
-    return both.withColumn("is_true", near).withColumn("margin", F.col("norm_oc") * F.col("norm_qc") * EPS)
+    return both.withColumn("is_true", near).withColumn("margin", F.col("norm_oc") * F.col("norm_qc") * EPS).withColumn("margin2", F.col("norm_oc") * F.col("norm_qc") * EPS2)
 
 
 def _classed(spark, sf):
@@ -171,6 +178,88 @@ def frontier(spark, sf):
     return S.frontier_search(c.select("qid", "cluster_rank", "row_id", "est", "margin", "safein_d_k"), K)
 
 
+def index_search(spark, sf):
+    """Builds an index in the shared folder, opens it and searches it under the largest stage-2 error: the nearest rows of the probed clusters, each row being in the cluster of its nearest centroid."""
+    base, queries = _base(spark, sf), _queries(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_id"), "lang", "source")
+    index = I.build(base.select("row_id", "embedding").join(docs, "row_id", "left"), _centroids(base), shared_folder(spark, "index"), EX_BITS)
+    return _rounded(index.search(queries, K, NPROBE, index.error_bound(queries, NPROBE)), "dist")
+
+
+def _classed2(spark, sf):
+    """Stage-1 classes, stage-2 classes of the uncertain, and the final class."""
+    c = F.col
+    two = V.classify_margin(c("est2"), F.lit(D_K), F.lit(D_K), c("margin2"))
+    out = _classed(spark, sf).withColumnRenamed("cls", "s1_class").withColumn("s2_class", F.when(c("s1_class") == "Uncertain", two))
+    return out.withColumn("cls", F.coalesce("s2_class", "s1_class"))
+
+
+def stage2_classes(spark, sf):
+    return A.class_counts(_classed2(spark, sf), "qid")
+
+
+def stage2_error(spark, sf):
+    c = _candidates(spark, sf)
+    e = F.abs(F.col("est2") - F.col("true"))
+    return _rounded(c.agg(F.avg(e).alias("mae"), F.avg(F.when(F.col("true") > 1e-8, e / F.col("true"))).alias("mean_rel"), F.percentile(e, F.lit(0.95)).alias("p95"), F.percentile(e, F.lit(0.99)).alias("p99")), "mae", "mean_rel", "p95", "p99")
+
+
+def stage_recall(spark, sf):
+    """The share of the K nearest among the K best by each estimate."""
+    w = lambda c: W.Window.partitionBy("qid").orderBy(c, "row_id")
+    c = _candidates(spark, sf).select("qid", "is_true", F.row_number().over(w("est")).alias("r1"), F.row_number().over(w("est2")).alias("r2"))
+    return _rounded(c.agg(*(F.avg(F.when(F.col("is_true"), (F.col(f"r{s}") <= K).cast("double"))).alias(f"recall_stage{s}") for s in (1, 2))), "recall_stage1", "recall_stage2")
+
+
+def candidate_table(spark, sf):
+    """The diagnostic fact table: distances, estimates, margins, errors, gaps, ratios and classes of every candidate of the probed clusters."""
+    base, c = _base(spark, sf), F.col
+    ranks = S.route(_queries(spark, sf), _centroids(base), NPROBE).select("qid", "cluster_id", "cluster_rank")
+    out = _classed2(spark, sf).join(ranks, ["qid", "cluster_id"])
+    out = out.withColumns({"abs_err_s1": F.abs(c("est") - c("true")), "abs_err_s2": F.when(c("s2_class").isNotNull(), F.abs(c("est2") - c("true")))})
+    norms = 2 * c("norm_oc") * c("norm_qc")
+    out = out.withColumns({"normalized_err_s1": F.when(norms > 0, c("abs_err_s1") / norms), "safein_gap_s1": F.lit(D_K) - 2 * c("margin") - c("est"), "safeout_gap_s1": c("est") - D_K - 2 * c("margin"), "safein_ratio_s1": F.when(c("margin") > 0, (F.lit(D_K) - c("est")) / (2 * c("margin")))})
+    numbers = ["true", "est", "norm_oc", "norm_qc", "margin", "abs_err_s1", "abs_err_s2", "normalized_err_s1", "safein_gap_s1", "safeout_gap_s1", "safein_ratio_s1"]
+    return _rounded(out.select("qid", "cluster_rank", "cluster_id", "row_id", "is_true", *numbers, "s1_class", "s2_class", F.col("cls").alias("final_class")), *numbers)
+
+
+def cluster_classes(spark, sf):
+    return A.class_counts(_classed2(spark, sf), "cluster_id")
+
+
+def threshold_report(spark, sf):
+    return _rounded(A.threshold_counts(_candidates(spark, sf), D_K), "share")
+
+
+def margin_quartiles(spark, sf):
+    near = _classed(spark, sf).filter("is_true")
+    return _rounded(A.quartile_rates(near, "margin", F.col("cls") == "SafeOut"), "rate")
+
+
+def convergence_series(spark, sf):
+    return _rounded(A.series(convergence(spark, sf), "probed", "kth"), "mean", "p25", "p75")
+
+
+def frontier_stability(spark, sf):
+    return _rounded(I.frontier_changes(convergence(spark, sf)), "change")
+
+
+def overlap_curve(spark, sf):
+    """Mean share of the K nearest that lie in the first clusters probed."""
+    base, queries = _base(spark, sf), _queries(spark, sf)
+    truth = S.exact_search(queries, base, K).join(base.select("row_id", "cluster_id"), "row_id")
+    probes = S.route(queries, _centroids(base), 4).select("qid", "cluster_id", "cluster_rank")
+    met = truth.join(probes, ["qid", "cluster_id"], "left").withColumn("probed", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    hit = F.coalesce(F.col("cluster_rank") <= F.col("probed"), F.lit(False))
+    return _rounded(met.groupBy("probed").agg(F.avg(hit.cast("double")).alias("overlap")), "overlap")
+
+
+def routing_overlap(spark, sf):
+    """How many of the nearest clusters the two-level routing finds too."""
+    exact = S.route(_queries(spark, sf), _centroids(_base(spark, sf)), NPROBE, "ip").select("qid", "cluster_id")
+    return A.overlap(exact, route_two_level(spark, sf), ["qid"], "cluster_id")
+
+
 def label_entropy(spark, sf):
     return _rounded(A.entropy_bits(_base(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"))), "entropy")
 
@@ -203,7 +292,7 @@ def event_windows(spark, sf):
     return _rounded(tumbling(spark.read.parquet(f"{sf}/events.parquet")), "total")
 
 
-QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
+QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
 
 _D = "pow(list_distance(qvec, e), 2)"
 _CTE = f"""WITH b AS MATERIALIZED (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS e, label AS cluster_id FROM embeddings),
@@ -216,7 +305,11 @@ gt AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION B
 ivf AS MATERIALIZED (SELECT * FROM (SELECT qid, row_id, {_D} AS dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_D}, row_id) AS INTEGER) AS rank FROM p JOIN b USING (cluster_id) WHERE cluster_rank <= {NPROBE}) WHERE rank <= {K}),
 s AS MATERIALIZED (SELECT qid, b.row_id, b.cluster_id, list_distance(e, cent) AS norm_oc, list_distance(qvec, cent) AS norm_qc, {_D} AS tru,
   list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] - cent[i] >= 0) <> (qvec[i] - cent[i] >= 0) THEN 1 ELSE 0 END)) AS h FROM q, b JOIN c USING (cluster_id)),
-k AS MATERIALIZED (SELECT *, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * (1 - 2 * h / 64.0)) AS est, norm_oc * norm_qc * {EPS} AS margin, row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) <= {K} AS is_true FROM s)
+u AS MATERIALIZED (SELECT b.row_id, list_transform(range(1, 65), lambda i: CASE WHEN list_distance(e, cent) > 0 THEN (e[i] - cent[i]) / list_distance(e, cent) ELSE 0 END) AS unit FROM b JOIN c USING (cluster_id)),
+l AS MATERIALIZED (SELECT row_id, unit, list_transform(unit, lambda x: (CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END) * (least({2.0**EX_BITS - 1}, floor(abs(x) * CAST({SCALE!r} AS DOUBLE) + 1e-5)) + 0.5)) AS lv FROM u),
+lf AS MATERIALIZED (SELECT row_id, lv, CASE WHEN list_dot_product(lv, unit) > 0 THEN 1 / list_dot_product(lv, unit) ELSE 0 END AS factor FROM l),
+qu AS MATERIALIZED (SELECT qid, cluster_id, list_transform(range(1, 65), lambda i: CASE WHEN list_distance(qvec, cent) > 0 THEN (qvec[i] - cent[i]) / list_distance(qvec, cent) ELSE 0 END) AS qunit FROM q, c),
+k AS MATERIALIZED (SELECT s.*, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * list_dot_product(lv, qunit) * factor) AS est2, norm_oc * norm_qc * {EPS2} AS margin2, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * (1 - 2 * h / 64.0)) AS est, norm_oc * norm_qc * {EPS} AS margin, row_number() OVER (PARTITION BY s.qid ORDER BY tru, s.row_id) <= {K} AS is_true FROM s JOIN lf USING (row_id) JOIN qu ON qu.qid = s.qid AND qu.cluster_id = s.cluster_id)
 """
 
 
@@ -225,6 +318,9 @@ def _cls(d: str, scale: float = 1.0) -> str:
 
 
 _COUNTS = "count(*) FILTER (cls = 'SafeIn') AS safein, count(*) FILTER (cls = 'SafeOut') AS safeout, count(*) FILTER (cls = 'Uncertain') AS uncertain, count(*) FILTER (cls = 'SafeIn' AND NOT is_true) AS false_safein, count(*) FILTER (cls = 'SafeOut' AND is_true) AS false_safeout"
+_CLS2 = f"CASE WHEN est2 > {D_K} + 2 * margin2 THEN 'SafeOut' WHEN est2 < {D_K} - 2 * margin2 THEN 'SafeIn' ELSE 'Uncertain' END"
+_BOTH = f"(SELECT *, CASE WHEN s1_class = 'Uncertain' THEN s2 END AS s2_class, CASE WHEN s1_class = 'Uncertain' THEN s2 ELSE s1_class END AS cls FROM (SELECT *, {_cls('est')} AS s1_class, {_CLS2} AS s2 FROM k))"
+_CURVE = f"SELECT qid, probed, dist AS kth FROM (SELECT qid, probed, dist, row_number() OVER (PARTITION BY qid, probed ORDER BY dist, row_id) AS r FROM (SELECT qid, row_id, {_D} AS dist, CAST(n AS INTEGER) AS probed FROM p JOIN b USING (cluster_id), range(1, 5) AS t(n) WHERE cluster_rank <= n)) WHERE r = {K}"
 _RECALL = ", ".join(f"round(count(*) FILTER (g.rank <= {k} AND f.rank <= {k}) / {float(k)}, 5) AS recall_{k}" for k in (1, 5, 10))
 _REPLAY = " UNION ALL ".join(f"SELECT CAST({s} AS DOUBLE) AS scale, is_true, {_cls('est', s)} AS cls FROM k" for s in (0.0, 0.5, 1.0, 2.0))
 _GRID = ", ".join(f"(CAST({d} AS DOUBLE), CAST({e} AS DOUBLE))" for d in (1.2, 1.6, 2.0) for e in (0.0, 0.05, 0.1))
@@ -253,6 +349,22 @@ SELECT d_k, eps, CAST(sum(si) AS BIGINT) AS safein, CAST(sum(fi) AS BIGINT) AS f
     "confusion": _CTE + f"SELECT exact, cls, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY exact), 5) AS pct FROM (SELECT {_cls('tru')} AS exact, {_cls('est')} AS cls FROM k) GROUP BY exact, cls",
     "geometry": _CTE + f"SELECT metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.95), 5) AS p95, round(quantile_cont(v, 0.99), 5) AS p99, round(max(v), 5) AS max FROM ({_LONG}) GROUP BY metric",
     "convergence": _CTE + f"SELECT qid, probed, round(dist, 5) AS kth FROM (SELECT qid, probed, dist, row_number() OVER (PARTITION BY qid, probed ORDER BY dist, row_id) AS r FROM (SELECT qid, row_id, {_D} AS dist, CAST(n AS INTEGER) AS probed FROM p JOIN b USING (cluster_id), range(1, 5) AS t(n) WHERE cluster_rank <= n)) WHERE r = {K}",
+    "index_search": _CTE + f""", own AS (SELECT row_id, cluster_id, e FROM (SELECT row_id, e, c.cluster_id, row_number() OVER (PARTITION BY row_id ORDER BY list_distance(e, cent), c.cluster_id) AS r FROM b, c) WHERE r = 1)
+SELECT qid, rank, row_id, round(dist, 5) AS dist, lang, source FROM (SELECT qid, row_id, {_D} AS dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_D}, row_id) AS INTEGER) AS rank FROM p JOIN own USING (cluster_id) WHERE cluster_rank <= {NPROBE}) LEFT JOIN documents ON doc_id = row_id WHERE rank <= {K}""",
+    "stage2_classes": _CTE + f"SELECT qid, {_COUNTS} FROM {_BOTH} GROUP BY qid",
+    "stage2_error": _CTE + "SELECT round(avg(a), 5) AS mae, round(avg(CASE WHEN tru > 1e-8 THEN a / tru END), 5) AS mean_rel, round(quantile_cont(a, 0.95), 5) AS p95, round(quantile_cont(a, 0.99), 5) AS p99 FROM (SELECT abs(est2 - tru) AS a, tru FROM k)",
+    "stage_recall": _CTE + f"SELECT round(avg(CASE WHEN is_true THEN CAST(r1 <= {K} AS INTEGER) END), 5) AS recall_stage1, round(avg(CASE WHEN is_true THEN CAST(r2 <= {K} AS INTEGER) END), 5) AS recall_stage2 FROM (SELECT is_true, row_number() OVER (PARTITION BY qid ORDER BY est, row_id) AS r1, row_number() OVER (PARTITION BY qid ORDER BY est2, row_id) AS r2 FROM k)",
+    "candidate_table": _CTE + f"""SELECT t.qid, cluster_rank, t.cluster_id, row_id, is_true, round(tru, 5) AS "true", round(est, 5) AS est, round(norm_oc, 5) AS norm_oc, round(norm_qc, 5) AS norm_qc, round(margin, 5) AS margin, round(abs(est - tru), 5) AS abs_err_s1,
+round(CASE WHEN s2_class IS NOT NULL THEN abs(est2 - tru) END, 5) AS abs_err_s2, round(CASE WHEN norm_oc * norm_qc > 0 THEN abs(est - tru) / (2 * norm_oc * norm_qc) END, 5) AS normalized_err_s1, round({D_K} - 2 * margin - est, 5) AS safein_gap_s1, round(est - {D_K} - 2 * margin, 5) AS safeout_gap_s1,
+round(CASE WHEN margin > 0 THEN ({D_K} - est) / (2 * margin) END, 5) AS safein_ratio_s1, s1_class, s2_class, cls AS final_class FROM {_BOTH} t JOIN p ON p.qid = t.qid AND p.cluster_id = t.cluster_id WHERE cluster_rank <= {NPROBE}""",
+    "cluster_classes": _CTE + f"SELECT cluster_id, {_COUNTS} FROM {_BOTH} GROUP BY cluster_id",
+    "threshold_report": _CTE + f"SELECT qid, count(*) FILTER (tru < {D_K}) AS true_below, count(*) FILTER (est < {D_K}) AS est_below, count(*) FILTER (est2 < {D_K}) AS est2_below, count(*) FILTER (tru < {D_K} AND est2 < {D_K}) AS both_below, count(*) FILTER (est2 < {D_K} - 2 * margin2) AS safein, round(avg(CAST(tru <= {D_K} AS INTEGER)), 5) AS share FROM k GROUP BY qid",
+    "margin_quartiles": _CTE + f", n AS (SELECT *, {_cls('est')} AS cls FROM k WHERE is_true), x3 AS (SELECT quantile_cont(margin, 0.25) AS a, quantile_cont(margin, 0.5) AS b, quantile_cont(margin, 0.75) AS d FROM n) SELECT CAST(1 + CAST(margin > a AS INTEGER) + CAST(margin > b AS INTEGER) + CAST(margin > d AS INTEGER) AS INTEGER) AS quartile, count(*) AS n, round(avg(CAST(cls = 'SafeOut' AS INTEGER)), 5) AS rate FROM n, x3 GROUP BY quartile",
+    "convergence_series": _CTE + f"SELECT probed, round(avg(kth), 5) AS mean, round(quantile_cont(kth, 0.25), 5) AS p25, round(quantile_cont(kth, 0.75), 5) AS p75 FROM (SELECT qid, probed, round(kth, 5) AS kth FROM ({_CURVE})) GROUP BY probed",
+    "frontier_stability": _CTE + f""", f AS (SELECT qid, probed, kth, CASE WHEN pr = 0 THEN abs(kth) ELSE abs(kth - pr) / abs(pr) END AS change FROM (SELECT *, lag(kth) OVER (PARTITION BY qid ORDER BY probed) AS pr FROM (SELECT qid, probed, round(kth, 5) AS kth FROM ({_CURVE})))),
+st AS (SELECT *, coalesce(change <= 0.01 AND probed >= 2, false) AS still FROM f), ru AS (SELECT *, sum(CAST(NOT still AS INTEGER)) OVER (PARTITION BY qid ORDER BY probed) AS run FROM st)
+SELECT qid, probed, kth, round(change, 5) AS change, CAST(CASE WHEN still THEN sum(CAST(still AS INTEGER)) OVER (PARTITION BY qid, run ORDER BY probed) ELSE 0 END AS INTEGER) AS stable FROM ru""",
+    "overlap_curve": _CTE + "SELECT CAST(n AS INTEGER) AS probed, round(avg(CAST(cluster_rank <= n AS INTEGER)), 5) AS overlap FROM gt JOIN b USING (row_id) JOIN p ON p.qid = gt.qid AND p.cluster_id = b.cluster_id, range(1, 5) AS t(n) GROUP BY n",
     "label_entropy": "SELECT round(-sum(n / t * log2(n / t)), 5) AS entropy FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM embeddings GROUP BY label)",
     "source_dictionary": "SELECT source, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS code FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)",
     "validation": "SELECT count(*) AS n, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite, count(*) FILTER (abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 0.01) AS not_unit FROM embeddings",
@@ -261,3 +373,5 @@ SELECT d_k, eps, CAST(sum(si) AS BIGINT) AS safein, CAST(sum(fi) AS BIGINT) AS f
     "payload_projection": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY ALL",
 }
+ORACLE["routing_overlap"] = ORACLE["route_two_level"].replace("\nSELECT qid, cluster_id, cluster_rank", ", two AS (SELECT qid, cluster_id, cluster_rank") + f"""), one AS (SELECT qid, cluster_id FROM (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY -list_dot_product(qvec, cent), cluster_id) AS r FROM q, c) WHERE r <= {NPROBE})
+SELECT one.qid, count(*) AS n, count(two.qid) AS shared FROM one LEFT JOIN two ON two.qid = one.qid AND two.cluster_id = one.cluster_id GROUP BY one.qid"""

@@ -94,3 +94,15 @@ def safe_rate(part: Column, whole: Column) -> Column:
 def recall_at(found: Column, truth: Column, k: int) -> Column:
     """Shared ids of the first k over the smaller of k and the truth's size; 0 for no truth."""
     return F.when(F.size(truth) == 0, 0.0).otherwise(F.size(F.array_intersect(F.slice(found, 1, k), F.slice(truth, 1, k))) / F.least(F.lit(k), F.size(truth)))
+
+
+def levels(unit: Column, scale: float, ex_bits: int) -> Column:
+    """Signed code levels of a unit residual: magnitude capped at 2^ex_bits - 1, plus a half, with the component's sign."""
+    top = float(2**ex_bits - 1)
+    return F.transform(unit, lambda x: F.when(x >= 0, 1.0).otherwise(-1.0) * (F.least(F.lit(top), F.floor(F.abs(x) * F.lit(float(scale)) + F.lit(1e-5)).cast("double")) + 0.5))
+
+
+def level_distance(code: Column, factor: Column, query_unit: Column, vector_norm: Column, query_norm: Column) -> Column:
+    """Stage-2 distance from code levels, at least 0. ``factor`` is 1 / (levels . unit), 0 for a zero residual."""
+    ip = dot(code, query_unit) * factor
+    return F.greatest(F.lit(0.0), vector_norm * vector_norm + query_norm * query_norm - 2 * vector_norm * query_norm * ip)

@@ -108,3 +108,28 @@ def validate(df: DataFrame) -> DataFrame:
     """Rows with a component that is not finite, and rows whose norm is not 1 within 0.01."""
     bad = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     return df.agg(F.count("*").alias("n"), F.count_if(bad).alias("not_finite"), F.count_if(F.abs(V.norm(F.col("embedding")) - 1) > 0.01).alias("not_unit"))
+
+
+def quartile_rates(df: DataFrame, value: str, event: Column) -> DataFrame:
+    """Rows and the rate of ``event`` in each quartile of ``value``; edges by interpolation, intervals closed on the right."""
+    edges = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
+    quartile = 1 + F.aggregate("edges", F.lit(0), lambda s, e: s + (F.col(value) > e).cast("int"))
+    return df.crossJoin(F.broadcast(edges)).groupBy(quartile.alias("quartile")).agg(F.count("*").alias("n"), F.avg(event.cast("double")).alias("rate"))  # one row is broadcast
+
+
+def series(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Mean and middle half of a value by key; infinite values count as absent."""
+    v = F.when(F.abs(F.col(value)) != float("inf"), F.col(value))
+    return df.groupBy(key).agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.75)).alias("p75"))
+
+
+def threshold_counts(df: DataFrame, d_k: float) -> DataFrame:
+    """Per query: candidates within d_k by exact distance, by each estimate and by both, SafeIn, and the share of exact distances at most d_k. ``df``: qid, true, est, est2, margin2."""
+    t, a, b = F.col("true"), F.col("est"), F.col("est2")
+    return df.groupBy("qid").agg(F.count_if(t < d_k).alias("true_below"), F.count_if(a < d_k).alias("est_below"), F.count_if(b < d_k).alias("est2_below"), F.count_if((t < d_k) & (b < d_k)).alias("both_below"), F.count_if(b < d_k - 2 * F.col("margin2")).alias("safein"), F.avg((t <= d_k).cast("double")).alias("share"))
+
+
+def overlap(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """How many items of ``a`` are in ``b`` too, per key."""
+    both = a.select(*keys, item).join(b.select(*keys, item).withColumn("hit", F.lit(1)), [*keys, item], "left")
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.count("hit").alias("shared"))

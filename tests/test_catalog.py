@@ -7,6 +7,7 @@ from skerry.functions import codes as C
 from skerry.functions import vectors as V
 from skerry.operators import analysis as A
 from skerry.operators import search as S
+from skerry.plans import index as I
 from skerry.plans.inspect import plan_nodes
 from skerry.sources import vectors as R
 
@@ -99,3 +100,48 @@ def test_stream_append(spark, sf, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     append(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["event_id", "value"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def _index(spark, sf, folder, bits=3):
+    base = catalog._base(spark, sf).withColumn("kind", F.col("cluster_id"))
+    return I.build(base.drop("cluster_id"), catalog._centroids(base), str(folder), bits)
+
+
+def test_index_of_all_clusters_gives_the_exact_answer(spark, sf, tmp_path):
+    _index(spark, sf, tmp_path / "i")
+    index = I.open_index(spark, str(tmp_path / "i"))
+    q = catalog._queries(spark, sf)
+    found = index.search(q, 10, 99, index.error_bound(q, 99))
+    assert found.columns == ["qid", "rank", "row_id", "dist", "kind"]
+    a, b = found.select("qid", "rank", "row_id"), S.exact_search(q, catalog._base(spark, sf), 10).select("qid", "rank", "row_id")
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    everything = index.candidates(q, 99).count()
+    assert index.survivors(q, 10, 99, index.error_bound(q, 99)).count() < everything / 2
+    assert index.survivors(q, 10, 99, 1.0, 20).groupBy("qid").count().agg(F.max("count")).first()[0] == 20
+
+
+def test_index_estimates_match_numpy(spark, sf, tmp_path):
+    index = _index(spark, sf, tmp_path / "i")
+    q = catalog._queries(spark, sf).limit(2)
+    rotation, scale = C.Rotation(64), C.scale_for(64, 3)
+    cent = {r["cluster_id"]: np.array(r["centroid"]) for r in index.centroids.collect()}
+    x = {r["row_id"]: np.array(r["embedding"], float) for r in index.records.collect()}
+    queries = {r["qid"]: np.array(r["qvec"]) for r in q.collect()}
+    for r in index.candidates(q, 2).collect():
+        code = C.encode((x[r["row_id"]] - cent[r["cluster_id"]])[None], rotation, 3, scale)
+        for stage in (1, 2):
+            assert abs(r[f"est{stage}"] - C.estimate(queries[r["qid"]] - cent[r["cluster_id"]], code, rotation, stage)[0]) < 1e-6
+
+
+def test_index_odd_rows(spark, sf, tmp_path):
+    base = catalog._base(spark, sf)
+    bad = spark.createDataFrame([(-1, None), (-2, [float("nan")] * 64), (-3, [None] * 64)], "row_id long, embedding array<float>")
+    index = I.build(base.select("row_id", "embedding").union(bad), catalog._centroids(base), str(tmp_path / "i"), 0)
+    assert index.codes.count() == base.count() and index.search(catalog._queries(spark, sf), 3, 2, 1.0).columns == ["qid", "rank", "row_id", "dist"]
+    with pytest.raises(ValueError):
+        I.build(base.limit(0), catalog._centroids(base), str(tmp_path / "none"))
+    with pytest.raises(KeyError):
+        index.search(catalog._queries(spark, sf), 3, 2, 1.0, payload=["absent"])
+    spark.createDataFrame([(9, 64, 10, 3, 42)], "version int, dim int, nlist int, ex_bits int, seed long").write.mode("overwrite").parquet(str(tmp_path / "i/settings"))
+    with pytest.raises(ValueError):
+        I.open_index(spark, str(tmp_path / "i"))
