@@ -260,6 +260,32 @@ def routing_overlap(spark, sf):
     return A.overlap(exact, route_two_level(spark, sf), ["qid"], "cluster_id")
 
 
+def nprobe_sweep(spark, sf):
+    """Mean recall of the K nearest by the number of clusters probed."""
+    base, queries = _base(spark, sf), _queries(spark, sf)
+    truth, cent = S.exact_search(queries, base, K).select("qid", "row_id"), _centroids(base)
+    found = [S.ivf_search(queries, cent, base, base, K, n).select(F.lit(n).alias("nprobe"), "qid", "row_id") for n in (1, 2, 4)]
+    every = truth.withColumn("nprobe", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))))
+    per = A.overlap(every, found[0].union(found[1]).union(found[2]), ["nprobe", "qid"], "row_id")
+    rate = F.col("shared") / F.col("n")
+    return _rounded(per.groupBy("nprobe").agg(F.avg(rate).alias("mean"), F.min(rate).alias("least"), F.max(rate).alias("most"), F.stddev(rate).alias("std")), "mean", "least", "most", "std")
+
+
+def truth_ids(spark, sf):
+    """Every row that is among the K nearest of some query."""
+    return S.exact_search(_queries(spark, sf), _base(spark, sf), K).select("row_id").distinct()
+
+
+def code_symbols(spark, sf):
+    """How often each code level occurs, its share, and what it adds to the entropy of a symbol in bits."""
+    base = _base(spark, sf)
+    unit = V.l2_normalize(V.residual(F.col("embedding"), F.col("centroid")))
+    symbols = base.join(F.broadcast(_centroids(base)), "cluster_id").select(F.explode(V.levels(unit, SCALE, EX_BITS)).alias("level"))
+    counts = symbols.groupBy("level").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(W.Window.partitionBy(F.lit(0)))  # 2^(EX_BITS + 1) rows at most
+    return _rounded(counts.select("level", "n", share.alias("share"), (-share * F.log2(share)).alias("bits")), "share", "bits")
+
+
 def label_entropy(spark, sf):
     return _rounded(A.entropy_bits(_base(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n"))), "entropy")
 
@@ -292,7 +318,7 @@ def event_windows(spark, sf):
     return _rounded(tumbling(spark.read.parquet(f"{sf}/events.parquet")), "total")
 
 
-QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
+QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, nprobe_sweep, truth_ids, code_symbols, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
 
 _D = "pow(list_distance(qvec, e), 2)"
 _CTE = f"""WITH b AS MATERIALIZED (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS e, label AS cluster_id FROM embeddings),
@@ -375,3 +401,9 @@ SELECT qid, probed, kth, round(change, 5) AS change, CAST(CASE WHEN still THEN s
 }
 ORACLE["routing_overlap"] = ORACLE["route_two_level"].replace("\nSELECT qid, cluster_id, cluster_rank", ", two AS (SELECT qid, cluster_id, cluster_rank") + f"""), one AS (SELECT qid, cluster_id FROM (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY -list_dot_product(qvec, cent), cluster_id) AS r FROM q, c) WHERE r <= {NPROBE})
 SELECT one.qid, count(*) AS n, count(two.qid) AS shared FROM one LEFT JOIN two ON two.qid = one.qid AND two.cluster_id = one.cluster_id GROUP BY one.qid"""
+ORACLE["nprobe_sweep"] = _CTE + f"""SELECT nprobe, round(avg(r), 5) AS mean, round(min(r), 5) AS least, round(max(r), 5) AS most, round(stddev_samp(r), 5) AS std FROM (
+SELECT g.nprobe, g.qid, count(f.row_id) / count(*) AS r FROM (SELECT qid, row_id, nprobe FROM gt, (VALUES (1), (2), (4)) AS t(nprobe)) g LEFT JOIN (
+SELECT nprobe, qid, row_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY {_D}, row_id) AS r FROM p JOIN b USING (cluster_id), (VALUES (1), (2), (4)) AS t(nprobe) WHERE cluster_rank <= nprobe
+) f ON f.nprobe = g.nprobe AND f.qid = g.qid AND f.row_id = g.row_id AND f.r <= {K} GROUP BY g.nprobe, g.qid) GROUP BY nprobe"""
+ORACLE["truth_ids"] = _CTE + "SELECT DISTINCT row_id FROM gt"
+ORACLE["code_symbols"] = _CTE + "SELECT level, n, round(n / t, 5) AS share, round(-(n / t) * log2(n / t), 5) AS bits FROM (SELECT level, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT CAST(unnest(lv) AS DOUBLE) AS level FROM l) GROUP BY level)"

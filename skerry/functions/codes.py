@@ -129,3 +129,39 @@ def bit_pack(values: np.ndarray, width: int) -> bytes:
 def bit_unpack(raw: bytes, width: int, n: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * width).reshape(n, width)
     return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1)
+
+
+def encode_addresses(offsets: np.ndarray, sizes: np.ndarray, page: int, block: int = 64) -> list[tuple[int, int, int, bytes]]:
+    """(first page, rows, bits, packed page counts) of each block of records that follow one another; bits is 0 where counts are too large to pack and then stand as uint32."""
+    offsets, sizes = np.asarray(offsets, np.int64), np.asarray(sizes, np.int64)
+    if (offsets % page).any() or (sizes % page).any():
+        raise ValueError("offset or size is not a multiple of the page")
+    if (offsets[1:] != offsets[:-1] + sizes[:-1]).any():
+        raise ValueError("records do not follow one another")
+    out = []
+    for a in range(0, len(sizes), block):
+        pages = sizes[a : a + block] // page
+        bits = bit_width(pages)
+        out.append((int(offsets[a] // page), len(pages), bits, bit_pack(pages, bits) if bits else pages.astype("<u4").tobytes()))
+    return out
+
+
+def decode_addresses(blocks: list[tuple[int, int, int, bytes]], page: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and sizes of all records, by a prefix sum over each block."""
+    offsets, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, n, bits, raw in blocks:
+        pages = (bit_unpack(raw, bits, n) if bits else np.frombuffer(raw, "<u4")).astype(np.int64)
+        offsets.append((first + np.cumsum(pages) - pages) * page)
+        sizes.append(pages * page)
+    return np.concatenate(offsets), np.concatenate(sizes)
+
+
+def block_ratios(raw: bytes, block: int = 4096) -> dict[str, float]:
+    """Compressed size over size, block by block, for each compressor at hand; 1 for a block that does not shrink."""
+    import bz2
+    import lzma
+    import zlib
+
+    tools = {"zlib": zlib.compress, "bz2": bz2.compress, "lzma": lzma.compress}
+    blocks = [raw[a : a + block] for a in range(0, len(raw), block)]
+    return {name: sum(min(len(b), len(f(b))) for b in blocks) / len(raw) if raw else 1.0 for name, f in tools.items()}

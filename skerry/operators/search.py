@@ -1,7 +1,7 @@
 """Inverted-file search over DataFrames: routing, probing, exact rerank, late payload.
 
 Centroids are bounded by ``nlist`` (MAX_CENTROIDS at most are broadcast; beyond that the join shuffles). Query batches are bounded too:
-queries are dealt into blocks of QUERY_BLOCK and each block is one broadcast; more blocks are more passes, never a larger broadcast.
+at most QUERY_BLOCK queries are sent to the tasks; more are dealt into blocks, as the base rows are, and each pair of blocks is one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import window as W
 
 from skerry.functions import vectors as V
 
-MAX_CENTROIDS, QUERY_BLOCK = 65_536, 2048
+MAX_CENTROIDS, QUERY_BLOCK, BASE_BLOCK = 65_536, 2048, 16_384
 
 
 def top_per(df: DataFrame, key: str, k: int, *order) -> DataFrame:
@@ -30,33 +30,47 @@ def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def _nearest(ids: np.ndarray, q: np.ndarray, row: np.ndarray, x: np.ndarray, k: int, metric: str) -> Iterator[pd.DataFrame]:
+    """The k rows of ``x`` nearest to each query; ties to the smaller id."""
+    for i, v in enumerate(q):
+        d = ((x - v) ** 2).sum(1) if metric == "l2" else -(x @ v)
+        at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+        at = at[np.lexsort((row[at], d[at]))[:k]]
+        yield pd.DataFrame({"qid": ids[i], "row_id": row[at], "dist": d[at]})
+
+
+def _blocked(queries: DataFrame, base: DataFrame, k: int, metric: str, n: int) -> DataFrame:
+    """The nearest of each block of base rows for each block of queries; no block is larger than its bound by more than chance."""
+    parts, blocks = -(-n // QUERY_BLOCK), max(1, -(-base.count() // BASE_BLOCK))
+    deal = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asks = queries.select("qid", "qvec", deal(parts, "qid").alias("part"), every(blocks).alias("block"))
+    rows = base.select("row_id", "embedding", deal(blocks, "row_id", "embedding").alias("block"), every(parts).alias("part"))
+
+    def cell(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = list(_nearest(q["qid"].to_numpy(), np.stack(q["qvec"].to_numpy()).astype(float), b["row_id"].to_numpy(), np.stack(b["embedding"].to_numpy()).astype(float), k, metric)) if len(q) and len(b) else []
+        return pd.concat(found) if found else pd.DataFrame({"qid": np.zeros(0, int), "row_id": np.zeros(0, int), "dist": np.zeros(0)})
+
+    return asks.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInPandas(cell, "qid long, row_id long, dist double")
+
+
 def exact_search(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, rank, row_id, dist) by brute force. ``queries``: qid, qvec; ``base``: row_id, embedding. Ties go to the smaller row_id."""
     if metric not in ("l2", "ip"):
         raise ValueError(f"no such metric: {metric}")
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    schema = "qid long, row_id long, dist double"
-    out = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = block.collect()
+    rows = queries.select("qid", "qvec").limit(QUERY_BLOCK + 1).collect()
+    if len(rows) > QUERY_BLOCK:
+        out = _blocked(queries, base, k, metric, queries.count())
+    else:
         ids = np.array([r["qid"] for r in rows], np.int64)
-        q = np.array([r["qvec"] for r in rows], float).reshape(len(ids), -1)
+        q = np.array([r["qvec"] for r in rows], float)
 
-        def scan(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                x, row = np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["row_id"].to_numpy()
-                for i, v in enumerate(q):
-                    d = ((x - v) ** 2).sum(1) if metric == "l2" else -(x @ v)
-                    at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                    at = at[np.lexsort((row[at], d[at]))[:k]]
-                    yield pd.DataFrame({"qid": ids[i], "row_id": row[at], "dist": d[at]})
-
-        part = base.select("row_id", "embedding").mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
+                if len(pdf) and len(ids):
+                    yield from _nearest(ids, q, pdf["row_id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(float), k, metric)
+
+        out = base.select("row_id", "embedding").mapInPandas(scan, "qid long, row_id long, dist double")
     return top_per(out, "qid", k, "dist", "row_id").select("qid", "rank", "row_id", "dist")
 
 
@@ -75,6 +89,16 @@ def route_two_level(queries: DataFrame, centroids: DataFrame, supers: DataFrame,
     return top_per(scored, "qid", nprobe, "score", "cluster_id").select("qid", "qvec", "cluster_id", F.col("rank").alias("cluster_rank"), "score", "centroid")
 
 
+def super_count(nprobe: int, nlist: int, override: int = 0, factor: float = 0.0) -> int:
+    """Super-centroids to expand: as given, else ``factor`` a probe, else one for each 128 clusters; between 1 and nlist."""
+    want = override or (int(np.ceil(factor * nprobe)) if factor > 0 else -(-nlist // 128))
+    return max(1, min(nlist, want))
+
+
+def child_budget(nprobe: int, nlist: int, factor: int = 1) -> int:
+    return min(nlist, max(1, factor) * nprobe)
+
+
 def probe(probes: DataFrame, members: DataFrame) -> DataFrame:
     """Candidates of all probed clusters, once each."""
     return probes.join(members, "cluster_id").dropDuplicates(["qid", "row_id"])

@@ -107,3 +107,51 @@ def read_columns(spark: SparkSession, path: str, columns: list[str] | None = Non
     if missing := [c for c in columns or () if c not in table.columns]:
         raise KeyError(f"no such columns: {missing}")
     return table.select(*columns) if columns else table
+
+
+def npy_bytes(rows: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array(out, np.ascontiguousarray(rows), version=(1, 0), allow_pickle=False)
+    return out.getvalue()
+
+
+def write_vectors(df: DataFrame, folder: str, column: str = "embedding", kind: str = "fvecs", file_rows: int = 262_144) -> int:
+    """Rows of ``column`` (arrays, or numbers for npy) in their order as files ``part-NNNNN`` of .fvecs, .ivecs or .npy; returns the number of files.
+
+    Files of at most ``file_rows`` rows are made on the executors and pass through the driver one at a time, to any store that Spark can write to. Null vectors are refused.
+    """
+    if kind not in ("fvecs", "ivecs", "npy"):
+        raise ValueError(f"no vector format: {kind}")
+
+    def blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            if pdf[column].isna().any():
+                raise ValueError("null vector")
+            held += pdf[column].tolist()
+            while len(held) >= file_rows:
+                yield shape(held[:file_rows])
+                held = held[file_rows:]
+        if held:
+            yield shape(held)
+
+    def shape(rows: list) -> pd.DataFrame:
+        a = np.array(rows)
+        a = a.astype({"fvecs": "<f4", "ivecs": "<i4", "npy": "<i8" if a.dtype.kind == "i" else "<f4"}[kind])
+        return pd.DataFrame({"raw": [npy_bytes(a) if kind == "npy" else vecs_bytes(a, a.dtype.str)]})
+
+    spark, n = df.sparkSession, 0
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for row in df.select(column).mapInPandas(blobs, "raw binary").toLocalIterator():
+        path = hadoop(f"{folder}/part-{n:05d}.{kind}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)
+        out.write(bytes(row["raw"]))
+        out.close()
+        n += 1
+    return n
+
+
+def export_clustering(centroids: DataFrame, members: DataFrame, folder: str) -> None:
+    """Centroids (.fvecs, by cluster) and each row's cluster (.ivecs of width 1, by row)."""
+    write_vectors(centroids.orderBy("cluster_id"), f"{folder}/centroids", "centroid", "fvecs")
+    write_vectors(members.orderBy("row_id").select(F.array(F.col("cluster_id").cast("int")).alias("cluster")), f"{folder}/assignments", "cluster", "ivecs")

@@ -145,3 +145,48 @@ def test_index_odd_rows(spark, sf, tmp_path):
     spark.createDataFrame([(9, 64, 10, 3, 42)], "version int, dim int, nlist int, ex_bits int, seed long").write.mode("overwrite").parquet(str(tmp_path / "i/settings"))
     with pytest.raises(ValueError):
         I.open_index(spark, str(tmp_path / "i"))
+
+
+def test_many_queries_are_searched_in_blocks(spark, sf, monkeypatch):
+    base, q = catalog._base(spark, sf), catalog._queries(spark, sf)
+    want = {m: S.exact_search(q, base, 7, m).collect() for m in ("l2", "ip")}
+    monkeypatch.setattr(S, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(S, "BASE_BLOCK", 90)
+    for m in want:
+        got = {(r["qid"], r["rank"]): r for r in S.exact_search(q, base, 7, m).collect()}
+        assert len(got) == len(want[m])
+        assert all(got[r["qid"], r["rank"]]["row_id"] == r["row_id"] and abs(got[r["qid"], r["rank"]]["dist"] - r["dist"]) < 1e-9 for r in want[m])
+    assert S.exact_search(q.limit(0), base, 7).isEmpty() and S.exact_search(q, base.limit(0), 7).isEmpty()
+
+
+def test_routing_counts():
+    assert [S.super_count(8, 1000), S.super_count(8, 1000, 5), S.super_count(8, 10, 0, 2.0), S.super_count(1, 1)] == [8, 5, 10, 1]
+    assert [S.child_budget(8, 100, 2), S.child_budget(8, 10, 2), S.child_budget(8, 100, 0)] == [16, 10, 8]
+
+
+def test_vector_sinks(spark, tmp_path):
+    x = np.arange(40, dtype="<f4").reshape(10, 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, embedding array<float>").coalesce(1)
+    for kind in ("fvecs", "npy"):
+        assert R.write_vectors(df, str(tmp_path / kind), kind=kind, file_rows=4) == 3
+        got = R.read_vectors(spark, f"{tmp_path / kind}/*.{kind}").orderBy("file", "row_id").collect()
+        assert [list(r["embedding"]) for r in got] == x.tolist()
+    with pytest.raises(ValueError):
+        R.write_vectors(df, str(tmp_path / "x"), kind="txt")
+    R.export_clustering(df.select(F.col("row_id").alias("cluster_id"), F.col("embedding").alias("centroid")), df.select("row_id", (F.col("row_id") % 3).alias("cluster_id")), str(tmp_path / "c"))
+    back = R.read_vectors(spark, f"{tmp_path / 'c/assignments'}/*.ivecs").orderBy("file", "row_id").collect()
+    assert [r["embedding"][0] for r in back] == [i % 3 for i in range(10)]
+
+
+def test_addresses_round_trip():
+    sizes = np.array([1, 2, 5, 1, 300, 1, 7]) * 16
+    offsets = 64 + np.cumsum(sizes) - sizes
+    a, b = C.decode_addresses(C.encode_addresses(offsets, sizes, 16, 3), 16)
+    assert (a == offsets).all() and (b == sizes).all() and not len(C.decode_addresses([], 16)[0])
+    with pytest.raises(ValueError):
+        C.encode_addresses(offsets + 1, sizes, 16)
+
+
+def test_block_ratios():
+    assert C.block_ratios(bytes(8192))["zlib"] < 0.05 and C.block_ratios(b"")["lzma"] == 1.0
+    assert C.block_ratios(np.random.default_rng(0).bytes(8192))["bz2"] == 1.0
