@@ -196,7 +196,7 @@ def _active(threshold: float):
 
 
 def _link_cells(threshold: float, percent: int):
-    """Confirms a cell's pairs on full sets, likeliest first; pairs that the cell has already joined are passed over."""
+    """Confirms a cell's pairs on full sets, likeliest first, and gives their components as edges; pairs that the cell has already joined are passed over."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
@@ -204,7 +204,7 @@ def _link_cells(threshold: float, percent: int):
             if not a:
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in cell["set"].to_pylist()]
-            ids, comp = cell["id"].to_numpy(), cell["comp"].to_numpy()
+            comp = cell["comp"].to_numpy()
             up: dict[int, int] = {}
 
             def top(c: int, up: dict[int, int] = up) -> int:
@@ -222,7 +222,7 @@ def _link_cells(threshold: float, percent: int):
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 if common and 100 * common >= percent * (len(both) - common):
                     up[max(ci, cj)] = min(ci, cj)
-                    u.append(ids[i]), v.append(ids[j])
+                    u.append(comp[i]), v.append(comp[j])
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -301,10 +301,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = _confirmed(scratch.keep(likely(star), "pairs"), docs, percent, scratch)
     # Rows of one id with different sets are one document.
-    twice = real.groupBy("id").agg(F.min("fa").alias("lo"), F.max("fa").alias("hi")).filter("lo <> hi")
-    own = real.join(twice, "id", "left_semi").join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    extra = scratch.keep(own, "same")
-    links = first.union(extra)
+    twice = scratch.keep(real.groupBy("id").agg(F.min("fa").alias("lo"), F.max("fa").alias("hi")).filter("lo <> hi").select("id"), "twice")
+    links = first
+    if not twice.isEmpty():
+        own = real.join(twice, "id", "left_semi").join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+        links = first.union(scratch.keep(own, "same"))
     comps = scratch.keep(components(links, scratch), "comps")
 
     # Pairs of different components that share a bucket.
@@ -324,10 +325,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = texts.mapInArrow(_sets, "id long, set binary")
     second = scratch.keep(by_cell(active.join(sets, "id").select(*active.columns, "set")).mapInArrow(_link_cells(threshold, percent), "u long, v long"), "links")
     scratch.drop(active)
-    links = links.union(second)
-    comps2 = scratch.keep(components(links, scratch), "comps")
-    scratch.drop(members, comps)
-    reps = classes.select("fa", "fb", "n", "rep").join(comps2.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", "n", F.coalesce("component", "rep").alias("c"))
+    joined = scratch.keep(components(second, scratch), "joined")
+    scratch.drop(members)
+    near = classes.select("fa", "fb", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", "n", F.coalesce("component", "rep").alias("node"))
+    reps = near.join(joined, "node", "left").select("fa", "fb", "n", F.coalesce("component", "node").alias("c"))
     out = sketches.select("id", "n", "fa", "fb").join(reps, ["fa", "fb", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
