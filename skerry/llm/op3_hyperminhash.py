@@ -15,8 +15,8 @@
    lack of a pivot, and a bucket of near copies costs time in proportion to its size.
 
 With 24 bands of 5, a pair at similarity 0.85 escapes all bands with probability 8e-7, one at 0.9 with 1e-9. The estimate
-rejects a pair at 0.85 with probability 4e-6. Sets of six or fewer shingles can only be linked if they are
-equal, so they are not banded.
+rejects a pair at 0.85 with probability 4e-6. A set of n shingles is most similar to one that adds a single shingle, at n / (n + 1), so only
+sets with n * (100 - percent) < percent can be linked by equality alone and are not banded: five or fewer at 85 %, three or fewer at 80 %.
 
 Null and empty texts have no shingles, are linked with nothing and are their own component. Null ids take
 no part: their component is null and they are kept. Rows that repeat an id form one component with it. Columns besides id and text are not read.
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = sketches.filter("n > 0 and id is not null")
     classes = real.groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "sketch")).alias("x")).select("fa", "fb", "n", F.col("x.id").alias("rep"), F.col("x.sketch").alias("sketch"))
     classes = scratch.keep(classes, "classes")
-    wide = classes.filter("n > 6").select(F.col("rep").alias("id"), "sketch", "n")
+    wide = classes.filter(f"n * {100 - percent} >= {percent}").select(F.col("rep").alias("id"), "sketch", "n")
     bands = scratch.keep(wide.mapInArrow(_band_keys, "id long, bucket long, n long, band int"), "bands")
     buckets = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).filter("m > 1")
     members = scratch.keep(bands.join(buckets, "bucket").select("bucket", "band", "id", "n", "pivot"), "members")

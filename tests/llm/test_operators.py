@@ -104,6 +104,31 @@ def test_near_duplicates_chain_and_hot_bucket(spark, monkeypatch):
     assert got == up
 
 
+def brute_components(rows, percent):
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    up, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if up[b] < up[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    up[a], changed = up[b], True
+    return up
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_of_small_sets(spark, percent):
+    """Texts of few words, each with the same text and one word more at an end, and a chain through them, against brute force."""
+    rows = []
+    for n in range(7, 13):
+        w = [f"s{n}x{i}" for i in range(n)]
+        rows += [(n * 10, " ".join(w)), (n * 10 + 1, " ".join([*w, "after"])), (n * 10 + 2, " ".join(["before", *w, "after"])), (n * 10 + 3, " ".join(w[1:]))]
+    got = {r["doc_id"]: r["component_id"] for r in op3_hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    want = brute_components(rows, percent)
+    assert want[101] == 100 and (want[81] == 80) == (percent == 80)
+    assert got == want
+
+
 def test_toxicity_on_held_out_misspellings(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(2, 8)))
