@@ -23,6 +23,8 @@ from skerry.llm.shared import Scratch
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot express the forest of the secret scan or the token ids of packing; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: Similarity of word shingles that makes near copies, in hundredths; op3_hyperminhash alone is set to 85.
+PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id stays of each group."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """The document of smallest id stays of each group; texts are linked from a similarity of PERCENT on."""
+    kept = near_duplicates(docs, percent=PERCENT).filter("kept and doc_id is not null").select("doc_id").distinct()
     whole = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
     one = whole.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
     return one.select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))

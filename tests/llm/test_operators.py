@@ -284,3 +284,12 @@ def test_pipeline_stages(spark, odd, empty, tmp_path):
             if rows is docs and k == 2:
                 assert "[SECRET]" in now.filter("doc_id = 20").first()["text"]
     assert now.isEmpty()
+
+
+def test_pipeline_links_near_copies_from_80_percent_on(spark):
+    """96 shingles each; one changed word in the middle takes 5 of them, so two leave 86 of 106 in common (0.81) and three 81 of 111 (0.73)."""
+    base = [f"w{i}" for i in range(100)]
+    change = lambda *at: " ".join("other" + w if i in at else w for i, w in enumerate(base))
+    docs = spark.createDataFrame([(1, change(), "en", "a", 1, ""), (2, change(30, 60), "en", "a", 1, ""), (3, change(20, 50, 80), "en", "a", 1, "")], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+    assert {r["component_id"] for r in op3_hyperminhash.near_duplicates(docs).collect()} == {1, 2, 3}
