@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 from skerry.llm.blocks import Block, first_of_each, mix, repeated, text_blocks, windows
 
 #: n-gram length -> largest share of word characters inside n-grams that occur twice or more.
-NGRAM_LIMITS = {4: 0.55, 6: 0.5, 10: 0.5}
+NGRAM_LIMITS = {4: 0.12, 6: 0.11, 10: 0.1}
 #: Largest share of word characters inside lines that occur twice or more.
-LINE_LIMIT = 0.5
+LINE_LIMIT = 0.12
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 STARTS = (np.arange(256) & 0xC0) != 0x80
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)

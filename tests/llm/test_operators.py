@@ -69,6 +69,14 @@ def test_quality_rejects_repeated_lines_only(spark):
     assert v["kept"].tolist() == [True, False]
 
 
+def test_quality_rejects_repeated_ngrams_that_pass_the_base_rule():
+    """One line each: a passage of 30 words twice, and one of 6, among 140 others."""
+    others, passage = [f"word{i}" for i in range(140)], [f"again{i}" for i in range(30)]
+    v = op10_quality.judge_block(next(text_blocks(pa.array([" ".join([*p, *others, *p]) for p in (passage, passage[:6])]))))
+    assert v["base_failed"].tolist() == [False, False] and v["line_coverage"].tolist() == [0, 0]
+    assert (v["coverage_10"] > 0.1).tolist() == [True, False] and v["kept"].tolist() == [False, True]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = op3_hyperminhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
