@@ -6,20 +6,24 @@
    follow the leading one. Every register sees the whole set, as splitting one hash over buckets would leave
    a short text's buckets empty.
 2. Texts with equal sets fall into one class, by a pre-aggregated minimum: thousands of copies become one row.
+   A class is known by the id and the text hash of one of its rows, so an id with several texts has a class for each.
 3. Classes are banded on compressed registers. In each bucket every class is paired with the bucket's
-   smallest id only; a pair goes on if its collision-corrected Jaccard estimate is at least
-   threshold - SLACK, and is then confirmed on the full sets. Components of confirmed links follow.
-4. Buckets that still hold several components are searched again for pairs of different components: members are
-   dealt into cells of bounded size, each pair of cells is one group, estimates are compared in numpy, likely
-   pairs are confirmed on the full sets there and then, and only confirmed links are emitted. So no link between different components is left out for
-   lack of a pivot, and a bucket of near copies costs time in proportion to its size.
-
-With 24 bands of 5, a pair at similarity 0.85 escapes all bands with probability 8e-7, one at 0.9 with 1e-9. The estimate
-rejects a pair at 0.85 with probability 4e-6. A set of n shingles is most similar to one that adds a single shingle, at n / (n + 1), so only
+   smallest only; a pair goes on if its collision-corrected Jaccard estimate is at least
+   the threshold less ``slack``, and is then confirmed on the full sets. Components of confirmed links follow.
+4. Buckets that still hold several components are searched again for pairs of different components. Members of the
+   bucket's largest component and all others are dealt into cells of bounded size; each pair of cells that holds others is one group,
+   estimates are compared in numpy, likely pairs are confirmed on the full sets there and then, and only confirmed links are emitted. So no link
+   between different components is left out for lack of a pivot, and m members of which o are outside the largest component cost
+   m * o comparisons, not m * m.
+
+``layout`` takes, for any percentage, as many registers a band as leave a pair at the threshold outside all bands with a probability of at most MISS:
+24 bands of 5 at 85 % (8e-7), 30 of 4 at 80 % (1e-7). ``slack`` is five standard deviations of the estimate at the threshold.
+A set of n shingles is most similar to one that adds a single shingle, at n / (n + 1), so only
 sets with n * (100 - percent) < percent can be linked by equality alone and are not banded: five or fewer at 85 %, three or fewer at 80 %.
 
 Null and empty texts have no shingles, are linked with nothing and are their own component. Null ids take
-no part: their component is null and they are kept. Rows that repeat an id form one component with it. Columns besides id and text are not read.
+no part: their component is null and they are kept. Rows that repeat an id form one component with it, whatever their texts. An empty table gives
+no rows. Very long texts form a block of their own. Columns besides id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,12 +39,14 @@ from skerry.llm.blocks import BASE, Block, first_of_each, mix, text_blocks, wind
 from skerry.llm.components import components
 from skerry.llm.shared import Scratch
 
-SHINGLE, ROWS, BANDS, MANTISSA = 5, 5, 24, 10
-REGISTERS = ROWS * BANDS
-SLACK = 0.16
+SHINGLE, REGISTERS, MANTISSA = 5, 120, 10
+#: Largest probability that a pair at the threshold shares no band.
+MISS = 1e-5
 #: A cell of a bucket holds about so many classes, and so many shingles, at most.
 CELL, CELL_SHINGLES = 1000, 1_000_000
 MAP_BITS = 23
+PAIR = "a long, ta long, b long, tb long"
+PAIR_NAMES = ["a", "ta", "b", "tb"]
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64)
@@ -49,6 +55,19 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 COLLISION = 2.0**-MANTISSA / 3
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and registers a band: the longest bands that miss a pair at the threshold with a probability of at most MISS."""
+    if not 10 <= percent <= 100:
+        raise ValueError(f"percent must be between 10 and 100: {percent}")
+    rows = max(r for r in range(1, REGISTERS + 1) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISS)
+    return REGISTERS // rows, rows
+
+
+def slack(percent: int) -> float:
+    share = percent / 100
+    return 5 * (share * (1 - share) / REGISTERS) ** 0.5
+
+
 def shingles(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles in text order, and each one's text."""
     words, doc, first = b.words(), b.word_doc, b.first_word
@@ -107,31 +126,36 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batch.column(1)):
             size, x, y, registers = sketch_block(b)
             raw = pa.array([r.tobytes() for r in registers], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), pa.array(size, pa.int64()), pa.array(x), pa.array(y), raw], ["id", "n", "fa", "fb", "sketch"])
+            own = [batch.column(k).slice(b.first, b.docs) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(x), pa.array(y), raw], ["id", "th", "n", "fa", "fb", "sketch"])
 
 
-def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        r = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.arange(BANDS, dtype=np.uint64)[None, :] * _GOLDEN
-        for k in range(ROWS):
-            key = mix(key + r[:, :, k] + np.uint64(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        size = batch.column(2).to_numpy(zero_copy_only=False)
-        band = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(size, BANDS)), pa.array(band)], ["id", "bucket", "n", "band"])
+def _band_keys(bands: int, rows: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            key = np.arange(bands, dtype=np.uint64)[None, :] * _GOLDEN
+            for k in range(rows):
+                key = mix(key + r[:, :, k] + np.uint64(1))
+            own = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), bands)) for k in (0, 1, 3)]
+            band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(key.reshape(-1).view(np.int64)), own[2], pa.array(band)], ["id", "th", "bucket", "n", "band"])
 
+    return keys
+
+
+def _likely(percent: int):
+    least = percent / 100 - slack(percent)
 
-def _likely(threshold: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            good = pa.array(estimate(a, b) >= threshold - SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
+            good = pa.array(estimate(a, b) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(4)], PAIR_NAMES)
 
     return keep
 
@@ -156,38 +180,37 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _cell_pairs(cell: pa.Table, threshold: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def _cell_pairs(cell: pa.Table, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Row pairs of different components that may be linked, and their estimates. A pair counts in the first bucket that it shares only."""
+    bands, rows = layout(percent)
+    least = percent / 100 - slack(percent)
     size, comp, side = (cell[c].to_numpy() for c in ("n", "comp", "side"))
     registers = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    bands = registers.reshape(-1, BANDS, ROWS)
-    key = cell["band"][0].as_py()
-    left = np.flatnonzero(side == side.min())
-    right = np.flatnonzero(side == side.max())
-    same = side.min() == side.max()
+    banded = registers[:, : bands * rows].reshape(-1, bands, rows)
+    key, x, y = (cell[c][0].as_py() for c in ("band", "x", "y"))
+    left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
     a, b, how = [], [], []
     for at, i in enumerate(left):
-        j = right[at + 1 :] if same else right
-        j = j[(comp[j] != comp[i]) & (100 * threshold * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))]
+        j = right[at + 1 :] if x == y else right
+        j = j[(comp[j] != comp[i]) & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))]
         if not len(j):
             continue
-        equal = registers[j] == registers[i]
-        likely = (np.count_nonzero(equal, axis=1) / REGISTERS - COLLISION) / (1 - COLLISION)
-        good = likely >= threshold - SLACK
+        likely = estimate(registers[j], registers[i])
+        good = likely >= least
         if key and good.any():
-            good &= ~(bands[j, :key] == bands[i, :key]).all(axis=2).any(axis=1)
+            good &= ~(banded[j, :key] == banded[i, :key]).all(axis=2).any(axis=1)
         if good.any():
             a.append(np.full(int(good.sum()), i)), b.append(j[good]), how.append(likely[good])
     return a, b, np.concatenate(how) if how else np.zeros(0)
 
 
-def _active(threshold: float):
+def _active(percent: int):
     """Rows of a cell that have a pair to confirm in it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
             if cell.num_rows > 1:
-                a, b, _ = _cell_pairs(cell, threshold)
+                a, b, _ = _cell_pairs(cell, percent)
                 if a:
                     rows = cell.take(pa.array(np.unique(np.concatenate([*a, *b])))).combine_chunks()
                     yield from rows.to_batches()
@@ -195,12 +218,12 @@ def _active(threshold: float):
     return find
 
 
-def _link_cells(threshold: float, percent: int):
+def _link_cells(percent: int):
     """Confirms a cell's pairs on full sets, likeliest first, and gives their components as edges; pairs that the cell has already joined are passed over."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
-            a, b, how = _cell_pairs(cell, threshold)
+            a, b, how = _cell_pairs(cell, percent)
             if not a:
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in cell["set"].to_pylist()]
@@ -231,10 +254,10 @@ def _link_cells(threshold: float, percent: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in text_blocks(batch.column(1)):
+        for b in text_blocks(batch.column(2)):
             h, owner = shingles(b)
             cut = np.searchsorted(owner, np.arange(b.docs + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), pa.array([h[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(b.first, b.docs) for k in (0, 1)), pa.array([h[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "th", "set"])
 
 
 def _confirm(percent: int):
@@ -255,78 +278,86 @@ def _confirm(percent: int):
     return keep
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids, which are distinct.
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents with one of the (id, text hash), which are distinct; repeated rows once.
 
-    The ids set bits of a map of 2**MAP_BITS bits, at most 2**(MAP_BITS - 6) rows of one long, and only documents whose bit is set are
-    shuffled to the exact join. With more ids the map fills up and sifts less, but nothing is lost. The exact join is an inner one, as the
+    They set bits of a map of 2**MAP_BITS bits, at most 2**(MAP_BITS - 6) rows of one long, and only documents whose bit is set are
+    shuffled to the exact join. With more of them the map fills up and sifts less, but nothing is lost. The exact join is an inner one, as the
     optimizer would move a semi join below the map's.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
-    word, mask = F.shiftrightunsigned(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << MAP_BITS}) % 64 as int))")
-    bits = ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << MAP_BITS))
+    word, mask = F.shiftrightunsigned(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, th), {1 << MAP_BITS}) % 64 as int))")
+    bits = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
     sifted = docs.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(mask) != 0).select(*docs.columns)
-    return sifted.join(ids.hint("merge"), "id")
+    return sifted.join(wanted.hint("merge"), ["id", "th"]).groupBy("id", "th").agg(F.min("text").alias("text"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough, as edges."""
-    need = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = scratch.keep(_only(docs, need).groupBy("id").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta").hint("merge"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb").hint("merge"), "b")
-    out = scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "u long, v long"), "links")
-    scratch.drop(texts)
+    """Pairs whose full sets are similar enough, as edges between ids."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ta").alias("th")), F.struct(F.col("b").alias("id"), F.col("tb").alias("th"))))
+    need = scratch.keep(pairs.select(ends.alias("x")).select("x.*").distinct(), "ids")
+    texts = scratch.keep(_only(docs, need), "texts")
+    both = pairs
+    for k in ("a", "b"):
+        both = both.join(texts.select(F.col("id").alias(k), F.col("th").alias(f"t{k}"), F.col("text").alias(f"text_{k}")).hint("merge"), [k, f"t{k}"])
+    out = scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "u long, v long"), "links")
+    scratch.drop(texts, need, pairs)
     return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``; see the module's text."""
-    spark, threshold = docs.sparkSession, percent / 100
+    spark, (n_bands, rows) = docs.sparkSession, layout(percent)
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = scratch.keep(docs.mapInArrow(_sketches, "id long, n long, fa long, fb long, sketch binary"), "sketches")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    sketches = scratch.keep(docs.mapInArrow(_sketches, "id long, th long, n long, fa long, fb long, sketch binary"), "sketches")
     real = sketches.filter("n > 0 and id is not null")
-    classes = real.groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "sketch")).alias("x")).select("fa", "fb", "n", F.col("x.id").alias("rep"), F.col("x.sketch").alias("sketch"))
+    classes = real.groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "th", "sketch")).alias("x")).select("fa", "fb", "n", F.col("x.id").alias("rep"), F.col("x.th").alias("th"), F.col("x.sketch").alias("sketch"))
     classes = scratch.keep(classes, "classes")
-    wide = classes.filter(f"n * {100 - percent} >= {percent}").select(F.col("rep").alias("id"), "sketch", "n")
-    bands = scratch.keep(wide.mapInArrow(_band_keys, "id long, bucket long, n long, band int"), "bands")
-    buckets = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).filter("m > 1")
-    members = scratch.keep(bands.join(buckets, "bucket").select("bucket", "band", "id", "n", "pivot"), "members")
+    wide = classes.filter(f"n * {100 - percent} >= {percent}").select(F.col("rep").alias("id"), "th", "sketch", "n")
+    bands = scratch.keep(wide.mapInArrow(_band_keys(n_bands, rows), "id long, th long, bucket long, n long, band int"), "bands")
+    buckets = bands.groupBy("bucket").agg(F.min(F.struct("id", "th")).alias("pivot"), F.count("*").alias("m")).filter("m > 1")
+    members = scratch.keep(bands.join(buckets, "bucket").select("bucket", "band", "id", "th", "n", F.col("pivot.id").alias("a"), F.col("pivot.th").alias("ta")), "members")
     scratch.drop(bands)
-    star = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.filter("id <> a or th <> ta").select("a", "ta", F.col("id").alias("b"), F.col("th").alias("tb")).distinct()
 
     def likely(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(wide.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(wide.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return full.select("a", "b", "sa", "sb").mapInArrow(_likely(threshold), "a long, b long")
+        for k in ("a", "b"):
+            pairs = pairs.join(wide.select(F.col("id").alias(k), F.col("th").alias(f"t{k}"), F.col("sketch").alias(f"s{k}")), [k, f"t{k}"])
+        return pairs.select(*PAIR_NAMES, "sa", "sb").mapInArrow(_likely(percent), PAIR)
 
-    first = _confirmed(scratch.keep(likely(star), "pairs"), docs, percent, scratch)
+    links = _confirmed(scratch.keep(likely(star), "pairs"), docs, percent, scratch)
     # Rows of one id with different sets are one document.
     twice = scratch.keep(real.groupBy("id").agg(F.min("fa").alias("lo"), F.max("fa").alias("hi")).filter("lo <> hi").select("id"), "twice")
-    links = first
     if not twice.isEmpty():
         own = real.join(twice, "id", "left_semi").join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-        links = first.union(scratch.keep(own, "same"))
+        links = links.union(scratch.keep(own, "same"))
     comps = scratch.keep(components(links, scratch), "comps")
 
     # Pairs of different components that share a bucket.
-    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
-    room = F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)
-    open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(room).cast("int").alias("cells")).filter("lo <> hi").select("bucket", "cells")
-    dealt = placed.join(open_buckets, "bucket").withColumn("cell", F.pmod(F.xxhash64("id", "bucket"), F.col("cells")).cast("int"))
-    dealt = dealt.select("bucket", "band", "id", "n", "comp", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")).join(wide.select("id", "sketch"), "id")
-    dealt = dealt.select("bucket", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "band", "id", "n", "comp", F.col("cell").alias("side"), "sketch")
-    kind = "bucket long, x int, y int, band int, id long, n long, comp long, side int, sketch binary"
+    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "th", "n", F.coalesce("component", "id").alias("comp"))
+    groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    cells = lambda m, w: F.ceil(F.greatest(m / CELL, w / CELL_SHINGLES)).cast("int")
+    open_buckets = groups.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("m", "w", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w")).filter("k > 1")
+    rest = (F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w"))
+    open_buckets = open_buckets.select("bucket", F.col("top.comp").alias("largest"), cells(*rest).alias("few"), cells(F.col("top.m"), F.col("top.w")).alias("many"))
+    inside, hashed = F.col("comp") == F.col("largest"), F.xxhash64("id", "th", "bucket")
+    side = F.when(inside, F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1))
+    dealt = placed.join(open_buckets, "bucket").select("bucket", "band", "id", "th", "n", "comp", side.alias("side"), others.alias("other")).join(wide.select("id", "th", "sketch"), ["id", "th"])
+    dealt = dealt.select("bucket", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "band", "id", "th", "n", "comp", "side", "sketch")
+    kind = "bucket long, x int, y int, band int, id long, th long, n long, comp long, side int, sketch binary"
 
     def by_cell(df: DataFrame) -> DataFrame:
         return df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
-    active = scratch.keep(by_cell(dealt).mapInArrow(_active(threshold), kind), "active")
-    texts = _only(docs, scratch.keep(active.select("id").distinct(), "ids")).groupBy("id").agg(F.min("text").alias("text"))
-    sets = texts.mapInArrow(_sets, "id long, set binary")
-    second = scratch.keep(by_cell(active.join(sets, "id").select(*active.columns, "set")).mapInArrow(_link_cells(threshold, percent), "u long, v long"), "links")
-    scratch.drop(active)
+    active = scratch.keep(by_cell(dealt).mapInArrow(_active(percent), kind), "active")
+    need = scratch.keep(active.select("id", "th").distinct(), "ids")
+    sets = _only(docs, need).select("id", "th", "text").mapInArrow(_sets, "id long, th long, set binary")
+    second = scratch.keep(by_cell(active.join(sets, ["id", "th"]).select(*active.columns, "set")).mapInArrow(_link_cells(percent), "u long, v long"), "links")
+    scratch.drop(active, need, members)
     joined = scratch.keep(components(second, scratch), "joined")
-    scratch.drop(members)
+    scratch.drop(second)
     near = classes.select("fa", "fb", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", "n", F.coalesce("component", "rep").alias("node"))
     reps = near.join(joined, "node", "left").select("fa", "fb", "n", F.coalesce("component", "node").alias("c"))
     out = sketches.select("id", "n", "fa", "fb").join(reps, ["fa", "fb", "n"], "left")

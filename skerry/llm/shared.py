@@ -10,8 +10,12 @@ DEFAULT_ROOT = "/tmp/checkpoints/skerry"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset, one of our own (single-machine tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_ROOT
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and one machine does all, one of our own. On a cluster a folder must be named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = DEFAULT_ROOT
     return f"{root.rstrip('/')}/skerry-{spark.sparkContext.applicationId}"
 
 

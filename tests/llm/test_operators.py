@@ -137,6 +137,39 @@ def test_near_duplicates_of_small_sets(spark, percent):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [50, 70, 95, 100])
+def test_near_duplicates_at_other_percentages(spark, percent):
+    """Texts that share between half and all of their words, against brute force."""
+    rng = np.random.default_rng(percent)
+    rows = []
+    for g in range(6):
+        w = [f"g{g}w{i}" for i in range(80)]
+        rows += [(g * 100 + d, " ".join([*w[: 80 - 3 * d], *(f"x{g}-{d}-{k}" for k in range(3 * d))])) for d in rng.permutation(14).tolist()]
+    got = {r["doc_id"]: r["component_id"] for r in op3_hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == brute_components(rows, percent)
+    with pytest.raises(ValueError):
+        op3_hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=5)
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """An id's rows are one component, and each of its texts is compared."""
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(5, a), (5, b), (9, f"{b} more"), (3, f"first {a}"), (8, "something else altogether that stands on its own")]
+    got = collections.defaultdict(set)
+    for r in op3_hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert got == {5: {3}, 9: {3}, 3: {3}, 8: {8}}
+
+
+def test_near_duplicates_of_one_bucket_with_a_large_component(spark, monkeypatch):
+    """Cells hold few classes; the largest component is compared with what is outside it only, and all links are found."""
+    monkeypatch.setattr(op3_hyperminhash, "CELL", 5)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(d, " ".join([*base, f"end{d}"])) for d in range(30)] + [(100 + d, " ".join([*base[:50], *(f"o{k}" for k in range(9)), f"end{d}"])) for d in range(8)]
+    got = {r["doc_id"]: r["component_id"] for r in op3_hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 85) and set(got.values()) == {0, 100}
+
+
 def test_toxicity_on_held_out_misspellings(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(2, 8)))
