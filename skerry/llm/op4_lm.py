@@ -1,145 +1,252 @@
-"""Language-model scoring: exact add-one unigram counts of all training texts, and a log-bilinear neural model.
+"""Language-model scoring: exact add-one unigram counts of all training texts, and a log-bilinear neural model over the whole vocabulary.
 
-Tokens are A-Z lower-cased words, then one end. The model predicts one of ``shortlist`` frequent words, the end, or REST from the two tokens before:
-``q = R[w1] C1 + R[w2] C2``, score ``q . R[w] + b[w]``. A REST word then has (c+1) / (rest tokens + rest types + 1), so that all known
-words and one unknown share a probability of 1. R, C and b are trained in numpy by noise-contrastive estimation over every training text: each task
-takes one AdaGrad pass over its texts from common parameters, and parameters are averaged by tokens; ROUNDS such passes. Scoring normalises
-exactly, by one matrix product over a block's different contexts.
+Tokens are A-Z lower-cased words, then one end. From the two tokens before, ``q = R[w1] C1 + R[w2] C2``. A known word's probability is
 
-Counts never meet on the driver. Texts are dealt into chunks of bounded size; a chunk's different words are combined before the shuffle
-(chunk, word hash, training count), counted by word, and joined back to the chunks, where texts are scored against their
-chunk's counts. The most frequent words, a fixed number, are sent along instead of joined, so no join key is in more than a small share of the rows.
-Words are told apart by a 64-bit hash.
+    P(w | w1, w2) = u(w) exp(q . r(w) + b(w)) / Z,    u(w) = (c(w) + 1) / (N + V + 1)
+
+``r(w)`` is a row of its own for the end and for every word that has at least one in FREQUENT training tokens, however many those are (they cannot be more than FREQUENT).
+Every other word's is the sum of two rows: that of its beginning (first two bytes, BEGINNINGS hashed classes) and that of its ending (last three bytes, ENDINGS classes).
+So each known word has a vector, and Z is exact over the whole vocabulary however large: the words of rows of their own add up one by one, the others
+as ``a' M e`` with a and e the exponentials of beginnings and endings and M the summed u of the words of each pair. One unknown word has u = 1 / (N + V + 1)
+and factor 1. As a context, a word without a row of its own stands by its ending.
+
+R, C and b are trained in numpy by noise-contrastive estimation over every training text, with noise from u: each task takes one AdaGrad pass over its
+texts from common parameters, and parameters are averaged by tokens; ROUNDS such passes. Scoring takes batched matrix products over a chunk's different contexts.
+
+Counts never meet on the driver. Texts are tokenised once, into chunks of ``chunk_bytes`` at most (a longer text is a chunk by itself): a chunk's different words, their training
+counts, and each token's place among them. Chunks follow the order of rows within a task, so repeated rows, null ids and hot sources are spread like any others.
+Words are combined per chunk before the shuffle, counted by word, and joined back to the chunks. Words with rows of their own are sent along instead of joined, so no join
+key is in more than a small share of the rows. Words are told apart by a 64-bit hash.
 
 Null and empty texts are a lone end token. Repeated rows are counted and scored one by one; rows with a null id count as training texts.
-With no training texts N and V are 0. Other columns are not read.
+With no training texts N and V are 0 and all words are unknown. An empty table gives no rows. Columns besides doc_id, text and held_out are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.blocks import Block, text_blocks
+from skerry.llm.blocks import BLOCK_BYTES, LOWER, Block, mix, text_blocks
 from skerry.llm.op2_toxicity import held_out
 from skerry.llm.shared import Scratch
 
-SHORTLIST, WIDTH, NOISE, BATCH, RATE, ROUNDS = 512, 16, 64, 4096, 0.05, 2
-DOCS_PER_CHUNK = 1500
+FREQUENT, BEGINNINGS, ENDINGS = 8192, 64, 128
+WIDTH, NOISE, BATCH, RATE, ROUNDS = 16, 64, 4096, 0.05, 2
+CHUNK_BYTES, SLICE, TOKENS = 8 << 20, 2048, 1 << 18
 END = np.uint64(0x5EED0E4D)
-SLICE = 2048
+CHUNK = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, counts binary, cells binary"
+
 
+def forms(b: Block) -> np.ndarray:
+    """Each word's pair of beginning and ending, as one number."""
+    data = LOWER[b.data].astype(np.uint64)
+    size = b.end - b.start
+    at = lambda place, has: np.where(size > has, data[np.where(size > has, place, 0)], np.uint64(0)) if len(data) else np.zeros(0, np.uint64)
+    first = mix(at(b.start, 0) * np.uint64(257) + at(b.start + 1, 1)) % np.uint64(BEGINNINGS)
+    last = mix((at(b.end - 1, 0) * np.uint64(257) + at(b.end - 2, 1)) * np.uint64(257) + at(b.end - 3, 2)) % np.uint64(ENDINGS)
+    return (first * np.uint64(ENDINGS) + last).astype(np.uint16)
 
-def tokens(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' tokens with the ends, and where each text begins (one entry more)."""
+
+def tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and forms of all texts' tokens with the ends, and the number of tokens of each text."""
     size = np.diff(b.first_word) + 1
-    at = np.r_[0, np.cumsum(size)]
-    out = np.full(at[-1], END, np.uint64)
-    out[np.arange(len(b.word_doc)) + b.word_doc] = b.words()
-    return out, at
+    word = np.arange(len(b.word_doc)) + b.word_doc
+    h, cell = np.full(int(size.sum()), END, np.uint64), np.zeros(int(size.sum()), np.uint16)
+    h[word], cell[word] = b.words(), forms(b)
+    return h, cell, size
+
+
+def _pack(codes: np.ndarray, different: int) -> bytes:
+    """Byte planes, as upper ones are mostly zero and compress well."""
+    planes = 3 if different < 1 << 24 else 4
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes()
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    planes = len(raw) // n
+    out[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, n).T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def _chunks(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, used = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            ids, flags = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+            h, cell, size = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+            codes, different = pd.factorize(h)
+            times = np.bincount(codes, minlength=len(different))
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            codes, different = place[codes], different[order]
+            counts = np.bincount(codes, np.repeat(~flags.to_numpy(zero_copy_only=False), size), minlength=len(different)).astype("<i4")
+            form = np.zeros(len(different), "<u2")
+            form[codes] = cell
+            row = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, flags, pa.array(size, pa.int32())))]
+            return pa.RecordBatch.from_arrays([*row, *(pa.array([x], pa.binary()) for x in (_pack(codes, len(different)), different.astype("<u8").tobytes(), counts.tobytes(), form.tobytes()))], ["chunk", "ids", "held", "sizes", "codes", "words", "counts", "cells"])
+
+        for batch in batches:
+            for b in text_blocks(batch.column(1), min(limit, BLOCK_BYTES)):
+                if held and used + len(b.data) > limit:
+                    yield close()
+                    held, used, number = [], 0, number + 1
+                held.append((*(batch.column(k).slice(b.first, b.docs) for k in (0, 2)), *tokens(b)))
+                used += len(b.data)
+        if held:
+            yield close()
+
+    return run
 
 
-def _chunk_words(key: tuple, rows: pa.Table) -> pa.Table:
-    held = rows["held_out"].to_numpy()
-    hashes, counts = [], []
-    for b in text_blocks(rows["text"].combine_chunks()):
-        t, at = tokens(b)
-        train = np.repeat(~held[b.first : b.first + b.docs], np.diff(at))
-        codes, different = pd.factorize(t)
-        hashes.append(different), counts.append(np.bincount(codes, train, minlength=len(different)))
-    codes, different = pd.factorize(np.concatenate(hashes))
-    total = np.bincount(codes, np.concatenate(counts), minlength=len(different)).astype(np.int64)
-    return pa.table({"chunk": pa.array(np.full(len(different), key[0].as_py(), np.int64)), "h": pa.array(different.view(np.int64)), "n": pa.array(total)})
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, words, counts, cells in zip(*(batch.column(k) for k in range(4)), strict=True):
+            h = np.frombuffer(words.as_buffer(), np.int64)
+            n = np.frombuffer(counts.as_buffer(), np.int32)
+            cell = np.frombuffer(cells.as_buffer(), np.uint16).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk.as_py(), np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n), pa.array(cell)], ["chunk", "pos", "h", "n", "cell"])
+
+
+@dataclass
+class Vocabulary:
+    """What the driver knows of the training words: the totals, the words with rows of their own, and sums over the others' forms; all of bounded size."""
+
+    total: int
+    types: int
+    words: np.ndarray  # hashes in ascending order, without the end
+    counts: np.ndarray
+    ends: int
+    cells: np.ndarray  # BEGINNINGS x ENDINGS: sums of count + 1 over the other words
+
+    @property
+    def whole(self) -> int:
+        return self.total + self.types + 1
+
+    def own(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among the words with rows of their own, and whether they are there."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return at, self.words[at] == h
 
 
 class LogBilinear:
-    """Classes: the shortlist in order, then REST, then END (which also stands before a text)."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rest: int, ends: int):
-        order = np.argsort(words)
-        self.words, self.class_of = words[order], order
-        self.rest, self.end = len(words), len(words) + 1
-        share = np.r_[counts, rest, ends].astype(np.float64) + 0.5
-        self.noise = share / share.sum()
-        rng = np.random.default_rng(5)
-        n = len(share)
-        self.parts = {"R": rng.normal(0, 0.1, (n, WIDTH)), "C1": np.eye(WIDTH) * 0.5, "C2": np.eye(WIDTH) * 0.2, "b": np.log(self.noise)}
-        self.parts = {k: v.astype(np.float32) for k, v in self.parts.items()}
-
-    def classes(self, t: np.ndarray) -> np.ndarray:
-        out = np.full(len(t), self.rest, np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
-            hit = self.words[at] == t
-            out[hit] = self.class_of[at[hit]]
-        out[t == END] = self.end
-        return out
+    """Rows of R: the words with rows of their own, the end (which also stands before a text), beginnings, endings, and one of zeros."""
 
-    def contexts(self, c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes one and two tokens before."""
-        one, two = np.full(len(c), self.end), np.full(len(c), self.end)
-        one[1:], two[2:] = c[:-1], c[:-2]
-        begin = at[:-1]
-        one[begin] = self.end
-        two[begin] = self.end
-        second = begin[np.diff(at) > 1] + 1
-        two[second] = self.end
+    def __init__(self, vocabulary: Vocabulary):
+        v = self.vocabulary = vocabulary
+        self.end = len(v.words)
+        self.first, self.last, self.zero = self.end + 1, self.end + 1 + BEGINNINGS, self.end + 1 + BEGINNINGS + ENDINGS
+        rng = np.random.default_rng(5)
+        self.parts = {"R": rng.normal(0, 0.1, (self.zero + 1, WIDTH)), "C1": np.eye(WIDTH) * 0.5, "C2": np.eye(WIDTH) * 0.2, "b": np.zeros(self.zero + 1)}
+        self.parts = {k: x.astype(np.float32) for k, x in self.parts.items()}
+        self.parts["R"][self.zero] = 0
+        i, j = np.nonzero(v.cells)
+        self.noise_rows = np.concatenate((np.arange(self.end + 1), self.first + i)), np.concatenate((np.full(self.end + 1, self.zero), self.last + j))
+        share = np.concatenate((v.counts + 1, [v.ends + 1 if v.ends else 0], v.cells[i, j])).astype(float)
+        self.noise = np.cumsum(share) / max(share.sum(), 1)
+
+    def rows(self, h: np.ndarray, cell: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two target rows of words, and the one that they have as a context."""
+        at, hit = self.vocabulary.own(h)
+        cell = cell.astype(np.int64)
+        one = np.where(hit, at, self.first + cell // ENDINGS)
+        two = np.where(hit, self.zero, self.last + cell % ENDINGS)
+        context = np.where(hit, at, two)
+        end = h == END
+        one[end], two[end], context[end] = self.end, self.zero, self.end
+        if known is not None:
+            one[~known], two[~known] = self.zero, self.zero
+        return one, two, context
+
+    def before(self, context: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context rows one and two tokens before; ends stand before a text."""
+        one, two = np.full(len(context), self.end), np.full(len(context), self.end)
+        one[1:], two[2:] = context[:-1], context[:-2]
+        begin = np.cumsum(sizes) - sizes
+        one[begin], two[begin] = self.end, self.end
+        two[begin[sizes > 1] + 1] = self.end
         return one, two
 
-    def learn(self, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> int:
-        """One pass of noise-contrastive estimation; returns the tokens seen."""
+    def learn(self, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> int:
+        """One pass of noise-contrastive estimation over (target rows, context rows); returns the tokens seen."""
         p = {k: v.copy() for k, v in self.parts.items()}
         squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
-        rng = np.random.default_rng(6)
-        log_noise = (np.log(self.noise) + np.log(NOISE)).astype(np.float32)
-        n, seen = len(self.noise), 0
+        rng, n, seen, fair = np.random.default_rng(6), self.zero + 1, 0, np.float32(np.log(NOISE))
 
         def scatter(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
             return np.stack([np.bincount(rows, grad[:, k], minlength=n) for k in range(WIDTH)], axis=1).astype(np.float32)
 
-        for c, one, two in stream:
-            order = rng.permutation(len(c))
+        for columns in stream:
+            order = rng.permutation(len(columns[0]))
             for s in range(0, len(order), BATCH):
-                i = order[s : s + BATCH]
-                w, w1, w2 = c[i], one[i], two[i]
-                other = rng.choice(n, NOISE, p=self.noise)
-                e1, e2, ew, en = p["R"][w1], p["R"][w2], p["R"][w], p["R"][other]
+                a, z, w1, w2 = (c[order[s : s + BATCH]] for c in columns)
+                drawn = np.minimum(np.searchsorted(self.noise, rng.random(NOISE), "right"), len(self.noise) - 1)
+                na, nz = (r[drawn] for r in self.noise_rows)
+                e1, e2, target, other = p["R"][w1], p["R"][w2], p["R"][a] + p["R"][z], p["R"][na] + p["R"][nz]
                 q = e1 @ p["C1"] + e2 @ p["C2"]
-                good = np.einsum("ij,ij->i", q, ew) + p["b"][w] - log_noise[w]
-                bad = q @ en.T + p["b"][other] - log_noise[other]
-                dg = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / len(i)
-                db = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) / len(i)
-                dq = dg[:, None] * ew + db @ en
-                grads = {"C1": e1.T @ dq, "C2": e2.T @ dq}
-                r = scatter(np.r_[w, w1, w2], np.concatenate((dg[:, None] * q, dq @ p["C1"].T, dq @ p["C2"].T)))
-                np.add.at(r, other, db.T @ q)
-                grads["R"] = r
-                grads["b"] = (np.bincount(w, dg, minlength=n) + np.bincount(other, db.sum(0), minlength=n)).astype(np.float32)
-                for k, g in grads.items():
+                good = np.einsum("ij,ij->i", q, target) + p["b"][a] + p["b"][z] - fair
+                bad = q @ other.T + p["b"][na] + p["b"][nz] - fair
+                dg = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / len(a)
+                db = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) / len(a)
+                dq = dg[:, None] * target + db @ other
+                up = dg[:, None] * q
+                r, away, bias = scatter(np.concatenate((a, z, w1, w2)), np.concatenate((up, up, dq @ p["C1"].T, dq @ p["C2"].T))), db.T @ q, db.sum(0)
+                b = np.bincount(a, dg, minlength=n) + np.bincount(z, dg, minlength=n)
+                for rows in (na, nz):
+                    np.add.at(r, rows, away)
+                    np.add.at(b, rows, bias)
+                r[self.zero], b[self.zero] = 0, 0
+                for k, g in (("R", r), ("b", b.astype(np.float32)), ("C1", e1.T @ dq), ("C2", e2.T @ dq)):
                     squares[k] += g * g
                     p[k] -= RATE * g / np.sqrt(squares[k])
-            seen += len(c)
+            seen += len(order)
         self.parts = p
         return seen
 
-    def log_prob(self, c: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural log of each class given its context, normalised."""
-        p, n = self.parts, len(self.noise)
+    def log_z(self, q: np.ndarray) -> np.ndarray:
+        """Natural log of Z for each context vector; summands are clipped to exp(-60) to exp(60) times their u, as in :meth:`log_factor`."""
+        p, v = self.parts, self.vocabulary
+        own = np.concatenate((v.counts + 1, [v.ends + 1 if v.ends else 0])).astype(float) / v.whole
+        cells, out = (v.cells / v.whole).astype(np.float32), np.empty(len(q))
+        for s in range(0, len(q), SLICE):
+            g = q[s : s + SLICE] @ p["R"].T
+            g += p["b"]
+            np.exp(np.clip(g, -30, 30, out=g), out=g)
+            z = g[:, : self.first].astype(np.float64) @ own + 1 / v.whole
+            z += np.einsum("ij,ij->i", (g[:, self.first : self.last] @ cells).astype(np.float64), g[:, self.last : self.zero])
+            out[s : s + SLICE] = np.log(z)
+        return out
+
+    def log_factor(self, q: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """q . r(w) + b(w), row by row."""
+        p = self.parts
+        one, two = (np.clip(np.einsum("ij,ij->i", q, p["R"][r]) + p["b"][r], -30, 30) for r in (a, z))
+        return one.astype(np.float64) + two
+
+    def log_prob(self, log_u: np.ndarray, a: np.ndarray, z: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log of each token's probability given its context; ``log_u``: that of its u."""
+        p, n = self.parts, self.zero + 1
         code, different = pd.factorize(one * n + two)
         q = p["R"][different // n] @ p["C1"] + p["R"][different % n] @ p["C2"]
-        log_z = np.empty(len(different), np.float32)
-        for s in range(0, len(different), SLICE):
-            z = q[s : s + SLICE] @ p["R"].T
-            z += p["b"]
-            top = z.max(1)
-            z -= top[:, None]
-            log_z[s : s + SLICE] = np.log(np.exp(z, out=z).sum(1)) + top
-        return np.einsum("ij,ij->i", q[code], p["R"][c]) + p["b"][c] - log_z[code]
+        log_z = self.log_z(q)
+        out = log_u - log_z[code]
+        for s in range(0, len(code), TOKENS):
+            i = slice(s, s + TOKENS)
+            out[i] += self.log_factor(q[code[i]], a[i], z[i])
+        return out
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.parts[k].ravel() for k in ("R", "C1", "C2", "b")])
@@ -154,10 +261,12 @@ def _pass(model: LogBilinear):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for batch in batches:
-                for b in text_blocks(batch.column(0)):
-                    t, at = tokens(b)
-                    c = model.classes(t)
-                    yield (c, *model.contexts(c, at))
+                for flags, sizes, codes, words, cells in zip(*(batch.column(k) for k in range(5)), strict=True):
+                    flags, sizes = flags.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy()
+                    code = _unpack(codes.as_buffer(), int(sizes.sum()))
+                    a, z, context = (r[code] for r in model.rows(np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(cells.as_buffer(), np.uint16)))
+                    keep = np.repeat(~flags, sizes)
+                    yield tuple(x[keep] for x in (a, z, *model.before(context, sizes)))
 
         start = {k: v.copy() for k, v in model.parts.items()}
         seen = model.learn(stream())
@@ -169,58 +278,81 @@ def _pass(model: LogBilinear):
     return run
 
 
-def _score(model: LogBilinear, common: np.ndarray, common_count: np.ndarray, total: int, types: int, rest: int, rest_types: int):
+def _score(model: LogBilinear):
+    v = model.vocabulary
+
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
-        h = np.r_[counts["h"].to_numpy().view(np.uint64), common]
-        n = np.r_[counts["c"].to_numpy(), common_count]
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        parts = []
-        for b in text_blocks(rows["text"].combine_chunks()) if rows.num_rows else ():
-            t, at = tokens(b)
-            where = np.minimum(np.searchsorted(h, t), max(len(h) - 1, 0))
-            c = np.where(h[where] == t, n[where], 0) if len(h) else np.zeros(len(t), np.int64)
-            kind = model.classes(t)
-            one, two = model.contexts(kind, at)
-            lp = model.log_prob(kind, one, two).astype(np.float64) / np.log(10)
-            far = kind == model.rest
-            lp[far] += np.log10((c[far] + 1) / (rest + rest_types + 1))
-            base = np.log10((c + 1) / (total + types + 1))
-            parts.append((np.diff(at), np.add.reduceat(c > 0, at[:-1], dtype=np.int64), np.add.reduceat(base, at[:-1]), np.add.reduceat(lp, at[:-1])))
-        cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4)]
-        m = rows.num_rows
-        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "train_tokens": pa.array(np.full(m, total, np.int64)), "base_score": pa.array(cols[2].astype(float)), "score": pa.array(cols[3].astype(float))})
+        out = []
+        where, times = counts["pos"].to_numpy(), counts["c"].to_numpy()
+        for ids, flags, sizes, codes, words, cells in zip(*(rows[c].combine_chunks() for c in ("ids", "held", "sizes", "codes", "words", "cells")), strict=True):
+            size = sizes.values.to_numpy()
+            code, h = _unpack(codes.as_buffer(), int(size.sum())), np.frombuffer(words.as_buffer(), np.uint64)
+            c = np.zeros(len(h), np.int64)
+            c[where] = times
+            at, hit = v.own(h)
+            c[hit] = v.counts[at[hit]]
+            c[h == END] = v.ends
+            a, z, context = model.rows(h, np.frombuffer(cells.as_buffer(), np.uint16), c > 0)
+            one, two = model.before(context[code], size)
+            log_u = np.log((c + 1) / v.whole)[code]
+            lp = model.log_prob(log_u, a[code], z[code], one, two) / np.log(10)
+            begin = np.cumsum(size) - size
+            add = lambda x: np.add.reduceat(x, begin)
+            columns = [ids.values, flags.values, size.astype(np.int64), add((c > 0)[code].astype(np.int64)), np.full(len(size), v.total, np.int64), add(np.log10((c + 1) / v.whole)[code]), add(lp)]
+            out.append(pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        if not out:
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            return pa.table([pa.array([], k) for k in kinds], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.concat_tables(out)
 
     return run
 
 
-def score_texts(docs: DataFrame, shortlist: int = SHORTLIST, rounds: int = ROUNDS) -> DataFrame:
-    """``docs``: doc_id, text, held_out. Adds n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    chunks = max(1, -(-docs.count() // DOCS_PER_CHUNK))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    pairs = scratch.keep(dealt.groupBy("chunk").applyInArrow(_chunk_words, "chunk long, h long, n long"), "pairs")
-    counts = scratch.keep(pairs.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = int(END.astype(np.int64))
-    ends = next((r["c"] for r in counts.filter(f"h = {end}").collect()), 0)
-    top = counts.filter(f"h <> {end}").orderBy(F.desc("c"), "h").limit(shortlist).collect()
-    words = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    often = np.array([r["c"] for r in top], np.int64)
-    rest, rest_types = total - int(often.sum()) - ends, types - len(top) - (ends > 0)
-    model = LogBilinear(words, often, rest, ends)
-    for _ in range(rounds):
-        moved = docs.filter("not held_out").select("text").mapInArrow(_pass(model), "i int, x double, w double")
-        got = moved.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()  # one row a parameter
-        if len(got):
-            model.unflatten(got.sort_values("i")["x"].to_numpy())
-    common, common_count = np.r_[words, END], np.r_[often, ends]
-    sent = spark.createDataFrame([(int(x),) for x in common.view(np.int64)], "h long")
-    mine = pairs.select("chunk", "h").join(F.broadcast(sent), "h", "left_anti").join(counts, "h").select("chunk", "h", "c")
-    run = _score(model, common, common_count, total, types, rest, rest_types)
-    return dealt.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+class Corpus:
+    """Tokenised texts and their word counts in the shared folder."""
+
+    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES):
+        self.spark = docs.sparkSession
+        self.scratch = Scratch(self.spark, "lm")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
+        self.chunks = self.scratch.keep(rows.mapInArrow(_chunks(chunk_bytes), CHUNK), "chunks")
+        self.words = self.chunks.select("chunk", "words", "counts", "cells").mapInArrow(_words, "chunk long, pos int, h long, n int, cell int")
+        self.counts = self.scratch.keep(self.words.groupBy("h").agg(F.sum("n").alias("c"), F.min("cell").alias("cell")).filter("c > 0"), "counts")
+
+    def vocabulary(self, frequent: int = FREQUENT) -> Vocabulary:
+        total, types = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        end = int(END.astype(np.int64))
+        ends = next((r["c"] for r in self.counts.filter(f"h = {end}").collect()), 0)
+        top = self.counts.filter(f"h <> {end} and c * {frequent} >= {total}").collect()  # at most ``frequent`` words can have so large a share
+        order = np.argsort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+        words, counts = (np.array([r[k] for r in top], np.int64)[order] for k in ("h", "c"))
+        others = self.counts.filter(f"h <> {end} and c * {frequent} < {total}")
+        cells = np.zeros((BEGINNINGS, ENDINGS))
+        for r in others.groupBy("cell").agg(F.sum(F.col("c") + 1).alias("s")).collect():
+            cells[r["cell"] // ENDINGS, r["cell"] % ENDINGS] = r["s"]
+        return Vocabulary(total, types, words.view(np.uint64), counts, ends, cells)
+
+    def fit(self, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+        model = LogBilinear(vocabulary)
+        for _ in range(rounds if vocabulary.total else 0):
+            moved = self.chunks.select("held", "sizes", "codes", "words", "cells").mapInArrow(_pass(model), "i int, x double, w double")
+            got = moved.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()  # one row a parameter
+            if len(got):
+                model.unflatten(got.sort_values("i")["x"].to_numpy())
+        return model
+
+    def score(self, model: LogBilinear) -> DataFrame:
+        own = np.concatenate((model.vocabulary.words, [END])).astype(np.uint64).view(np.int64)
+        sent = self.spark.createDataFrame([(int(x),) for x in own], "h long")
+        mine = self.words.select("chunk", "pos", "h").join(F.broadcast(sent), "h", "left_anti").join(self.counts.select("h", "c"), "h").select("chunk", "pos", "c")
+        kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return self.chunks.drop("counts").groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(model), kind)
+
+
+def score_texts(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+    """``docs``: doc_id, text, held_out. Gives doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+    corpus = Corpus(docs)
+    return corpus.score(corpus.fit(corpus.vocabulary(frequent), rounds))
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

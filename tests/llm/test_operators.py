@@ -200,9 +200,53 @@ def test_lm_counts_and_normalisation(spark, sf):
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    m = op4_lm.LogBilinear(np.arange(10, dtype=np.uint64), np.arange(10, 0, -1), 5, 3)
-    k = np.arange(12)
-    assert math.isclose(float(np.exp(m.log_prob(k, np.full(12, 3), np.full(12, 4))).sum()), 1, rel_tol=1e-4)
+
+
+def test_lm_score_against_brute_force(spark):
+    """A vocabulary small enough to add up: every context's probabilities, of all known words and one unknown, sum to 1, and a text's score is the sum of its tokens'."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcé"), rng.integers(1, 5)))
+    rows = [(i, " ".join(word() for _ in range(12)), i % 5 == 0) for i in range(60)] + [(60, "", False), (61, None, True), (62, "Unseen-Word here", True)]
+    corpus = op4_lm.Corpus(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"))
+    vocabulary = corpus.vocabulary(frequent=40)
+    model = corpus.fit(vocabulary)
+    assert 0 < len(vocabulary.words) <= 40
+    split = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t, _ in rows}
+    count = collections.Counter(w for i, _, h in rows if not h for w in split[i])
+    whole = sum(count.values()) + len(count) + 1
+
+    def rows_of(w):
+        if w is None:
+            return np.array([op4_lm.END]), np.zeros(1, np.uint16)
+        b = next(text_blocks(pa.array([w])))
+        return b.words(), op4_lm.forms(b)
+
+    def factor(w, one, two):
+        context = [int(model.rows(*rows_of(x))[2][0]) for x in (one, two)]
+        q = sum(model.parts["R"][c] @ model.parts[k] for c, k in zip(context, ("C1", "C2"), strict=True))
+        if w not in count:
+            return 1 / whole
+        a, z, _ = (int(x[0]) for x in model.rows(*rows_of(w)))
+        return (count[w] + 1) / whole * math.exp(sum(float(q @ model.parts["R"][r] + model.parts["b"][r]) for r in (a, z)))
+
+    got = {r["doc_id"]: r for r in corpus.score(model).collect()}
+    for i in (0, 1, 2, 60, 61, 62):
+        score, one, two = 0.0, None, None
+        for w in split[i]:
+            total = 1 / whole + sum(factor(x, one, two) for x in count)
+            score += math.log10(factor(w, one, two) / total)
+            one, two = w, one
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-4), i
+    assert len({r["score"] for r in got.values()}) > 50
+
+
+def test_lm_of_many_equal_rows(spark):
+    """Equal rows are dealt over chunks of bounded size, and each gets the same score."""
+    docs = spark.createDataFrame([(None, "the same words again", None)] * 3000 + [(1, "other words", False)], "doc_id long, text string, held_out boolean").coalesce(1)
+    corpus = op4_lm.Corpus(docs, chunk_bytes=4000)
+    assert corpus.chunks.agg(F.max(F.size("ids"))).first()[0] <= 200 and corpus.chunks.select("chunk").distinct().count() == corpus.chunks.count()
+    out = corpus.score(corpus.fit(corpus.vocabulary())).collect()
+    assert len(out) == 3001 and len({round(r["score"], 9) for r in out if r["doc_id"] is None}) == 1
 
 
 def test_lm_of_odd_rows(odd, empty):
