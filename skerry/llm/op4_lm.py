@@ -11,10 +11,10 @@ as ``a' M e`` with a and e the exponentials of beginnings and endings and M the
 and factor 1. As a context, a word without a row of its own stands by its ending.
 
 R, C and b are trained in numpy by noise-contrastive estimation over every training text, with noise from u: each task takes one AdaGrad pass over its
-texts from common parameters, and parameters are averaged by tokens; ROUNDS such passes. Scoring takes batched matrix products over a chunk's different contexts.
+texts from common parameters, and parameters are averaged by tokens; ``rounds`` such passes, at a falling rate. Scoring takes batched matrix products over a chunk's different contexts.
 
 Counts never meet on the driver. Texts are tokenised once, into chunks of ``chunk_bytes`` at most (a longer text is a chunk by itself): a chunk's different words, their training
-counts, and each token's place among them. Chunks follow the order of rows within a task, so repeated rows, null ids and hot sources are spread like any others.
+counts, and each token's place among them. A word of one chunk alone has that chunk's count, so only counts of words of several go back to chunks. Chunks follow the order of rows within a task, so repeated rows, null ids and hot sources are spread like any others.
 Words are combined per chunk before the shuffle, counted by word, and joined back to the chunks. Words with rows of their own are sent along instead of joined, so no join
 key is in more than a small share of the rows. Words are told apart by a 64-bit hash.
 
@@ -39,7 +39,7 @@ from skerry.llm.op2_toxicity import held_out
 from skerry.llm.shared import Scratch
 
 FREQUENT, BEGINNINGS, ENDINGS = 8192, 64, 128
-WIDTH, NOISE, BATCH, RATE, ROUNDS = 16, 64, 4096, 0.05, 2
+WIDTH, NOISE, BATCH, RATE, ROUNDS = 16, 64, 4096, 0.1, 1
 CHUNK_BYTES, SLICE, TOKENS = 8 << 20, 2048, 1 << 18
 END = np.uint64(0x5EED0E4D)
 CHUNK = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, counts binary, cells binary"
@@ -180,54 +180,65 @@ class LogBilinear:
         two[begin[sizes > 1] + 1] = self.end
         return one, two
 
-    def learn(self, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> int:
+    def learn(self, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> int:
         """One pass of noise-contrastive estimation over (target rows, context rows); returns the tokens seen."""
         p = {k: v.copy() for k, v in self.parts.items()}
         squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
         rng, n, seen, fair = np.random.default_rng(6), self.zero + 1, 0, np.float32(np.log(NOISE))
 
-        def scatter(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(rows, grad[:, k], minlength=n) for k in range(WIDTH)], axis=1).astype(np.float32)
-
         for columns in stream:
-            order = rng.permutation(len(columns[0]))
-            for s in range(0, len(order), BATCH):
-                a, z, w1, w2 = (c[order[s : s + BATCH]] for c in columns)
+            batches = -(-len(columns[0]) // BATCH)
+            for s in range(batches):  # every so manieth token, so that a batch has tokens of the whole chunk
+                a, z, w1, w2 = (c[s::batches] for c in columns)
                 drawn = np.minimum(np.searchsorted(self.noise, rng.random(NOISE), "right"), len(self.noise) - 1)
                 na, nz = (r[drawn] for r in self.noise_rows)
                 e1, e2, target, other = p["R"][w1], p["R"][w2], p["R"][a] + p["R"][z], p["R"][na] + p["R"][nz]
                 q = e1 @ p["C1"] + e2 @ p["C2"]
-                good = np.einsum("ij,ij->i", q, target) + p["b"][a] + p["b"][z] - fair
-                bad = q @ other.T + p["b"][na] + p["b"][nz] - fair
-                dg = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / len(a)
-                db = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) / len(a)
-                dq = dg[:, None] * target + db @ other
-                up = dg[:, None] * q
-                r, away, bias = scatter(np.concatenate((a, z, w1, w2)), np.concatenate((up, up, dq @ p["C1"].T, dq @ p["C2"].T))), db.T @ q, db.sum(0)
-                b = np.bincount(a, dg, minlength=n) + np.bincount(z, dg, minlength=n)
-                for rows in (na, nz):
-                    np.add.at(r, rows, away)
-                    np.add.at(b, rows, bias)
+                good = np.einsum("ij,ij->i", q, target)
+                good += p["b"][a] + p["b"][z] - fair
+                dg = -1 / (1 + np.exp(np.minimum(good, 80)))
+                db = q @ other.T
+                db += p["b"][na] + p["b"][nz] - fair
+                np.maximum(db, -80, out=db)
+                np.negative(db, out=db)
+                np.exp(db, out=db)
+                db += 1
+                np.reciprocal(db, out=db)
+                dq = dg[:, None] * target
+                dq += db @ other
+                up = (dg[:, None] * q).T
+                by_row = np.concatenate((up, up, p["C1"] @ dq.T, p["C2"] @ dq.T), axis=1)
+                rows, away, bias = np.concatenate((a, z, w1, w2)), db.T @ q, np.ones(len(a), np.float32) @ db
+                r = np.stack([np.bincount(rows, x, minlength=n) for x in by_row], axis=1).astype(np.float32)
+                b = np.bincount(rows[: 2 * len(a)], np.concatenate((dg, dg)), minlength=n).astype(np.float32)
+                for k in (na, nz):
+                    np.add.at(r, k, away)
+                    np.add.at(b, k, bias)
                 r[self.zero], b[self.zero] = 0, 0
-                for k, g in (("R", r), ("b", b.astype(np.float32)), ("C1", e1.T @ dq), ("C2", e2.T @ dq)):
+                for k, g in (("R", r), ("b", b), ("C1", e1.T @ dq), ("C2", e2.T @ dq)):
+                    g /= len(a)
                     squares[k] += g * g
-                    p[k] -= RATE * g / np.sqrt(squares[k])
-            seen += len(order)
+                    p[k] -= rate * g / np.sqrt(squares[k])
+            seen += len(columns[0])
         self.parts = p
         return seen
 
     def log_z(self, q: np.ndarray) -> np.ndarray:
         """Natural log of Z for each context vector; summands are clipped to exp(-60) to exp(60) times their u, as in :meth:`log_factor`."""
         p, v = self.parts, self.vocabulary
-        own = np.concatenate((v.counts + 1, [v.ends + 1 if v.ends else 0])).astype(float) / v.whole
+        own = (np.concatenate((v.counts + 1, [v.ends + 1 if v.ends else 0])) / v.whole).astype(np.float32)
         cells, out = (v.cells / v.whole).astype(np.float32), np.empty(len(q))
+        r, most = np.ascontiguousarray(p["R"][: self.zero].T), np.abs(p["R"]).sum(1).max()
         for s in range(0, len(q), SLICE):
-            g = q[s : s + SLICE] @ p["R"].T
-            g += p["b"]
-            np.exp(np.clip(g, -30, 30, out=g), out=g)
-            z = g[:, : self.first].astype(np.float64) @ own + 1 / v.whole
-            z += np.einsum("ij,ij->i", (g[:, self.first : self.last] @ cells).astype(np.float64), g[:, self.last : self.zero])
-            out[s : s + SLICE] = np.log(z)
+            part = q[s : s + SLICE]
+            g = part @ r
+            g += p["b"][: self.zero]
+            if np.abs(part).max() * most + np.abs(p["b"]).max() > 30:
+                np.clip(g, -30, 30, out=g)
+            np.exp(g, out=g)
+            z = g[:, : self.first] @ own
+            z += np.einsum("ij,ij->i", g[:, self.first : self.last] @ cells, g[:, self.last :])
+            out[s : s + SLICE] = np.log(z + 1 / v.whole)
         return out
 
     def log_factor(self, q: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -257,7 +268,7 @@ class LogBilinear:
             self.parts[k], x = x[:size].reshape(self.parts[k].shape).astype(np.float32), x[size:]
 
 
-def _pass(model: LogBilinear):
+def _pass(model: LogBilinear, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for batch in batches:
@@ -269,7 +280,7 @@ def _pass(model: LogBilinear):
                     yield tuple(x[keep] for x in (a, z, *model.before(context, sizes)))
 
         start = {k: v.copy() for k, v in model.parts.items()}
-        seen = model.learn(stream())
+        seen = model.learn(stream(), rate)
         x = model.flat().astype(np.float64)
         model.parts = start
         if seen:
@@ -284,10 +295,10 @@ def _score(model: LogBilinear):
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
         where, times = counts["pos"].to_numpy(), counts["c"].to_numpy()
-        for ids, flags, sizes, codes, words, cells in zip(*(rows[c].combine_chunks() for c in ("ids", "held", "sizes", "codes", "words", "cells")), strict=True):
+        for ids, flags, sizes, codes, words, here, cells in zip(*(rows[c].combine_chunks() for c in ("ids", "held", "sizes", "codes", "words", "counts", "cells")), strict=True):
             size = sizes.values.to_numpy()
             code, h = _unpack(codes.as_buffer(), int(size.sum())), np.frombuffer(words.as_buffer(), np.uint64)
-            c = np.zeros(len(h), np.int64)
+            c = np.frombuffer(here.as_buffer(), np.int32).astype(np.int64)
             c[where] = times
             at, hit = v.own(h)
             c[hit] = v.counts[at[hit]]
@@ -334,8 +345,8 @@ class Corpus:
 
     def fit(self, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
         model = LogBilinear(vocabulary)
-        for _ in range(rounds if vocabulary.total else 0):
-            moved = self.chunks.select("held", "sizes", "codes", "words", "cells").mapInArrow(_pass(model), "i int, x double, w double")
+        for k in range(rounds if vocabulary.total else 0):
+            moved = self.chunks.select("held", "sizes", "codes", "words", "cells").mapInArrow(_pass(model, RATE / (k + 1)), "i int, x double, w double")
             got = moved.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()  # one row a parameter
             if len(got):
                 model.unflatten(got.sort_values("i")["x"].to_numpy())
@@ -344,9 +355,9 @@ class Corpus:
     def score(self, model: LogBilinear) -> DataFrame:
         own = np.concatenate((model.vocabulary.words, [END])).astype(np.uint64).view(np.int64)
         sent = self.spark.createDataFrame([(int(x),) for x in own], "h long")
-        mine = self.words.select("chunk", "pos", "h").join(F.broadcast(sent), "h", "left_anti").join(self.counts.select("h", "c"), "h").select("chunk", "pos", "c")
+        mine = self.words.select("chunk", "pos", "h", "n").join(F.broadcast(sent), "h", "left_anti").join(self.counts.select("h", "c"), "h").filter("c <> n").select("chunk", "pos", "c")
         kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return self.chunks.drop("counts").groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(model), kind)
+        return self.chunks.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(model), kind)
 
 
 def score_texts(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
