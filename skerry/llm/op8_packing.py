@@ -5,22 +5,23 @@ Texts are tokenised and cut into pieces of at most ``capacity`` tokens. A round
 * opens as many new sequences, each for one of the longest pieces left, as the tokens left exceed the room left
   (pieces of over half the capacity always open their own), by a histogram over piece lengths that has at most
   ``capacity`` rows;
-* range-sorts pieces and gaps together, so that each partition holds a range of sizes;
-* sweeps each partition upwards: a gap takes the longest piece that is not longer; pieces of equal length are taken in rank
-  order, so two gaps never take the same piece, and what is left of a gap is tried again at once;
-* writes placed pieces, and gaps with their new sizes, to the shared folder.
+* range-sorts pieces by length and gaps by reach, so that each partition holds a range of sizes. A gap's reach is the longest piece that it may still find;
+* sweeps each partition upwards: a gap takes the longest piece within its reach; pieces of equal length are taken in rank
+  order, so two gaps never take the same piece, and what is left of a gap is tried again at once. A gap that finds no more in its range is carried
+  over the border: its reach becomes the longest length below that range that is still waiting anywhere (by the histogram) and fits;
+* writes placed pieces, and gaps with their new sizes and reaches, to the shared folder.
 
-After MAX_ROUNDS, or when a round placed nothing, the few pieces left are packed best-fit-decreasing within hash partitions. An offset is how far the
-sequence was filled, so sequences have no holes. Sizes that very many pieces share are spread by their row number.
+In every round each open gap takes a piece or its reach falls, and without an open gap a sequence is opened; so rounds end only when no piece is left. A gap whose
+reach is below every piece is closed. An offset is how far the sequence was filled, so sequences have no holes. Sizes that very many pieces share are spread by their row number.
 
 Null and empty texts are one piece holding the end token alone. Repeated rows are packed each by itself; null ids are
-carried along. Other columns are not read.
+carried along. Very long texts form a block of their own and are cut like others. An empty table gives no rows. Columns besides id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,11 @@ from skerry.llm.blocks import text_blocks
 from skerry.llm.shared import Scratch
 from skerry.llm.wordcodes import WordEncoder
 
-CAPACITY, END_ID, MAX_ROUNDS = 4096, 1, 9
+CAPACITY, END_ID = 4096, 1
 #: A range partition holds about so many pieces and gaps.
 ROWS_PER_RANGE = 100_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-STATE = f"kind int, size long, uid long, {PIECE}, sequence_id long, offset long"
+STATE = f"kind int, size long, reach long, uid long, {PIECE}, sequence_id long, offset long"
 WAITING, GAP, PLACED = 0, 1, 2
 
 
@@ -63,20 +64,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
-def _emit(rows: pa.Table, kind: np.ndarray, size: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> pa.Table:
-    """The rows with their new state."""
-    out = rows
-    for name, value, dtype in (("kind", kind, pa.int32()), ("size", size, pa.int64()), ("sequence_id", sequence, pa.int64()), ("offset", offset, pa.int64())):
-        out = out.set_column(out.schema.get_field_index(name), name, pa.array(value, dtype))
-    return out.filter(pa.array((kind != GAP) | (size > 0)))
-
-
-def sweep(kind: np.ndarray, size: np.ndarray, sequence: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One upward sweep over rows in ascending size, pieces before gaps of equal size."""
-    kind, size, sequence, offset = kind.copy(), size.copy(), sequence.copy(), np.zeros(len(size), np.int64)
+def sweep(kind: np.ndarray, size: np.ndarray, reach: np.ndarray, sequence: np.ndarray, capacity: int, waiting: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One upward sweep over rows in ascending reach, pieces before gaps of equal reach: their new kind, size, reach, sequence and offset. ``waiting``: all lengths still waiting, ascending."""
+    kind, size, reach, sequence, offset = kind.copy(), size.copy(), reach.copy(), sequence.copy(), np.zeros(len(size), np.int64)
     lengths: list[int] = []
     rows: list[int] = []
-    kinds, sizes = kind.tolist(), size.tolist()
+    kinds, sizes, below = kind.tolist(), size.tolist(), int(reach[0]) - 1
     for r in range(len(kinds)):
         if kinds[r] == WAITING:
             lengths.append(sizes[r]), rows.append(r)
@@ -90,32 +83,20 @@ def sweep(kind: np.ndarray, size: np.ndarray, sequence: np.ndarray, capacity: in
             kind[p], sequence[p], offset[p] = PLACED, sequence[r], capacity - gap
             gap -= lengths.pop(k)
         size[r] = gap
-    return kind, size, sequence, offset
-
+        k = int(np.searchsorted(waiting, min(gap, below), "right"))
+        reach[r] = waiting[k - 1] if k else 0
+    return kind, size, reach, sequence, offset
 
-def best_fit(kind: np.ndarray, size: np.ndarray, uid: np.ndarray, sequence: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best-fit decreasing of all pieces into the gaps at hand and new sequences."""
-    kind, size, sequence, offset = kind.copy(), size.copy(), sequence.copy(), np.zeros(len(size), np.int64)
-    room = sorted((int(size[r]), int(sequence[r])) for r in np.flatnonzero(kind == GAP))
-    waiting = np.flatnonzero(kind == WAITING)
-    for r in waiting[np.argsort(-size[waiting], kind="stable")].tolist():
-        n = int(size[r])
-        k = bisect_right(room, (n, -(2**63)))
-        gap, into = room.pop(k) if k < len(room) else (capacity, int(uid[r]))
-        kind[r], sequence[r], offset[r] = PLACED, into, capacity - gap
-        if gap > n:
-            insort(room, (gap - n, into))
-    return kind, size, sequence, offset
 
-
-def _round(capacity: int, last: bool):
+def _round(capacity: int, waiting: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gather(batches)
         if rows is None:
             return
-        kind, size, uid, sequence = (rows[c].to_numpy() for c in ("kind", "size", "uid", "sequence_id"))
-        new = best_fit(kind, size, uid, sequence, capacity) if last else sweep(kind, size, sequence, capacity)
-        yield from _emit(rows, *new).combine_chunks().to_batches()
+        new = sweep(*(rows[c].to_numpy() for c in ("kind", "size", "reach", "sequence_id")), capacity, waiting)
+        for name, value, dtype in zip(("kind", "size", "reach", "sequence_id", "offset"), new, (pa.int32(), *[pa.int64()] * 4), strict=True):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(value, dtype))
+        yield from rows.filter(pa.array((new[0] != GAP) | (new[2] > 0))).combine_chunks().to_batches()
 
     return run
 
@@ -125,45 +106,38 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE)
-    state = pieces.withColumn("uid", F.monotonically_increasing_id()).selectExpr("0 AS kind", "length AS size", "uid", *[x.split()[0] for x in PIECE.split(", ")], "0L AS sequence_id", "0L AS offset")
+    state = pieces.withColumn("uid", F.monotonically_increasing_id()).selectExpr("0 AS kind", "length AS size", "length AS reach", "uid", *[x.split()[0] for x in PIECE.split(", ")], "0L AS sequence_id", "0L AS offset")
     state = scratch.keep(state, "pieces")
     placed = []
-    nothing = F.lit(None)
-    before, turn = None, 0
     while True:
-        counts = state.filter(f"kind <> {PLACED}").groupBy("kind", "size").count().collect()  # at most twice the capacity
-        left = {r["size"]: r["count"] for r in counts if r["kind"] == WAITING}
+        counts = state.filter(f"kind <> {PLACED}").groupBy("kind", "reach").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # at most twice the capacity
+        left = {r["reach"]: r["n"] for r in counts if r["kind"] == WAITING}
         placed.append(state.filter(f"kind = {PLACED}"))
         if not left:
             break
-        last = turn == MAX_ROUNDS or left == before
-        before, turn = left, turn + 1
-        waiting, gaps = state.filter(f"kind = {WAITING}"), state.filter(f"kind = {GAP}")
-        if not last:
-            short = sum(n * c for n, c in left.items()) - sum(r["size"] * r["count"] for r in counts if r["kind"] == GAP)
-            wanted = max(-(-short // capacity), 0 if any(r["kind"] == GAP for r in counts) else 1)
-            least, share = capacity // 2 + 1, 1.0
-            wanted -= sum(c for n, c in left.items() if n >= least)
-            for n in sorted((n for n in left if n < least), reverse=True):
-                if wanted <= 0:
-                    break
-                least, share = n, min(1.0, wanted / left[n])
-                wanted -= left[n]
-            dice = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)
-            seed = (F.col("size") > least) | ((F.col("size") == least) & (dice < share))
-            opened = waiting.filter(seed).withColumn("sequence_id", F.col("uid")).withColumn("kind", F.lit(PLACED))
-            fresh = opened.filter(f"size < {capacity}").withColumn("size", capacity - F.col("size")).withColumn("kind", F.lit(GAP))
-            for c in ("doc_id", "piece", "start", "length", "ids_crc32"):
-                fresh = fresh.withColumn(c, nothing.cast(fresh.schema[c].dataType))
-            placed.append(opened)
-            waiting, gaps = waiting.filter(~seed), gaps.unionByName(fresh)
-        both = waiting.unionByName(gaps)
-        parts = max(1, round(sum(r["count"] for r in counts) / ROWS_PER_RANGE))
-        if last:
-            both = both.repartition(parts, "uid")
-        else:
-            both = both.repartitionByRange(parts, "size", F.xxhash64("uid")).sortWithinPartitions("size", "kind", F.xxhash64("uid"))
-        state = scratch.keep(both.mapInArrow(_round(capacity, last), STATE), "round")
+        room = [r for r in counts if r["kind"] == GAP and r["reach"] >= min(left)]
+        waiting, gaps = state.filter(f"kind = {WAITING}"), state.filter(f"kind = {GAP} and reach >= {min(left)}")
+        short = sum(n * c for n, c in left.items()) - sum(r["size"] for r in room)
+        wanted = max(-(-short // capacity), 0 if room else 1)
+        least, share = capacity // 2 + 1, 1.0
+        wanted -= sum(c for n, c in left.items() if n >= least)
+        for n in sorted((n for n in left if n < least), reverse=True):
+            if wanted <= 0:
+                break
+            least, share = n, min(1.0, wanted / left[n])
+            wanted -= left[n]
+        # Without a gap at least one of the longest pieces opens a sequence, whatever the dice say.
+        first = F.lit(-1) if room or share == 1 else F.lit(waiting.filter(f"size = {least}").agg(F.min("uid")).first()[0])
+        dice = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)
+        seed = (F.col("size") > least) | ((F.col("size") == least) & ((dice < share) | (F.col("uid") == first)))
+        opened = waiting.filter(seed).withColumn("sequence_id", F.col("uid")).withColumn("kind", F.lit(PLACED))
+        fresh = opened.filter(f"size < {capacity}").withColumn("size", capacity - F.col("size")).withColumns({"kind": F.lit(GAP), "reach": F.col("size")})
+        fresh = fresh.withColumns({c: F.lit(None).cast(fresh.schema[c].dataType) for c in ("doc_id", "piece", "start", "length", "ids_crc32")})
+        placed.append(opened)
+        both = waiting.filter(~seed).unionByName(gaps.unionByName(fresh))
+        parts = max(1, round((sum(left.values()) + sum(r["n"] for r in room)) / ROWS_PER_RANGE))
+        both = both.repartitionByRange(parts, "reach", F.xxhash64("uid")).sortWithinPartitions("reach", "kind", F.xxhash64("uid"))
+        state = scratch.keep(both.mapInArrow(_round(capacity, np.array(sorted(left), np.int64)), STATE), "round")
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)

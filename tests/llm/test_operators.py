@@ -345,6 +345,29 @@ def test_packing(spark, sf, odd, empty):
     assert op8_packing.pack(empty, path).isEmpty()
 
 
+def test_packing_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows each: gaps are carried over borders until every piece has its place, nearly as tight as in one range."""
+    monkeypatch.setattr(op8_packing, "ROWS_PER_RANGE", 40)
+    rng = np.random.default_rng(1)
+    docs = {i: " ".join(f"t{k % 50}" for k in range(int(rng.choice([3, 30, 300, 900, 1500])))) for i in range(400)}
+    pieces, room = brute_pieces(docs), []
+    for n in sorted((x[1] for x in pieces.values()), reverse=True):  # best-fit decreasing
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+        room.append((min(fits) if fits else 4096) - n)
+    used, _ = check_packing(op8_packing.pack(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect(), pieces)
+    assert used <= len(room) * 1.03 + 1
+
+
+def test_sweep_takes_the_longest_that_fits_and_carries_the_rest():
+    kind, size = np.array([0, 0, 0, 1, 0, 1, 1]), np.array([5, 7, 7, 7, 9, 20, 20])
+    kind, left, reach, sequence, offset = op8_packing.sweep(kind, size, size.copy(), np.arange(100, 107), 100, np.array([2, 4, 5, 7, 9]))
+    assert kind.tolist() == [2, 2, 2, 1, 2, 1, 1] and left[[3, 5, 6]].tolist() == [0, 4, 15]
+    assert sequence[[0, 1, 2, 4]].tolist() == [106, 105, 103, 105] and offset[[0, 1, 2, 4]].tolist() == [80, 89, 93, 80]
+    assert reach[[3, 5, 6]].tolist() == [0, 4, 4]
+
+
 def test_mixing_meets_targets(spark, odd, empty):
     cells = [(s, x, t, 100.0 * (1 + i)) for i, (s, x, t) in enumerate((s, x, t) for s in ("src0", "*") for x in ("en", "de") for t in ("prose", "technical"))]
     fitted = op9_mixing.rake(cells, op9_mixing.Targets())
