@@ -5,14 +5,16 @@ Texts are tokenised and cut into pieces of at most ``capacity`` tokens. A round
 * opens as many new sequences, each for one of the longest pieces left, as the tokens left exceed the room left
   (pieces of over half the capacity always open their own), by a histogram over piece lengths that has at most
   ``capacity`` rows;
-* range-sorts pieces by length and gaps by reach, so that each partition holds a range of sizes. A gap's reach is the longest piece that it may still find;
-* sweeps each partition upwards: a gap takes the longest piece within its reach; pieces of equal length are taken in rank
+* aims each gap at a length that is still waiting (by the histogram) and within its limit: the longest that fits; where any length fits, or where the gap has found the
+  range below its size empty, one drawn in proportion to the tokens of the lengths within its limit, so that gaps spread over pieces instead of chasing the same;
+* range-sorts pieces by length and gaps by aim, so that each partition holds a range of sizes;
+* sweeps each partition upwards: a gap takes the longest piece within its aim; pieces of equal length are taken in rank
   order, so two gaps never take the same piece, and what is left of a gap is tried again at once. A gap that finds no more in its range is carried
-  over the border: its reach becomes the longest length below that range that is still waiting anywhere (by the histogram) and fits;
-* writes placed pieces, and gaps with their new sizes and reaches, to the shared folder.
+  over the border: its limit falls below that range;
+* writes placed pieces, and gaps with their new sizes and limits, to the shared folder.
 
-In every round each open gap takes a piece or its reach falls, and without an open gap a sequence is opened; so rounds end only when no piece is left. A gap whose
-reach is below every piece is closed. An offset is how far the sequence was filled, so sequences have no holes. Sizes that very many pieces share are spread by their row number.
+In every round each open gap takes a piece or its limit falls, and without an open gap a sequence is opened; so rounds end only when no piece is left. A gap whose
+limit is below every piece is closed. An offset is how far the sequence was filled, so sequences have no holes. Sizes that very many pieces share are spread by their row number.
 
 Null and empty texts are one piece holding the end token alone. Repeated rows are packed each by itself; null ids are
 carried along. Very long texts form a block of their own and are cut like others. An empty table gives no rows. Columns besides id and text are not read, so their names cannot clash.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.blocks import text_blocks
+from skerry.llm.blocks import mix, text_blocks
 from skerry.llm.shared import Scratch
 from skerry.llm.wordcodes import WordEncoder
 
@@ -64,8 +66,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
-def sweep(kind: np.ndarray, size: np.ndarray, reach: np.ndarray, sequence: np.ndarray, capacity: int, waiting: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One upward sweep over rows in ascending reach, pieces before gaps of equal reach: their new kind, size, reach, sequence and offset. ``waiting``: all lengths still waiting, ascending."""
+def sweep(kind: np.ndarray, size: np.ndarray, reach: np.ndarray, sequence: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """One upward sweep over rows in ascending reach (a piece's length, a gap's aim), pieces before gaps of equal reach: their new kind, size, reach (a gap's limit), sequence and offset."""
     kind, size, reach, sequence, offset = kind.copy(), size.copy(), reach.copy(), sequence.copy(), np.zeros(len(size), np.int64)
     lengths: list[int] = []
     rows: list[int] = []
@@ -83,17 +85,35 @@ def sweep(kind: np.ndarray, size: np.ndarray, reach: np.ndarray, sequence: np.nd
             kind[p], sequence[p], offset[p] = PLACED, sequence[r], capacity - gap
             gap -= lengths.pop(k)
         size[r] = gap
-        k = int(np.searchsorted(waiting, min(gap, below), "right"))
-        reach[r] = waiting[k - 1] if k else 0
+        reach[r] = min(gap, below)
     return kind, size, reach, sequence, offset
 
 
-def _round(capacity: int, waiting: np.ndarray):
+def _aim(lengths: np.ndarray, tokens: np.ndarray, turn: int):
+    """Gaps with the length that they are to look for; those within whose limit no length is waiting are closed."""
+    total = np.cumsum(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            size, limit, uid = (batch.column(names.index(c)).to_numpy() for c in ("size", "reach", "uid"))
+            k = np.searchsorted(lengths, limit, "right")
+            dice = (mix(uid.astype(np.uint64) + np.uint64(turn)) >> np.uint64(11)) / float(1 << 53)
+            drawn = np.searchsorted(total, dice * total[np.maximum(k, 1) - 1], "right")
+            fits = (limit >= size) & (size < lengths[-1])
+            at = np.where(fits, k - 1, np.minimum(drawn, np.maximum(k, 1) - 1))
+            columns = [pa.array(lengths[np.maximum(at, 0)]) if c == "reach" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(k > 0))
+
+    return run
+
+
+def _round(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gather(batches)
         if rows is None:
             return
-        new = sweep(*(rows[c].to_numpy() for c in ("kind", "size", "reach", "sequence_id")), capacity, waiting)
+        new = sweep(*(rows[c].to_numpy() for c in ("kind", "size", "reach", "sequence_id")), capacity)
         for name, value, dtype in zip(("kind", "size", "reach", "sequence_id", "offset"), new, (pa.int32(), *[pa.int64()] * 4), strict=True):
             rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(value, dtype))
         yield from rows.filter(pa.array((new[0] != GAP) | (new[2] > 0))).combine_chunks().to_batches()
@@ -108,8 +128,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE)
     state = pieces.withColumn("uid", F.monotonically_increasing_id()).selectExpr("0 AS kind", "length AS size", "length AS reach", "uid", *[x.split()[0] for x in PIECE.split(", ")], "0L AS sequence_id", "0L AS offset")
     state = scratch.keep(state, "pieces")
-    placed = []
+    placed, turn = [], 0
     while True:
+        turn += 1
         counts = state.filter(f"kind <> {PLACED}").groupBy("kind", "reach").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # at most twice the capacity
         left = {r["reach"]: r["n"] for r in counts if r["kind"] == WAITING}
         placed.append(state.filter(f"kind = {PLACED}"))
@@ -134,10 +155,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         fresh = opened.filter(f"size < {capacity}").withColumn("size", capacity - F.col("size")).withColumns({"kind": F.lit(GAP), "reach": F.col("size")})
         fresh = fresh.withColumns({c: F.lit(None).cast(fresh.schema[c].dataType) for c in ("doc_id", "piece", "start", "length", "ids_crc32")})
         placed.append(opened)
-        both = waiting.filter(~seed).unionByName(gaps.unionByName(fresh))
+        lengths = np.array(sorted(left), np.int64)
+        aimed = gaps.unionByName(fresh).mapInArrow(_aim(lengths, lengths * np.array([left[n] for n in lengths.tolist()]), turn), STATE)
+        both = waiting.filter(~seed).unionByName(aimed)
         parts = max(1, round((sum(left.values()) + sum(r["n"] for r in room)) / ROWS_PER_RANGE))
         both = both.repartitionByRange(parts, "reach", F.xxhash64("uid")).sortWithinPartitions("reach", "kind", F.xxhash64("uid"))
-        state = scratch.keep(both.mapInArrow(_round(capacity, np.array(sorted(left), np.int64)), STATE), "round")
+        state = scratch.keep(both.mapInArrow(_round(capacity), STATE), "round")
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
