@@ -5,9 +5,9 @@ Texts are tokenised and cut into pieces of at most ``capacity`` tokens. A round
 * opens as many new sequences, each for one of the longest pieces left, as the tokens left exceed the room left
   (pieces of over half the capacity always open their own), by a histogram over piece lengths that has at most
   ``capacity`` rows;
-* aims each gap at a length that is still waiting (by the histogram) and within its limit: the longest that fits; where any length fits, or where the gap has found the
-  range below its size empty, one drawn in proportion to the tokens of the lengths within its limit, so that gaps spread over pieces instead of chasing the same;
-* range-sorts pieces by length and gaps by aim, so that each partition holds a range of sizes;
+* aims each gap at a length that is still waiting (by the histogram) and within its limit: the longest that fits. With several ranges, a gap that any length fits, or that has found the
+  range below its size empty, draws one in proportion to the tokens of the longest lengths that fill half of all room, so that gaps spread over ranges instead of chasing the same pieces;
+* range-sorts pieces by length and gaps by aim, so that each partition holds a range of sizes (one range, where no more than ROWS_PER_RANGE are left);
 * sweeps each partition upwards: a gap takes the longest piece within its aim; pieces of equal length are taken in rank
   order, so two gaps never take the same piece, and what is left of a gap is tried again at once. A gap that finds no more in its range is carried
   over the border: its limit falls below that range;
@@ -89,20 +89,23 @@ def sweep(kind: np.ndarray, size: np.ndarray, reach: np.ndarray, sequence: np.nd
     return kind, size, reach, sequence, offset
 
 
-def _aim(lengths: np.ndarray, tokens: np.ndarray, turn: int):
-    """Gaps with the length that they are to look for; those within whose limit no length is waiting are closed."""
+def _aim(lengths: np.ndarray, tokens: np.ndarray, room: int, turn: int):
+    """Gaps with the length that they are to look for; those within whose limit no length is waiting are closed. ``room``: of all gaps, or 0 for a single range."""
     total = np.cumsum(tokens)
+    short = max(0.0, total[-1] - room / 2)  # the tokens of lengths that are not yet looked for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             size, limit, uid = (batch.column(names.index(c)).to_numpy() for c in ("size", "reach", "uid"))
             k = np.searchsorted(lengths, limit, "right")
-            dice = (mix(uid.astype(np.uint64) + np.uint64(turn)) >> np.uint64(11)) / float(1 << 53)
-            drawn = np.searchsorted(total, dice * total[np.maximum(k, 1) - 1], "right")
-            fits = (limit >= size) & (size < lengths[-1])
-            at = np.where(fits, k - 1, np.minimum(drawn, np.maximum(k, 1) - 1))
-            columns = [pa.array(lengths[np.maximum(at, 0)]) if c == "reach" else batch.column(c) for c in names]
+            at = np.maximum(k, 1) - 1
+            if room:
+                dice = (mix(uid.astype(np.uint64) + np.uint64(turn)) >> np.uint64(11)) / float(1 << 53)
+                least = np.where(total[at] > short, short, 0)
+                drawn = np.minimum(np.searchsorted(total, least + dice * (total[at] - least), "right"), at)
+                at = np.where((limit >= size) & (size < lengths[-1]), at, drawn)
+            columns = [pa.array(lengths[at]) if c == "reach" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(k > 0))
 
     return run
@@ -155,11 +158,16 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         fresh = opened.filter(f"size < {capacity}").withColumn("size", capacity - F.col("size")).withColumns({"kind": F.lit(GAP), "reach": F.col("size")})
         fresh = fresh.withColumns({c: F.lit(None).cast(fresh.schema[c].dataType) for c in ("doc_id", "piece", "start", "length", "ids_crc32")})
         placed.append(opened)
-        lengths = np.array(sorted(left), np.int64)
-        aimed = gaps.unionByName(fresh).mapInArrow(_aim(lengths, lengths * np.array([left[n] for n in lengths.tolist()]), turn), STATE)
+        stay = {n: c if n < least else c * (1 - share) for n, c in left.items() if n < least or n == least and share < 1}
+        lengths = np.array(sorted(stay), np.int64)
+        tokens = lengths * np.array([stay[n] for n in lengths.tolist()], float)
+        aimed, count = gaps.unionByName(fresh), sum(left.values()) + sum(r["n"] for r in room)
+        parts = -(-count // ROWS_PER_RANGE)
+        spread = sum(r["size"] for r in room) + sum((capacity - n) * (c - stay.get(n, 0)) for n, c in left.items())
+        aimed = aimed.mapInArrow(_aim(lengths, tokens, int(spread) if parts > 1 else 0, turn), STATE) if len(lengths) else aimed.limit(0)
         both = waiting.filter(~seed).unionByName(aimed)
-        parts = max(1, round((sum(left.values()) + sum(r["n"] for r in room)) / ROWS_PER_RANGE))
-        both = both.repartitionByRange(parts, "reach", F.xxhash64("uid")).sortWithinPartitions("reach", "kind", F.xxhash64("uid"))
+        both = both.repartitionByRange(parts, "reach", F.xxhash64("uid")) if parts > 1 else both.coalesce(1)
+        both = both.sortWithinPartitions("reach", "kind", F.xxhash64("uid"))
         state = scratch.keep(both.mapInArrow(_round(capacity), STATE), "round")
     out = placed[0]
     for more in placed[1:]:
