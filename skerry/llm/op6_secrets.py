@@ -1,19 +1,25 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of 12 or more of ``A-Z a-z 0-9 + / _ -`` inside a word, with a digit in it. The forest, in numpy, sees its length, character classes and
-their transitions, how its letter pairs compare with those of words, its share covered by dictionary words, whether it stands in a path or an address, and its
-neighbouring words (the three before, the one after and what is glued to it). It learns from labelled findings (before, candidate, after, is_secret), at most
-``max_train_rows`` of smallest hash; where the caller has none, ``labelled_findings`` writes a seeded set of secrets and of what is
-mistaken for them. Scanning is one pass over whole texts without a shuffle.
-
-Null and empty texts have no findings. Repeated rows are scanned one by one, null ids are carried along. Very long texts form a block of their own.
-Only id and text are read; ``redact`` leaves every other column as it is.
+A candidate is a web token (``eyJ`` and parts joined by dots); a value of 8 or more bytes that stands after ``=`` or ``:`` (any signs but quotes, brackets, commas and
+semicolons, no digit needed; up to the next ``&name=``, and in an address up to its ``@``); or a run of 12 or more of ``A-Z a-z 0-9 + / _ -`` that holds a digit, begins like a known key, or changes between upper and lower case four times or more.
+
+The forest, in numpy, sees a candidate's length, character classes and their transitions, entropy, how its letters alternate, the share of it that dictionary words cover, whether it
+stands in a path or an address, what glues it to the word before, and its neighbouring words: four runs of letters and digits before it and one after, each with the log-odds of a secret beside
+it that training findings gave. No word is listed as good or bad; the dictionary is the whole-word part of a public vocabulary, whose path is a parameter. The forest learns from labelled findings
+(before, candidate, after, is_secret), at most ``max_train_rows`` of smallest hash; where the caller has none, ``labelled_findings`` writes a seeded set after public key formats and
+common configuration, code, log and address styles. Features are sums over flat byte arrays, so a neighbour or a candidate of any length costs in proportion to its bytes. Scanning is one pass over whole texts without a shuffle.
+
+Null and empty texts have no findings, an empty table gives none. Repeated rows are scanned one by one, null ids are carried along. Very long texts form a block of their own.
+Only id and text are read, so other columns' names cannot clash; ``redact`` leaves every other column as it is.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,123 +29,218 @@ from pyspark.sql import functions as F
 from skerry.llm.blocks import Block, text_blocks
 from skerry.llm.trees import Forest
 
-SHORTEST, MAX_TRAIN_ROWS, THRESHOLD, MASK = 12, 20_000, 0.5, "[SECRET]"
-RUN = re.compile(rb"[A-Za-z0-9+/_\-]{12,}")
-#: Fixed word lists: what stands beside secrets, what stands beside other strings of the same shape, and words that names are made of.
-NEAR_SECRET = ("password", "passwd", "pwd", "secret", "token", "api", "apikey", "key", "auth", "bearer", "credential", "private", "access", "aws")
-NEAR_OTHER = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "id", "version", "rev", "revision", "etag", "example", "order", "isbn", "phone", "file", "img", "src", "href", "http", "https", "www", "build")
-DICTIONARY = ("the", "and", "for", "com", "org", "net", "www", "http", "html", "page", "user", "name", "file", "test", "data", "index", "image", "main", "example", "blog", "post", "news", "item", "list", "view", "config", "value", "class", "function", "tion", "ing", "ment", "able", "ness", "er", "on", "an", "re", "th", "in", "es", "ed", "en", "at", "or", "st", "de", "la", "que", "le", "ch", "ei", "ge", "te")
-KINDS = ((re.compile(r"A[KS]IA[A-Z2-7]{16}$|A[KS]IA[A-Z0-9]{16}$"), "access_key"), (re.compile(r"gh[pousr]_\w{20,}$|xox[bap]-"), "service_token"), (re.compile(r"[0-9a-fA-F]+$"), "hex"))
-DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
-VOWELS = "aeiouyAEIOUY"
-
-
-def _kind_of(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
-
-
-def features(before: str, candidate: str, after: str) -> list[float]:
-    n = len(candidate)
-    kinds = [_kind_of(c) for c in candidate]
-    share = [kinds.count(k) / n for k in range(4)]
-    counts = np.array([candidate.count(c) for c in set(candidate)]) / n
-    letters = [c for c in candidate if c.isalpha()]
-    low = candidate.lower()
-    covered = np.zeros(n, bool)
-    for w in DICTIONARY:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            at = low.find(w, at + 1)
-    pairs = list(zip(candidate, candidate[1:], strict=False))
-    wordlike = sum(a.isalpha() and b.isalpha() and ((a in VOWELS) != (b in VOWELS)) for a, b in pairs) / max(len(pairs), 1)
-    left = before.lower()
-    near = set(re.findall(r"[a-z0-9]+", left))
-    glued = left.split()[-1] if before and not before[-1].isspace() and left.split() else ""
-    return [n, *share, float(-(counts * np.log2(counts)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1), wordlike, covered.mean(), sum(c in VOWELS for c in letters) / max(len(letters), 1), float(all(c in "0123456789abcdefABCDEF" for c in candidate)), candidate.count("/"), candidate.count("-"), float("://" in glued or "/" in glued), float(after[:1] in (".", "@", "/")), sum(any(w in x for w in NEAR_SECRET) for x in near), sum(x in NEAR_OTHER for x in near), float("=" in glued or ":" in glued or left.rstrip(" \"'").endswith(("=", ":"))), float("@" in glued or "@" in after), float(candidate[:4] in ("AKIA", "ASIA")), float(candidate[:3] in ("ghp", "gho", "xox", "sk-"))]
-
-
-def labelled_findings(n: int = 3000, seed: int = 2) -> tuple[list[tuple[str, str, str]], np.ndarray]:
-    """Seeded examples, half of them secrets."""
+MAX_TRAIN_ROWS, THRESHOLD, MASK, NEIGHBOURS = 20_000, 0.5, "[SECRET]", 4
+CANDIDATE = re.compile(rb"(?P<web>eyJ[\w-]{8,}(?:\.[\w-]+){1,2})|[=:][ \t]?[\"'`]?(?!//)(?P<value>(?:[^\s\"'`<>(){}\[\],;&]|&(?!\w+=)){8,})|(?P<run>[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![^\s\"'`,;]))?)")
+#: How keys of public services begin.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk-", "sk_live_", "rk_live_", "AIza", "npm_", "pypi-", "SG.", "eyJ")
+KINDS = ((re.compile(r"A[KS]IA[A-Z0-9]{16}$"), "access_key"), (re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[bap]-|sk[-_]|rk_|AIza|npm_|pypi-|SG\.)"), "service_token"), (re.compile(r"eyJ[\w-]+\."), "web_token"), (re.compile(r"[0-9a-fA-F]+$"), "hex"))
+_BYTE = np.arange(256)
+CLASS = np.full(256, 3)
+CLASS[48:58], CLASS[97:123], CLASS[65:91] = 0, 1, 2
+HEX = (CLASS == 0) | np.isin(_BYTE | 32, np.frombuffer(b"abcdef", np.uint8)) & (CLASS < 3)
+VOWEL = np.isin(_BYTE | 32, np.frombuffer(b"aeiouy", np.uint8)) & (CLASS < 3)
+GLUE = b"=:\"'/@"
+WIDTH = 30
+
+
+def dictionary(path: str) -> frozenset[str]:
+    """The vocabulary's words of four letters or more."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return frozenset(w[:-4] for w in vocabulary if w.endswith("</w>") and len(w) >= 8 and w[:-4].isalpha())
+
+
+def covered(word: str, known: frozenset[str]) -> int:
+    """Letters of a run of letters that dictionary words cover, the longest first from each place on."""
+    at = total = 0
+    while at + 4 <= len(word):
+        n = next((n for n in range(min(14, len(word) - at), 3, -1) if word[at : at + n] in known), 0)
+        total, at = total + n, at + (n or 1)
+    return total
+
+
+def spans(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each candidate, in order. None crosses a border of texts."""
+    raw = b.data.tobytes()
+    first, last = [], []
+    edge = b.offset.tolist()
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        for m in CANDIDATE.finditer(raw, lo, hi):
+            s, e = m.span(m.lastgroup)
+            found = raw[s:e]
+            if m.lastgroup == "value":
+                if b"@" in found and b"://" in raw[max(lo, raw.rfind(b" ", lo, s)) : s]:
+                    found = found[: found.index(b"@")]
+                found = found.rstrip(b".,:!?")
+                e = s + len(found)
+            elif m.lastgroup == "run" and not any(c in b"0123456789" for c in found) and not found.startswith(tuple(x.encode() for x in PREFIXES)):
+                cases = CLASS[np.frombuffer(found, np.uint8)]
+                if np.count_nonzero(cases[1:] + cases[:-1] == 3) < 4:
+                    continue
+            if e - s >= 8:
+                first.append(s), last.append(e)
+    return np.array(first, np.int64), np.array(last, np.int64)
+
+
+def _neighbours(b: Block, first: np.ndarray, last: np.ndarray) -> tuple[list[list[str]], list[list[str]], np.ndarray]:
+    """The runs of letters and digits before and after each candidate, and where the nearest one before ends."""
+    plain = np.append(CLASS[b.data] < 3, False) | np.append(b.data >= 128, False)
+    cut = np.zeros(len(plain), bool)
+    cut[b.offset], cut[first], cut[last] = True, True, True
+    before = np.concatenate(([False], plain[:-1]))
+    start, end = np.flatnonzero(plain & (~before | cut)), np.flatnonzero(before & (~plain | cut))
+    doc = np.searchsorted(b.offset, first, "right") - 1
+    raw, low, high = b.data.tobytes(), b.offset[doc], b.offset[doc + 1]
+    at, after = np.searchsorted(end, first, "right"), np.searchsorted(start, last)
+    text = lambda k: raw[start[k] : min(end[k], start[k] + 40)].decode("utf-8", "replace").lower() + ("\u2026" if end[k] - start[k] > 40 else "")  # noqa: E731  no training word is so long
+    left = [[text(k) for k in range(max(0, a - NEIGHBOURS), a) if start[k] >= lo] for a, lo in zip(at.tolist(), low.tolist(), strict=True)]
+    right = [[text(k)] if k < len(start) and start[k] < hi else [] for k, hi in zip(after.tolist(), high.tolist(), strict=True)]
+    near = np.where(at > 0, end[np.maximum(at, 1) - 1] if len(end) else 0, 0)
+    return left, right, np.maximum(near, low)
+
+
+@dataclass
+class Scanner:
+    """A fitted forest with the dictionary and the words' log-odds that its features need."""
+
+    known: frozenset[str]
+    odds: dict[str, float]
+    forest: Forest
+
+    def features(self, b: Block, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        n = len(first)
+        if not n:
+            return np.zeros((0, WIDTH))
+        sums = lambda flags: np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+        share = lambda s, e=last, f=first: (s[e] - s[f]) / np.maximum(e - f, 1)
+        kind, size = CLASS[b.data], last - first
+        letter, vowel = (kind == 1) | (kind == 2), VOWEL[b.data]
+        change = np.concatenate(([False], kind[1:] != kind[:-1]))
+        alternate = np.concatenate(([False], letter[1:] & letter[:-1] & (vowel[1:] != vowel[:-1])))
+        inner = lambda s: (s[last] - s[first + 1]) / np.maximum(size - 1, 1)
+        cand = np.repeat(np.arange(n), size)
+        byte = b.data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        counts = np.bincount(cand * 256 + byte, minlength=n * 256).reshape(n, 256) / size[:, None]
+        entropy = -(counts * np.log2(np.where(counts > 0, counts, 1))).sum(1)
+        left, right, near = _neighbours(b, first, last)
+        raw = b.data.tobytes()
+        names = [raw[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+        cover = [sum(covered(w, self.known) for w in re.findall(r"[a-z]{4,}", x.decode("utf-8", "replace").lower())) / len(x) for x in names]
+        word = np.searchsorted(b.start, first, "right") - 1
+        begin = np.minimum(b.start[np.maximum(word, 0)], first) if len(b.start) else first
+        slash, colon, dot = (sums(b.data == x) for x in b"/:.")
+        scheme = sums(np.concatenate(((b.data[:-2] == 58) & (b.data[1:-1] == 47) & (b.data[2:] == 47), [False, False])) if len(b.data) > 2 else np.zeros(len(b.data), bool))
+        space = sums((b.data == 32) | (b.data == 9) | (b.data == 10))
+        follow = np.append(b.data, 32)[np.minimum(last, len(b.data))]
+        score = [[self.odds.get(w, 0.0) for w in x] or [0.0] for x in left]
+        columns = [size, *(share(sums(kind == k)) for k in range(4)), inner(sums(change)), inner(sums(alternate)), share(sums(HEX[b.data])), share(sums(vowel)) / np.maximum(share(sums(letter)), 0.01), entropy, entropy / np.log2(np.maximum(size, 2)), counts.max(1), np.array(cover)]
+        columns += [slash[last] - slash[first], colon[last] - colon[first], dot[last] - dot[first], slash[first] - slash[begin], scheme[first] - scheme[begin], space[first] - space[near], first - near]
+        columns += [(s[first] - s[near] > 0) for s in (sums(b.data == x) for x in GLUE)]
+        columns += [np.isin(follow, np.frombuffer(b"./@", np.uint8)), np.array([x.startswith(tuple(p.encode() for p in PREFIXES)) for x in names]), np.array([max(x) for x in score]) + np.array([min(x) for x in score]), np.array([x[-1] for x in score])]
+        return np.stack([np.asarray(c, float) for c in columns], axis=1)
+
+    def scan(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Text, first byte, last byte and score of each finding, and its kind."""
+        first, last = spans(b)
+        doc = np.searchsorted(b.offset, first, "right") - 1
+        raw = b.data.tobytes()
+        kinds = [next((k for p, k in KINDS if p.match(x)), "mixed") for x in (raw[s:e].decode("utf-8", "replace") for s, e in zip(first.tolist(), last.tolist(), strict=True))]
+        return doc, first, last, self.forest.predict(self.features(b, first, last)), kinds
+
+
+def labelled_findings(n: int = 6000, seed: int = 2) -> tuple[list[tuple[str, str, str]], np.ndarray]:
+    """Seeded examples after public formats, half of them secrets: (before, candidate, after)."""
     rng = np.random.default_rng(seed)
+    one = lambda *x: x[int(rng.integers(len(x)))]
     pick = lambda chars, low, high: "".join(rng.choice(list(chars), rng.integers(low, high + 1)))
-    hexes, letters, upper, digits = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    plain = lambda: " ".join(pick(letters, 1, 9) for _ in range(rng.integers(0, 4)))
-    words = lambda: "-".join("".join(rng.choice(DICTIONARY) for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(2, 5)))
+    digits, hexes, lower = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    mixed, signs = lower + lower.upper() + digits, "!#$%^&*?"
+    say = lambda: pick(lower, 2, 9)
+    prose = lambda k: " ".join(say() for _ in range(rng.integers(0, k)))
+    known = ("server", "release", "update", "station", "garden", "letter", "market", "window", "number", "public", "report", "simple", "travel", "winter", "yellow", "master", "branch", "default", "service", "profile")
+    ident = lambda: one("_", "-", "").join(one(*known) for _ in range(rng.integers(2, 5)))
+    name = lambda: one("", "", f"{one(*known)}_", "db_", "app.", "MY_") + one("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "client_secret", "access_token", "auth", "private_key", "credentials", "passphrase", "SECRET_KEY", "AUTH_TOKEN", "DB_PASSWORD")
+    other = lambda: one("commit", "sha1", "sha256", "md5", "checksum", "digest", "etag", "revision", "id", "uuid", "trace", "request_id", "build", "version", "file", "path", "url", "title", "image", "note", "author", "name", "type", "class", "color", "date", "order", "isbn", "ref")
+    glue = lambda: one("=", " = ", ": ", ":", '="', ' = "', "='", '": "', ": '", " ")
+    close = lambda g: ('"' if g.endswith('"') else "'" if g.endswith("'") else "") + one("", "\n", " ", ", ", ";") + prose(3)
     out, label = [], []
     for k in range(n):
-        tail = " " + plain()
+        g, head = glue(), one(prose(4) + " ", "\n", "export ", "  ", "- ", '{"', "const ", "set ")
         if k % 2:
-            kind = rng.integers(0, 5)
-            name = rng.choice(("password", "passwd", "token", "api_key", "secret", "access_token", "client_secret"))
-            glue = rng.choice(("=", ' = "', ": ", '="'))
-            body = ("AKIA" + pick(upper + digits, 16, 16)) if kind == 0 else (str(rng.choice(("ghp_", "sk-", "xoxb-"))) + pick(letters + upper + digits, 24, 40)) if kind == 1 else pick(hexes, 14, 40) if kind < 4 else pick(letters + upper + digits + "+/", 16, 44)
-            head = f"{plain()} " if kind < 2 else f"{plain()} {name}{glue}"
-            out.append((head, body, ('"' if '"' in head else "") + tail))
-        else:
-            kind = rng.integers(0, 8)
-            if kind == 0:
-                head, body = f"{plain()} {rng.choice(('commit', 'sha256', 'md5', 'checksum', 'etag', 'digest'))} ", pick(hexes, 16, 64)
-            elif kind == 1:
-                head, body = f"{plain()} {rng.choice(('uuid', 'id', 'order', 'build'))} ", "-".join(pick(hexes, m, m) for m in (8, 4, 4, 4, 12))
-            elif kind == 2:
-                head, body = f"{plain()} http://", f"{words()}/{pick(digits, 1, 4)}"
-            elif kind == 3:
-                head, body = f"{plain()} ", words() + pick(digits, 1, 4)
-            elif kind == 4:
-                head, body, tail = f"{plain()} ", pick(letters, 8, 14) + pick(digits, 2, 4), f"@mail.example.com{tail}"
-            elif kind == 5:
-                head, body = f"{plain()} ", pick(digits, 12, 19)
-            elif kind == 6:
-                head, body = f"{plain()} +1 ", "-".join(pick(digits, 3, 4) for _ in range(4))
+            kind = int(rng.integers(0, 9))
+            body = [pick(hexes, 16, 64), pick(mixed, 16, 48), pick(mixed + "+/", 20, 44) + one("", "=", "=="), pick(mixed + signs, 8, 20), pick(lower.upper(), 1, 1) + pick(lower, 4, 8) + pick(digits, 2, 4) + pick(signs, 1, 2) + pick(lower, 0, 3), one("AKIA", "ASIA") + pick(lower.upper() + "234567", 16, 16), one("ghp_", "gho_", "glpat-", "xoxb-", "sk-", "sk_live_", "AIza", "npm_") + pick(mixed, 20, 40), "eyJ" + pick(mixed, 12, 40) + "." + pick(mixed + "_-", 20, 60) + "." + pick(mixed + "_-", 20, 43), pick(mixed, 8, 14)][kind]
+            bare = kind in (5, 6, 7) and rng.random() < 0.5
+            if kind == 8 and rng.random() < 0.5:
+                out.append((f"{prose(3)} {one('postgres', 'https', 'ftp', 'amqp', 'redis')}://{say()}:", body, f"@{say()}.{say()}/{say()}"))
+            elif rng.random() < 0.08:
+                out.append((f"{prose(3)} Authorization: {one('Bearer', 'Basic', 'token')} ", pick(mixed + "-_", 20, 60), close("")))
             else:
-                head, body, tail = f"{plain()} img src=/", f"{words()}/{words()}{pick(digits, 1, 3)}", f".png{tail}"
-            out.append((head, body, tail))
+                out.append(((head + prose(3) + " ") if bare else f"{head}{name()}{one(':', '=', ': ', ' = ') if g == ' ' else g}", body, close("" if bare else g)))
+        else:
+            kind = int(rng.integers(0, 14))
+            uuid = "-".join(pick(hexes, m, m) for m in (8, 4, 4, 4, 12))
+            stamp = f"20{pick(digits, 2, 2)}-{pick('01', 2, 2)}-{pick('012', 2, 2)}T{pick('01', 2, 2)}:{pick('012345', 2, 2)}:{pick('012345', 2, 2)}Z"
+            hole = one("your-api-key-here", "xxxxxxxxxxxxxxxx", "$" + "{" + "SECRET_TOKEN}", "<password>", "process.env.API_KEY", "os.environ.get", "REDACTED_VALUE", "********", "changeit-later", "%(password)s", "config.password", "getpass.getpass")
+            path = "/".join(one(ident(), say(), pick(digits, 2, 6)) for _ in range(rng.integers(2, 6))) + one("", ".png", ".html", ".js", "/")
+            row = [
+                (f"{head}{other()}{g}", pick(hexes, 32, 64)), (f"{prose(4)} {one('commit', 'merge', 'revert', 'tree')} ", pick(hexes, 40, 40)), (f"{head}{other()}{g}", uuid), (f"{head}{name()}{g}", hole), (f"{prose(4)} https://", f"{say()}.{say()}/{path}"),
+                (f"{prose(4)} ", ident() + one("", pick(digits, 1, 4))), (f"{head}{other()}{g}", ident()), (f"{prose(5)} ", pick(digits, 12, 20)), (f"{head}{other()}{g}", one(stamp, f"{pick(digits, 1, 2)}.{pick(digits, 1, 2)}.{pick(digits, 1, 3)}-{say()}.{pick(digits, 1, 2)}")), (f"{prose(4)} {pick(digits, 3, 3)}-", "-".join(pick(digits, 3, 4) for _ in range(3))),
+                (f"{prose(4)}: ", say() + say()), (f"{head}{other()}{g}", path), (f"{prose(3)} {pick(hexes, 32, 64)}  ", f"{ident()}-{pick(digits, 1, 2)}.{pick(digits, 1, 2)}"), (f"{prose(4)} src={one('', chr(34))}/", path),
+            ][kind]
+            out.append((*row, close(g) if kind in (0, 2, 3, 6, 8, 11) else one(" ", "\n", ". ") + prose(3)))
         label.append(float(k % 2))
     return out, np.array(label)
 
 
-def train(labelled: DataFrame | None = None, max_train_rows: int = MAX_TRAIN_ROWS) -> Forest:
-    """``labelled``: before, candidate, after, is_secret."""
+def _block_of(rows: list[tuple[str, str, str]]) -> tuple[Block, np.ndarray, np.ndarray]:
+    """Findings as the texts of one block, and where their candidates stand."""
+    parts = [tuple(x.encode() for x in r) for r in rows]
+    b = next(text_blocks(pa.array([b"".join(p).decode() for p in parts]), 1 << 62)) if rows else Block(0, np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    first = b.offset[:-1] + np.array([len(p[0]) for p in parts], np.int64)
+    return b, first, first + np.array([len(p[1]) for p in parts], np.int64)
+
+
+def word_odds(rows: list[tuple[str, str, str]], y: np.ndarray) -> dict[str, float]:
+    """Smoothed log-odds of a secret beside each word that stands before at least three training findings."""
+    b, first, last = _block_of(rows)
+    seen, bad = Counter(), Counter()
+    for words, is_secret in zip(_neighbours(b, first, last)[0], y.tolist(), strict=True):
+        for w in set(words):
+            seen[w] += 1
+            bad[w] += is_secret
+    share = (y.sum() + 1) / (len(y) + 2)
+    prior = np.log(share / (1 - share))
+    return {w: float(np.log((bad[w] + 2 * share) / (n - bad[w] + 2 * (1 - share))) - prior) for w, n in seen.items() if n >= 3}
+
+
+def train(labelled: DataFrame | None = None, max_train_rows: int = MAX_TRAIN_ROWS, vocabulary: str | None = None) -> Scanner:
+    """``labelled``: before, candidate, after, is_secret. ``vocabulary``: a tokenizer file whose whole words are the dictionary. Log-odds are learned on one half and the forest on the other, so that it does not trust words beyond their worth."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
     if labelled is None:
         rows, y = labelled_findings()
     else:
-        got = labelled.filter("candidate is not null and is_secret is not null").orderBy(F.xxhash64("before", "candidate", "after"), "candidate").limit(max_train_rows).collect()
-        rows, y = [(r["before"] or "", r["candidate"], r["after"] or "") for r in got if r["candidate"]], np.array([float(r["is_secret"]) for r in got if r["candidate"]])
-    x = np.array([features(*r) for r in rows]) if rows else np.zeros((0, 21))
-    return Forest().fit(x, y)
-
-
-def scan_block(b: Block, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Text, first byte, last byte and score of each finding, and its kind."""
-    digits = np.zeros(len(b.data) + 1, np.int64)
-    np.cumsum(DIGIT[b.data], out=digits[1:])
-    wide = np.flatnonzero((b.end - b.start >= SHORTEST) & (digits[b.end] > digits[b.start]))
-    raw = b.data.tobytes()
-    doc, first, last, rows = [], [], [], []
-    for w in wide.tolist():
-        s, e, d = int(b.start[w]), int(b.end[w]), int(b.word_doc[w])
-        left = int(b.start[max(w - 3, int(b.first_word[d]))])
-        right = int(b.end[min(w + 1, int(b.first_word[d + 1]) - 1)])
-        for m in RUN.finditer(raw, s, e):
-            if digits[m.end()] > digits[m.start()]:
-                doc.append(d), first.append(m.start()), last.append(m.end())
-                rows.append((raw[max(left, m.start() - 200) : m.start()].decode("utf-8", "ignore"), m[0].decode(), raw[m.end() : min(right, m.end() + 200)].decode("utf-8", "ignore")))
-    score = forest.predict(np.array([features(*r) for r in rows])) if rows else np.zeros(0)
-    kinds = [next((k for p, k in KINDS if p.match(r[1])), "mixed") for r in rows]
-    return np.array(doc, np.int64), np.array(first, np.int64), np.array(last, np.int64), score, kinds
+        got = labelled.filter("candidate is not null and candidate <> '' and is_secret is not null").orderBy(F.xxhash64("before", "candidate", "after"), "candidate").limit(max_train_rows).collect()
+        rows, y = [(r["before"] or "", r["candidate"], r["after"] or "") for r in got], np.array([float(r["is_secret"]) for r in got])
+    half = np.arange(len(rows)) % 4 < 2
+    scanner = Scanner(dictionary(vocabulary), word_odds([r for r, h in zip(rows, half, strict=True) if h], y[half]), Forest())
+    b, first, last = _block_of([r for r, h in zip(rows, half, strict=True) if not h])
+    scanner.forest.fit(scanner.features(b, first, last), y[~half])
+    return scanner
 
 
 FINDING = "doc_id long, start long, length long, kind string, score double, is_secret boolean"
 
 
-def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def findings(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each candidate; start counts code points from the text's first."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_blocks(batch.column(1)):
-                doc, first, last, score, kinds = scan_block(b, forest)
+                doc, first, last, score, kinds = scanner.scan(b)
                 points = np.zeros(len(b.data) + 1, np.int64)
                 np.cumsum((b.data & 0xC0) != 0x80, out=points[1:])
                 start = points[first] - points[b.offset[doc]]
@@ -148,7 +249,7 @@ def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(scan, FINDING).withColumnRenamed("doc_id", id_col)
 
 
-def redact(text: Column, forest: Forest, threshold: float = THRESHOLD) -> Column:
+def redact(text: Column, scanner: Scanner, threshold: float = THRESHOLD) -> Column:
     """The text with each secret replaced by MASK; null stays null."""
 
     @F.arrow_udf("string")
@@ -156,7 +257,7 @@ def redact(text: Column, forest: Forest, threshold: float = THRESHOLD) -> Column
         for texts in batches:
             out: list[str | None] = texts.to_pylist()
             for b in text_blocks(texts):
-                doc, first, last, score, _ = scan_block(b, forest)
+                doc, first, last, score, _ = scanner.scan(b)
                 bad = np.flatnonzero(score >= threshold)
                 for d in np.unique(doc[bad]).tolist():
                     raw, at, parts = b.data[b.offset[d] : b.offset[d + 1]].tobytes(), 0, []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skerry.llm import op1_urls, op2_toxicity, op3_hyperminhash, op4_lm, op5_topk, op6_secrets, op7_chat, op8_packing, op9_mixing, op10_quality, queries
+from skerry.llm import op1_urls, op2_toxicity, op3_hyperminhash, op4_lm, op5_topk, op7_chat, op8_packing, op9_mixing, op10_quality, queries
 from skerry.llm.blocks import text_blocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, verdict string"
@@ -276,19 +276,6 @@ def test_url_model_on_held_out():
     assert ((op1_urls.UrlModel(*op1_urls.labelled_urls()).predict(urls) > 0.5) == (y > 0)).mean() > 0.9
 
 
-def test_secrets_on_held_out_and_in_text(spark, odd, empty):
-    forest = op6_secrets.train()
-    rows, y = op6_secrets.labelled_findings(800, seed=8)
-    assert ((forest.predict(np.array([op6_secrets.features(*r) for r in rows])) >= 0.5) == (y > 0)).mean() > 0.95
-    t = 'é the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end, see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff and http://the-page.example.com/12'
-    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
-    got = op6_secrets.findings(df, forest).filter("is_secret").collect()
-    assert [t[r["start"] : r["start"] + r["length"]] for r in got] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"] and got[0]["start"] < 40
-    assert df.select(op6_secrets.redact(F.col("text"), forest)).first()[0].startswith('é the token = "[SECRET]" end, see commit 24be')
-    assert odd.select("text", op6_secrets.redact(F.col("text"), forest).alias("c")).filter("NOT (text <=> c) AND doc_id <> 6").isEmpty()
-    assert op6_secrets.findings(empty, forest).isEmpty()
-
-
 def test_chat_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     hot = "shared [INST] first \\l turn"
