@@ -30,7 +30,7 @@ from skerry.llm.blocks import Block, text_blocks
 from skerry.llm.trees import Forest
 
 MAX_TRAIN_ROWS, THRESHOLD, MASK, NEIGHBOURS = 20_000, 0.5, "[SECRET]", 4
-CANDIDATE = re.compile(rb"(?P<web>eyJ[\w-]{8,}(?:\.[\w-]+){1,2})|[=:][ \t]?[\"'`]?(?!//)(?P<value>(?:[^\s\"'`<>(){}\[\],;&]|&(?!\w+=)){8,})|(?P<run>[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![^\s\"'`,;]))?)")
+CANDIDATE = re.compile(rb"(?P<web>eyJ[\w-]{8,}(?:\.[\w-]+){1,2})|[=:][ \t]?[\"'`]?(?!/{2}|[\w+.-]*://)(?P<value>(?:[^\s\"'`<>(){}\[\],;&]|&(?!\w+=)){8,})|(?P<run>[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![^\s\"'`,;]))?)")
 #: How keys of public services begin.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk-", "sk_live_", "rk_live_", "AIza", "npm_", "pypi-", "SG.", "eyJ")
 KINDS = ((re.compile(r"A[KS]IA[A-Z0-9]{16}$"), "access_key"), (re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[bap]-|sk[-_]|rk_|AIza|npm_|pypi-|SG\.)"), "service_token"), (re.compile(r"eyJ[\w-]+\."), "web_token"), (re.compile(r"[0-9a-fA-F]+$"), "hex"))

@@ -89,16 +89,12 @@ def test_a_long_run_costs_in_proportion(scanner):
 
 def test_neighbours_against_a_plain_search():
     rng = np.random.default_rng(0)
-    text = "".join(rng.choice(list("ab1 é=:\n"), 400))
+    text = "".join(rng.choice(list("ab1 -=:\n"), 400))
     b = next(text_blocks(pa.array(["zz9 " + text, text])))
-    first = np.sort(rng.choice(np.arange(5, len(b.data) - 10), 40, replace=False))
-    first = first[np.diff(np.append(first, 10**9)) > 3]
-    left, _, _ = S._neighbours(b, first, first + 2)
-    for s, words in zip(first.tolist(), left, strict=True):
+    for s in rng.choice(np.arange(5, len(b.data) - 10), 40, replace=False).tolist():
+        left, _, _ = S._neighbours(b, np.array([s]), np.array([s + 2]))
         lo = b.offset[np.searchsorted(b.offset, s, "right") - 1]
-        before = b.data[lo:s].tobytes()
-        want = [w.decode("utf-8", "replace").lower() for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", before)][-4:]
-        assert [w for w in words][-1:] == want[-1:]
+        assert left[0] == [w.decode() for w in re.findall(rb"[A-Za-z0-9]+", b.data[lo:s].tobytes())][-S.NEIGHBOURS :]
 
 
 def test_labelled_rows_of_the_caller(spark):
