@@ -7,7 +7,7 @@ One pass over the texts, no shuffle: hot keys do not matter and a lost task is j
 
 Null and empty texts have no words: all counts 0, coverage 0, and ``base_failed`` (fewer than 50 words).
 Repeated rows are judged one by one. Very long texts form a block of their own (about 60 bytes of
-working memory a byte of text). Input columns are untouched; the verdict is one struct column whose name the caller sets.
+working memory a byte of text). An empty table gives no rows. Input columns are untouched, so other columns' names cannot clash; the verdict is one struct column whose name the caller sets.
 """
 
 from __future__ import annotations
@@ -106,3 +106,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     v = docs.select("doc_id", quality_verdict(F.col("text")).alias("verdict"))
     return v.select("doc_id", *(F.col(f"verdict.{x}").alias(x) for x in verdict_type().names))
+
+
+def oracle() -> str:
+    """The whole query in SQL: windows, lines and the verdict."""
+    word = "[^\\x20\\x09-\\x0D]+"
+    lengths = (3, *NGRAM_LIMITS)
+    inside = "\n".join(
+        f"""c{n} AS MATERIALIZED (SELECT k, sum(len(ws[j])) AS chars, count(*) AS n FROM (
+  SELECT DISTINCT k, ws, unnest(range(i, i + {n})) AS j FROM (
+    SELECT *, count(*) OVER (PARTITION BY k, g) AS times FROM (SELECT k, ws, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w))
+  ) WHERE times > 1) GROUP BY k),"""
+        for n in lengths
+    )
+    shares = ", ".join(f"coalesce(c{n}.chars, 0) / greatest(word_chars, 1) AS coverage_{n}" for n in NGRAM_LIMITS)
+    joins = " ".join(f"LEFT JOIN c{n} USING (k)" for n in lengths)
+    fine = " AND ".join(f"coverage_{n} <= {limit}" for n, limit in NGRAM_LIMITS.items())
+    return f"""
+WITH w AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+{inside}
+l AS MATERIALIZED (SELECT k, line, len(array_to_string(regexp_extract_all(line, '{word}'), '')) AS chars, count(*) OVER (PARTITION BY k, line) AS times
+  FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{word}')),
+d AS MATERIALIZED (SELECT k, sum(chars) FILTER (times > 1) AS chars, count(*) - count(DISTINCT line) AS again FROM l GROUP BY k),
+b AS MATERIALIZED (SELECT doc_id, k, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ws) AS BIGINT) AS n_words FROM w),
+v AS (SELECT doc_id, word_chars, n_symbols, coalesce(again, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, n_words, coalesce(d.chars, 0) / greatest(word_chars, 1) AS line_coverage, {shares}
+  FROM b LEFT JOIN d USING (k) {joins})
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_coverage <= {LINE_LIMIT} AND {fine} AS kept FROM v
+"""
