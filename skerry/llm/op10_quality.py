@@ -112,11 +112,11 @@ def oracle() -> str:
     """The whole query in SQL: windows, lines and the verdict."""
     word = "[^\\x20\\x09-\\x0D]+"
     lengths = (3, *NGRAM_LIMITS)
+    gram = lambda n: " || ' ' || ".join(["x", *(f"lead(x, {k}) OVER o" for k in range(1, n))])  # noqa: E731  null past the last word
     inside = "\n".join(
-        f"""c{n} AS MATERIALIZED (SELECT k, sum(len(ws[j])) AS chars, count(*) AS n FROM (
-  SELECT DISTINCT k, ws, unnest(range(i, i + {n})) AS j FROM (
-    SELECT *, count(*) OVER (PARTITION BY k, g) AS times FROM (SELECT k, ws, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w))
-  ) WHERE times > 1) GROUP BY k),"""
+        f"""g{n} AS MATERIALIZED (SELECT k, i, {gram(n)} AS g FROM t WINDOW o AS (PARTITION BY k ORDER BY i)),
+c{n} AS MATERIALIZED (SELECT k, sum(len(x)) AS chars, count(*) AS n FROM t JOIN (
+  SELECT DISTINCT k, unnest(range(i, i + {n})) AS i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS times FROM g{n} WHERE g IS NOT NULL) WHERE times > 1) USING (k, i) GROUP BY k),"""
         for n in lengths
     )
     shares = ", ".join(f"coalesce(c{n}.chars, 0) / greatest(word_chars, 1) AS coverage_{n}" for n in NGRAM_LIMITS)
@@ -124,6 +124,7 @@ def oracle() -> str:
     fine = " AND ".join(f"coverage_{n} <= {limit}" for n, limit in NGRAM_LIMITS.items())
     return f"""
 WITH w AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+t AS MATERIALIZED (SELECT k, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
 {inside}
 l AS MATERIALIZED (SELECT k, line, len(array_to_string(regexp_extract_all(line, '{word}'), '')) AS chars, count(*) OVER (PARTITION BY k, line) AS times
   FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{word}')),
