@@ -9,7 +9,8 @@ reduced to bucket counts on the executors. Scoring is one pass without a shuffle
 number, which is summed for each different word of a block and then for each text.
 
 Null and empty texts have no n-grams and score the training share of toxic texts. Without labelled rows every score is 0.05.
-Rows with a null label or id are not learned from; a repeated id is learned from once, as toxic if any label says so. Null ids are scored, and not held out.
+Rows with a null label or id are not learned from; a repeated id is learned from once, as toxic if any label says so, and by the text whose bag sorts first. Null ids are scored, and not held out.
+Very long texts form a block of their own and are read whole; empty tables give no rows; columns besides id, text and label are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     known = labels.filter("id is not null and label is not null").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_train_rows)  # so many rows at most
     bags = docs.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_bags, "id long, label int, rows binary, share binary")
-    got = bags.dropDuplicates(["id"]).toArrow()
+    got = bags.groupBy("id").agg(F.min(F.struct("label", "rows", "share")).alias("x")).select("id", "x.*").toArrow()
     if not got.num_rows:
         return SubwordSoftmax(), 0.05
     order = np.argsort(got["id"].to_numpy(), kind="stable")

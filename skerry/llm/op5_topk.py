@@ -1,13 +1,13 @@
 """Exact top-k search by inner product with Fagin's threshold algorithm.
 
-Candidates and queries are dealt into blocks of bounded size, and each pair of a query block and a candidate block is one task. There every
+Candidates and queries are dealt into blocks of bounded size, and each pair of a query block and a candidate block is one task, which sorts its lists once for up to QUERY_BLOCK queries. There every
 dimension has its list of candidates sorted by component; a query walks each list from the end that its own component's sign
-favours, scores the candidates it meets in full, and stops once the sum of the components at its positions, the most that
-any candidate not yet met could score, is below the k-th score. (An equal bound goes on, as a smaller id wins a tie.) Positions advance in growing steps, all lists at
-once. Block results are merged by a ranked window, whose partial step keeps k rows of each task.
+favours, the faster the larger that component is, scores the candidates it meets in full, and stops once the sum of the components at its positions, the most that
+any candidate not yet met could score, is below the k-th score. (An equal bound goes on, as a smaller id wins a tie.) Positions advance in growing steps.
+Scores are matrix products of whole numbers in double precision, exact below 2**53. Block results are merged by a ranked window, whose partial step keeps k rows of each task.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as padded with zeros. Rows with a null id take no part. A row is no
-candidate for queries of its own id, and repeated rows count once. An empty table gives no rows.
+candidate for queries of its own id, and repeated rows count once. An empty table gives no rows. Columns besides id and vector are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,33 +19,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 K, SCALE, EVERY = 5, 256, 50
-CANDIDATE_BLOCK, QUERY_BLOCK, FIRST_STEP = 8192, 512, 16
+CANDIDATE_BLOCK, QUERY_BLOCK, FIRST_STEP, GROWTH = 8192, 4096, 16, 1.5
 
 
-def threshold_top_k(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and row numbers of one query's best, by score, then id. ``order``: rows of each dimension in ascending component."""
+def threshold_top_k(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and row numbers of one query's best, by score, then id, and how many rows were met. ``order``: rows of each dimension in ascending component. Vectors hold whole numbers as doubles."""
     n = len(vectors)
     used = np.flatnonzero(query)
-    seen = np.zeros(n, bool)
-    score = np.zeros(n, np.int64)
-    depth, step = 0, FIRST_STEP
-    while depth < n:
-        upto = min(n, depth + step)
-        met = np.concatenate([order[n - upto : n - depth, d] if query[d] > 0 else order[depth:upto, d] for d in used]) if len(used) else np.arange(n)
+    seen, score = np.zeros(n, bool), np.zeros(n)
+    pace = np.abs(query[used]) / np.abs(query[used]).max() if len(used) else np.ones(0)
+    depth, step, at = np.zeros(len(used), np.int64), float(FIRST_STEP), 0.0
+    while not seen.all():
+        at, step = at + step, step * GROWTH
+        upto = np.minimum(n, np.ceil(at * pace).astype(np.int64))
+        met = np.concatenate([order[n - b : n - a, d] if query[d] > 0 else order[a:b, d] for d, a, b in zip(used, depth, upto, strict=True)]) if len(used) else np.arange(n)
         met = np.unique(met[~seen[met]])
         seen[met] = True
         score[met] = vectors[met] @ query
-        depth, step = upto if len(used) else n, step * 2
-        if depth >= n:
+        depth = upto
+        if not len(used):
             break
-        at = np.array([order[n - depth, d] if query[d] > 0 else order[depth - 1, d] for d in used])
-        bound = int((query[used] * vectors[at, used]).sum())
+        reached = np.array([order[n - x, d] if query[d] > 0 else order[x - 1, d] for d, x in zip(used, depth, strict=True)])
+        bound = float((query[used] * vectors[reached, used]).sum())
         good = np.flatnonzero(seen & (ids != own))
         if len(good) >= k and np.partition(score[good], len(good) - k)[len(good) - k] > bound:
             break
     good = np.flatnonzero(seen & (ids != own))
     best = good[np.lexsort((ids[good], -score[good]))[:k]]
-    return score[best], best
+    return score[best].astype(np.int64), best, int(seen.sum())
 
 
 def _cell(k: int):
@@ -53,14 +54,14 @@ def _cell(k: int):
         out: list[pd.DataFrame] = []
         if len(queries) and len(rows):
             width = max(map(len, [*queries["v"], *rows["v"]]))
-            x, q = np.zeros((len(rows), width), np.int64), np.zeros((len(queries), width), np.int64)
+            x, q = np.zeros((len(rows), width)), np.zeros((len(queries), width))
             for m, vs in ((x, rows["v"]), (q, queries["v"])):
                 for i, v in enumerate(vs):
                     m[i, : len(v)] = v
             ids = rows["id"].to_numpy()
             order = np.argsort(x, axis=0, kind="stable")
             for qid, vector in zip(queries["id"].tolist(), q, strict=True):
-                score, best = threshold_top_k(vector, qid, x, ids, order, k)
+                score, best, _ = threshold_top_k(vector, qid, x, ids, order, k)
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
 

@@ -12,6 +12,7 @@ ancestors' tokens, which its tokens attend to besides the node's own earlier tok
 
 Rows are ordered by turn, then role and text; repeated rows are turns of their own. Null role and text count as empty, null turns come first, and rows with a null
 conv_id form one conversation with a null id. An empty table gives no sequences. A conversation is one record and is held in memory whole.
+Columns besides conv_id, turn, role and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

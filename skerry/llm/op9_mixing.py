@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Each document weighs its tokens (words). Token totals by source class, language class and topic are raked to the target
-marginals: each iteration scales them to the source targets, then the language, then the topic targets. A source or
+marginals: each iteration scales them to the source targets, then the language, then the topic targets, until no marginal is off by more than TOLERANCE or ITERATIONS are
+done; ``residual`` tells how far off they end. A topic is a column of the caller's, or else told by what the text holds. A source or
 language that the targets don't name belongs to class ``*``, so the table of totals has at most (named sources + 1) x (named languages + 1)
 x topics cells, however large the corpus; it alone is collected, and the fitted cells alone are broadcast. A target of a class without tokens is
 dropped and the others of its kind are scaled up.
@@ -11,8 +12,8 @@ sample holds ``sample_share`` of all tokens. A cell whose probability reaches 1
 Pre-aggregation by cell makes hot sources cheap; no join or shuffle carries texts.
 
 Null or unnamed sources and languages are class ``*``; null and empty texts have 0 tokens, topic ``prose``, and are drawn with their cell's
-probability (1 in a cell without tokens). A null id draws as if it were an empty string. Repeated rows get equal draws. Columns besides text, source, language and id are
-untouched; the result is one struct column.
+probability (1 in a cell without tokens). A null id draws as if it were an empty string. Repeated rows get equal draws. Texts of any length are read whole, an empty table gives no rows. Columns besides
+text, source, language and id are untouched; the result is one struct column, and an input that has one of its name is refused.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITERATIONS = 25
+ITERATIONS, TOLERANCE = 25, 1e-12
 OTHER = "*"
 #: Topic -> pattern that the whole text is searched for; the first that fits, else ``prose``.
 TOPICS = {"tabular": r" \| ", "technical": r"[0-9]{4}|://|@|=", "prose": None}
@@ -54,6 +55,11 @@ def class_of(value: Column, named: dict[str, float]) -> Column:
     return F.when(value.isin([x for x in named if x != OTHER]), value).otherwise(F.lit(OTHER))
 
 
+def residual(fitted: np.ndarray, kinds: list[list[tuple[np.ndarray, float]]]) -> float:
+    """The largest difference between a marginal and its target."""
+    return max((abs(float(fitted[rows].sum()) - goal) for kind in kinds for rows, goal in kind), default=0.0)
+
+
 def rake(cells: list[tuple[str, str, str, float]], targets: Targets) -> dict[tuple[str, str, str], tuple[float, float]]:
     """Weight (fitted over actual share) and probability of each cell."""
     keys = [c[:3] for c in cells]
@@ -69,6 +75,8 @@ def rake(cells: list[tuple[str, str, str, float]], targets: Targets) -> dict[tup
         total = sum(goal.values()) or 1.0
         kinds.append([(label == x, g / total) for x, g in goal.items()])
     for _ in range(ITERATIONS):
+        if residual(fitted, kinds) <= TOLERANCE:
+            break
         for kind in kinds:
             for rows, goal in kind:
                 mass = fitted[rows].sum()
@@ -86,11 +94,14 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
 
 
-def mix_sources(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The documents with one struct column ``mix``: source_class, lang_class, topic, tokens, weight, probability, sampled."""
+def mix_sources(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", topic_col: str | None = None) -> DataFrame:
+    """The documents with one struct column ``mix``: source_class, lang_class, topic, tokens, weight, probability, sampled. ``topic_col``: a column of topics, if there is one."""
+    if "mix" in (c.lower() for c in docs.columns):
+        raise ValueError("there is a column mix already")
     targets = targets or Targets()
+    topic = class_of(F.col(topic_col), targets.topic) if topic_col else topic_of(F.col("text"))
     text = F.coalesce("text", F.lit(""))
-    cell = [class_of(F.col("source"), targets.source).alias("source_class"), class_of(F.col("lang"), targets.lang).alias("lang_class"), topic_of(F.col("text")).alias("topic")]
+    cell = [class_of(F.col("source"), targets.source).alias("source_class"), class_of(F.col("lang"), targets.lang).alias("lang_class"), topic.alias("topic")]
     tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens")
     marked = docs.withColumn("mix", F.struct(*cell, tokens))
     names = ["source_class", "lang_class", "topic"]

@@ -263,6 +263,22 @@ def test_topk_with_ties_and_bad_vectors(spark):
     assert op5_topk.top_k(df.filter("id < 0"), df.filter("id < 0")).isEmpty()
 
 
+def test_the_bound_stops_where_components_are_uneven():
+    """On vectors with a few large components most rows are never met; the result is that of brute force either way."""
+    rng = np.random.default_rng(2)
+    for skew, share in ((4.0, 0.5), (0.0, 1.0)):
+        x = np.floor(256 * rng.normal(size=(3000, 32)) * np.exp(-skew * np.arange(32) / 8))
+        order = np.argsort(x, axis=0, kind="stable")
+        met = 0
+        for i in range(0, 3000, 300):
+            score, best, n = op5_topk.threshold_top_k(x[i], i, x, np.arange(3000), order, 5)
+            full = x @ x[i]
+            full[i] = -np.inf
+            assert best.tolist() == np.lexsort((np.arange(3000), -full))[:5].tolist() and score.tolist() == full[best].tolist()
+            met += n / 30_000
+        assert met <= share
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.com/en/1?x"), (2, "https://www.example.com/en/2"), (3, "ftp://x.net/es/#a"), (4, None), (5, "no scheme"), (6, "http://com"), (7, "http://example.com/fr/"), (8, "https://buy-now-cheap-stuff.example.org/fr/3"), (9, "https://blog.motion.example.org/en/7")]
     got = {r["page_id"]: r["url_verdict"] for r in op1_urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -356,6 +372,12 @@ def test_mixing_meets_targets(spark, odd, empty):
     total = sum(c[3] for c in cells)
     assert math.isclose(sum(c[3] / total * fitted[c[:3]][0] for c in cells if c[0] == "src0"), 0.25, rel_tol=1e-3)
     assert math.isclose(sum(c[3] * fitted[c[:3]][1] for c in cells) / total, 0.8, rel_tol=1e-6)
+    kinds = [[(np.array([c[0] == s for c in cells]), g) for s, g in (("src0", 0.25), ("*", 0.75))]]
+    assert op9_mixing.residual(np.array([c[3] / total * fitted[c[:3]][0] for c in cells]), kinds) < 1e-3
+    with pytest.raises(ValueError):
+        op9_mixing.mix_sources(odd.withColumn("mix", F.lit(1)))
+    given = op9_mixing.mix_sources(odd.withColumn("t", F.lit("tabular")), topic_col="t")
+    assert {r[0] for r in given.select("mix.topic").distinct().collect()} == {"tabular"}
     assert op9_mixing.mix_sources(odd).count() == len(ODD) and op9_mixing.mix_sources(empty).isEmpty()
 
 
