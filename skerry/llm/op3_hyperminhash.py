@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from skerry.llm.blocks import BASE, Block, first_of_each, mix, text_blocks, windows
 from skerry.llm.components import components
 from skerry.llm.shared import Scratch
+from skerry.llm.sift import marked
 
 SHINGLE, REGISTERS, MANTISSA = 5, 120, 10
 #: Largest probability that a pair at the threshold shares no band.
 MISS = 1e-5
 #: A cell of a bucket holds about so many classes, and so many shingles, at most.
 CELL, CELL_SHINGLES = 1000, 1_000_000
-MAP_BITS = 23
 PAIR = "a long, ta long, b long, tb long"
 PAIR_NAMES = ["a", "ta", "b", "tb"]
 _RNG = np.random.default_rng(7)
@@ -281,14 +281,9 @@ def _confirm(percent: int):
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents with one of the (id, text hash), which are distinct; repeated rows once.
 
-    They set bits of a map of 2**MAP_BITS bits, at most 2**(MAP_BITS - 6) rows of one long, and only documents whose bit is set are
-    shuffled to the exact join. With more of them the map fills up and sifts less, but nothing is lost. The exact join is an inner one, as the
-    optimizer would move a semi join below the map's.
+    Only documents that the map of bits does not rule out are shuffled to the exact join. It is an inner one, as the optimizer would move a semi join below the map's.
     """
-    bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << MAP_BITS))
-    word, mask = F.shiftrightunsigned(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, th), {1 << MAP_BITS}) % 64 as int))")
-    bits = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-    sifted = docs.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(mask) != 0).select(*docs.columns)
+    sifted = marked(docs, wanted, ["id", "th"], "maybe").filter("maybe").select(*docs.columns)
     return sifted.join(wanted.hint("merge"), ["id", "th"]).groupBy("id", "th").agg(F.min("text").alias("text"))
 
 
