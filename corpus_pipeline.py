@@ -19,6 +19,7 @@ from skerry.llm.op8_packing import pack
 from skerry.llm.op9_mixing import mix_sources
 from skerry.llm.op10_quality import quality_verdict
 from skerry.llm.shared import Scratch
+from skerry.llm.sift import marked
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot express the forest of the secret scan or the token ids of packing; tests hold the stages against brute force.
@@ -34,11 +35,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id stays of each group; texts are linked from a similarity of PERCENT on."""
-    kept = near_duplicates(docs, percent=PERCENT).filter("kept and doc_id is not null").select("doc_id").distinct()
-    whole = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = whole.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return one.select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+    """The document of smallest id stays of each group; texts are linked from a similarity of PERCENT on.
+
+    Ids that go or repeat are few. Rows that a map of bits rules out from them stay as they are, and only the others are shuffled to be told apart.
+    """
+    scratch, docs = Scratch(spark, "dedup"), docs.select(*COLUMNS)
+    verdict = scratch.keep(near_duplicates(docs, percent=PERCENT), "verdict")
+    special = verdict.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("n > 1 or not kept")
+    special = scratch.keep(special.select("doc_id", "kept"), "special")
+    rows = marked(docs, special, ["doc_id"], "maybe")
+    told = rows.filter("maybe").drop("maybe").join(special.hint("merge"), "doc_id", "left").filter("kept is null or kept")
+    repeats = told.filter("kept").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
+    return rows.filter("not maybe").select(*COLUMNS).union(told.filter("kept is null").select(*COLUMNS)).union(repeats.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
