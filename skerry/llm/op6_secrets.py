@@ -145,7 +145,11 @@ class Scanner:
         doc = np.searchsorted(b.offset, first, "right") - 1
         raw = b.data.tobytes()
         kinds = [next((k for p, k in KINDS if p.match(x)), "mixed") for x in (raw[s:e].decode("utf-8", "replace") for s, e in zip(first.tolist(), last.tolist(), strict=True))]
-        return doc, first, last, self.forest.predict(self.features(b, first, last)), kinds
+        own = np.unique(doc)  # features are computed over the texts that hold candidates
+        edge = np.concatenate(([0], np.cumsum(b.offset[own + 1] - b.offset[own])))
+        part = Block(0, np.concatenate([b.data[b.offset[d] : b.offset[d + 1]] for d in own.tolist()]), edge) if len(own) else b
+        move = (edge[:-1] - b.offset[own])[np.searchsorted(own, doc)] if len(own) else 0
+        return doc, first, last, self.forest.predict(self.features(part, first + move, last + move)), kinds
 
 
 def labelled_findings(n: int = 6000, seed: int = 2) -> tuple[list[tuple[str, str, str]], np.ndarray]:
