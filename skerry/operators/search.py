@@ -6,7 +6,7 @@ at most QUERY_BLOCK queries are sent to the tasks; more are dealt into blocks, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,9 @@ from pyspark.sql import window as W
 
 from skerry.functions import vectors as V
 
-MAX_CENTROIDS, QUERY_BLOCK, BASE_BLOCK = 65_536, 2048, 16_384
+MAX_CENTROIDS, QUERY_BLOCK, BASE_BLOCK, ASSIGN_ROWS = 65_536, 2048, 16_384, 1024
+FOUND = "qid long, row_id long, dist double"
+Work = Callable[[np.ndarray, np.ndarray, pd.DataFrame], Iterator[pd.DataFrame]]
 
 
 def top_per(df: DataFrame, key: str, k: int, *order) -> DataFrame:
@@ -39,41 +41,70 @@ def _nearest(ids: np.ndarray, q: np.ndarray, row: np.ndarray, x: np.ndarray, k:
         yield pd.DataFrame({"qid": ids[i], "row_id": row[at], "dist": d[at]})
 
 
-def _blocked(queries: DataFrame, base: DataFrame, k: int, metric: str, n: int) -> DataFrame:
-    """The nearest of each block of base rows for each block of queries; no block is larger than its bound by more than chance."""
-    parts, blocks = -(-n // QUERY_BLOCK), max(1, -(-base.count() // BASE_BLOCK))
+def against(queries: DataFrame, base: DataFrame, work: Work, schema: str) -> DataFrame:
+    """``work(query ids, query matrix, base rows)`` for every block of base rows and every block of queries.
+
+    ``queries``: qid, qvec; ``base``: row_id and what ``work`` reads. At most QUERY_BLOCK queries are sent along with the tasks, and base rows are read where they are, without a shuffle. More
+    queries are dealt into blocks, as base rows are, and each pair of blocks is one task; no block is larger than its bound by more than chance.
+    """
+    rows = queries.select("qid", "qvec").limit(QUERY_BLOCK + 1).collect()
+    if len(rows) <= QUERY_BLOCK:
+        ids = np.array([r["qid"] for r in rows], np.int64)
+        q = np.array([r["qvec"] for r in rows], float)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    yield from work(ids, q, pdf)
+
+        return base.mapInPandas(scan, schema)
+    parts, blocks = -(-queries.count() // QUERY_BLOCK), max(1, -(-base.count() // BASE_BLOCK))
     deal = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asks = queries.select("qid", "qvec", deal(parts, "qid").alias("part"), every(blocks).alias("block"))
-    rows = base.select("row_id", "embedding", deal(blocks, "row_id", "embedding").alias("block"), every(parts).alias("part"))
+    dealt = base.withColumn("block", deal(blocks, "row_id", "embedding")).withColumn("part", every(parts))
+    empty = pd.DataFrame({name.split()[0]: [] for name in schema.split(", ")})
 
     def cell(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = list(_nearest(q["qid"].to_numpy(), np.stack(q["qvec"].to_numpy()).astype(float), b["row_id"].to_numpy(), np.stack(b["embedding"].to_numpy()).astype(float), k, metric)) if len(q) and len(b) else []
-        return pd.concat(found) if found else pd.DataFrame({"qid": np.zeros(0, int), "row_id": np.zeros(0, int), "dist": np.zeros(0)})
+        if not len(q) or not len(b):
+            return empty
+        found = list(work(q["qid"].to_numpy(), np.stack(q["qvec"].to_numpy()).astype(float), b.drop(columns=["part", "block"])))
+        return pd.concat(found) if found else empty
+
+    return asks.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(cell, schema)
+
 
-    return asks.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInPandas(cell, "qid long, row_id long, dist double")
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
 
 
 def exact_search(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, rank, row_id, dist) by brute force. ``queries``: qid, qvec; ``base``: row_id, embedding. Ties go to the smaller row_id."""
     if metric not in ("l2", "ip"):
         raise ValueError(f"no such metric: {metric}")
-    rows = queries.select("qid", "qvec").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        out = _blocked(queries, base, k, metric, queries.count())
-    else:
-        ids = np.array([r["qid"] for r in rows], np.int64)
-        q = np.array([r["qvec"] for r in rows], float)
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    yield from _nearest(ids, q, pdf["row_id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(float), k, metric)
+    def nearest(ids: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield from _nearest(ids, q, rows["row_id"].to_numpy(), matrix(rows["embedding"]), k, metric)
 
-        out = base.select("row_id", "embedding").mapInPandas(scan, "qid long, row_id long, dist double")
+    out = against(queries, base.select("row_id", "embedding"), nearest, FOUND)
     return top_per(out, "qid", k, "dist", "row_id").select("qid", "rank", "row_id", "dist")
 
 
+def centroid_table(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, ascending, and the matrix of at most MAX_CENTROIDS centroids."""
+    rows = centroids.select("cluster_id", "centroid").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    rows.sort(key=lambda r: r["cluster_id"])
+    return np.array([r["cluster_id"] for r in rows]), np.array([r["centroid"] for r in rows], float)
+
+
+def ranked_clusters(q: np.ndarray, centroids: np.ndarray, metric: str = "l2") -> np.ndarray:
+    """For each query the places of all centroids, nearest first; ties to the earlier."""
+    score = ((q[:, None] - centroids[None]) ** 2).sum(2) if metric == "l2" and q.size * len(centroids) < 1 << 24 else -2 * (q @ centroids.T) + (centroids**2).sum(1) if metric == "l2" else -(q @ centroids.T)
+    return np.argsort(score, axis=1, kind="stable")
+
+
 def route(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str = "l2", nlist: int | None = None) -> DataFrame:
     """(qid, cluster_id, cluster_rank, score): each query's ``nprobe`` nearest clusters; ties to the smaller cluster."""
     nlist = centroids.count() if nlist is None else nlist
@@ -84,7 +115,7 @@ def route(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str = "
 
 def route_two_level(queries: DataFrame, centroids: DataFrame, supers: DataFrame, nprobe: int, n_super: int) -> DataFrame:
     """Scores super-centroids first and then only the children of the best ``n_super`` (inner product)."""
-    first = top_per(queries.crossJoin(F.broadcast(supers)).withColumn("s", V.neg_ip(F.col("qvec"), F.col("super_centroid"))), "qid", n_super, "s", "super_id").select("qid", "qvec", "super_id")
+    first = top_per(queries.crossJoin(_small(supers, supers.count(), MAX_CENTROIDS)).withColumn("s", V.neg_ip(F.col("qvec"), F.col("super_centroid"))), "qid", n_super, "s", "super_id").select("qid", "qvec", "super_id")
     scored = first.join(centroids, "super_id").withColumn("score", V.neg_ip(F.col("qvec"), F.col("centroid")))
     return top_per(scored, "qid", nprobe, "score", "cluster_id").select("qid", "qvec", "cluster_id", F.col("rank").alias("cluster_rank"), "score", "centroid")
 
@@ -120,10 +151,19 @@ def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:
     return found.join(payload, "row_id", "left")
 
 
-def assign(vectors: DataFrame, centroids: DataFrame, nlist: int) -> DataFrame:
-    """(row_id, cluster_id): nearest centroid, ties to the smaller cluster. A minimum, not a ranking, so nothing is shuffled but partial minima."""
-    scored = vectors.crossJoin(_small(centroids, nlist, MAX_CENTROIDS)).select("row_id", F.struct(V.l2sq(F.col("embedding"), F.col("centroid")).alias("d"), "cluster_id").alias("x"))
-    return scored.groupBy("row_id").agg(F.min("x").alias("x")).select("row_id", "x.cluster_id", F.sqrt("x.d").alias("norm"))
+def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(row_id, cluster_id, norm): nearest centroid, ties to the smaller cluster, and the distance to it. One pass of matrix products, no shuffle; centroids are bounded by MAX_CENTROIDS."""
+    ids, c = centroid_table(centroids)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in range(0, len(pdf), ASSIGN_ROWS):
+                part = pdf.iloc[s : s + ASSIGN_ROWS]
+                x = matrix(part["embedding"])
+                near = ((c**2).sum(1) - 2 * (x @ c.T)).argmin(1)
+                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "cluster_id": ids[near], "norm": np.sqrt(((x - c[near]) ** 2).sum(1))})
+
+    return vectors.select("row_id", "embedding").mapInPandas(run, f"row_id long, cluster_id {centroids.schema['cluster_id'].dataType.simpleString()}, norm double")
 
 
 def train_centroids(vectors: DataFrame, nlist: int, metric: str = "l2", seed: int = 42, iterations: int = 10) -> DataFrame:
@@ -135,9 +175,43 @@ def train_centroids(vectors: DataFrame, nlist: int, metric: str = "l2", seed: in
     return vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(fit.clusterCenters())], "cluster_id int, centroid array<double>")
 
 
-def ivf_search(queries: DataFrame, centroids: DataFrame, members: DataFrame, vectors: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Route, probe, rerank."""
-    return rerank(probe(route(queries, centroids, nprobe), members.select("cluster_id", "row_id")).select("qid", "qvec", "row_id"), vectors, k)
+def ivf_search(queries: DataFrame, centroids: DataFrame, members: DataFrame, k: int, nprobe: int, metric: str = "l2") -> DataFrame:
+    """Route, probe and rerank in one pass over ``members`` (cluster_id, row_id, embedding). Only queries that probe a block's clusters are compared with its rows; a large cluster is spread like any rows. Distances are exact and squared, whatever the routing metric."""
+    ids, c = centroid_table(centroids)
+
+    def probe_block(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        probed = np.zeros((len(q), len(ids)), bool)
+        np.put_along_axis(probed, ranked_clusters(q, c, metric)[:, :nprobe], True, axis=1)
+        row, x, own = rows["row_id"].to_numpy(), matrix(rows["embedding"]), np.searchsorted(ids, rows["cluster_id"].to_numpy())
+        for i, v in enumerate(q):
+            mine = np.flatnonzero(probed[i][own])
+            if len(mine):
+                yield from _nearest(qids[i : i + 1], v[None], row[mine], x[mine], k, "l2")
+
+    out = against(queries, members.select("cluster_id", "row_id", "embedding"), probe_block, FOUND)
+    return top_per(out, "qid", k, "dist", "row_id").select("qid", "rank", "row_id", "dist")
+
+
+def search_curve(queries: DataFrame, centroids: DataFrame, members: DataFrame, k: int, most: int) -> DataFrame:
+    """(qid, row_id, dist, cluster_rank): the k nearest rows after each of the first ``most`` probes of a query, in one pass: a row is there if it is among the k nearest of the clusters up to its own."""
+    ids, c = centroid_table(centroids)
+
+    def probe_block(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        order = ranked_clusters(q, c)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(1, len(ids) + 1)[None].repeat(len(q), 0), axis=1)
+        row, x, own = rows["row_id"].to_numpy(), matrix(rows["embedding"]), np.searchsorted(ids, rows["cluster_id"].to_numpy())
+        for i, v in enumerate(q):
+            at = rank[i][own]
+            keep = [np.zeros(0, np.int64)]
+            for p in range(1, min(most, len(ids)) + 1):
+                mine = np.flatnonzero(at <= p)
+                d = ((x[mine] - v) ** 2).sum(1)
+                keep.append(mine[np.lexsort((row[mine], d))[:k]])
+            mine = np.unique(np.concatenate(keep))
+            yield pd.DataFrame({"qid": qids[i], "row_id": row[mine], "dist": ((x[mine] - v) ** 2).sum(1), "cluster_rank": at[mine].astype(np.int32)})
+
+    return against(queries, members.select("cluster_id", "row_id", "embedding"), probe_block, f"{FOUND}, cluster_rank int")
 
 
 def frontier_search(candidates: DataFrame, k: int) -> DataFrame:

@@ -54,7 +54,7 @@ def build(vectors: DataFrame, centroids: DataFrame, path: str, ex_bits: int = 3,
     cent = spark.read.parquet(f"{path}/centroids")
     whole.repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(f"{path}/records")
     base = spark.read.parquet(f"{path}/records").select("row_id", "embedding")
-    own = S.assign(base, cent, nlist).select("row_id", "cluster_id")
+    own = S.assign(base, cent).select("row_id", "cluster_id")
     residuals = base.join(own, "row_id").join(S._small(cent, nlist, S.MAX_CENTROIDS), "cluster_id").select("cluster_id", "row_id", V.residual(F.col("embedding"), F.col("centroid")).alias("r"))
     codes = residuals.mapInPandas(_encoder(dim, ex_bits, seed), f"cluster_id {cent.schema['cluster_id'].dataType.simpleString()}, row_id long, norm_oc double, factor double, levels array<smallint>")
     codes.repartitionByRange("cluster_id", "row_id").sortWithinPartitions("cluster_id", "row_id").write.parquet(f"{path}/codes")
@@ -108,7 +108,7 @@ class Index:
         return both.select("qid", "row_id", "cluster_id", "cluster_rank", "norm_oc", "norm_qc", far(ip1).alias("est1"), far(ip2).alias("est2"))
 
     def error_bound(self, queries: DataFrame, nprobe: int, p: float = 1.0) -> float:
-        """The p-quantile of the stage-2 error over twice the norms, of the queries' candidates; 1.0 gives the largest."""
+        """The p-quantile of the stage-2 error over twice the norms, of the candidates of calibration queries (other ones than those that are to be answered); 1.0 gives the largest."""
         c = self.candidates(queries, nprobe).filter(F.col("norm_oc") * F.col("norm_qc") > 0)
         c = c.join(self.records.select("row_id", "embedding"), "row_id").join(queries, "qid")
         e = F.abs(F.col("est2") - V.l2sq(F.col("qvec"), F.col("embedding"))) / (2 * F.col("norm_oc") * F.col("norm_qc"))

@@ -20,11 +20,19 @@ def test_against_sql(spark, sf, same, name):
 def test_all_clusters_give_the_exact_answer(spark, sf):
     base = catalog._base(spark, sf)
     q, cent = catalog._queries(spark, sf), catalog._centroids(base)
-    a = S.ivf_search(q, cent, base, base, 10, 99).select("qid", "rank", "row_id")
+    a = S.ivf_search(q, cent, base, 10, 99).select("qid", "rank", "row_id")
     b = S.exact_search(q, base, 10).select("qid", "rank", "row_id")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["ivf_search", "index_search"])
+def test_searches_find_nine_of_ten(spark, name):
+    """Recall against brute force over a whole table, as the index is held to."""
+    sf = "/root/testdata/sf0.01"
+    truth = catalog.exact_search(spark, sf).select("qid", "row_id")
+    assert truth.join(catalog.QUERIES[name](spark, sf), ["qid", "row_id"]).count() >= 0.9 * truth.count()
+
+
 def test_no_probe_gives_nothing(spark, sf):
     base = catalog._base(spark, sf)
     assert S.route(catalog._queries(spark, sf), catalog._centroids(base), 0).isEmpty()
