@@ -5,6 +5,10 @@ Searches take every row whose id is divisible by 20 as a query, against all rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +24,12 @@ from skerry.sources.scratch import shared_folder
 from skerry.streaming.ingest import tumbling
 
 #: NPROBE is the least number of the ten clusters that finds nine of ten true neighbours; tests hold index_search and ivf_search to that.
-K, NPROBE, D_K, EPS, EVERY, HEADROOM = 10, 8, 1.6, 0.05, 20, 1.25
-DIM, EX_BITS, EPS2 = 64, 3, 0.005
+K, NPROBE, EVERY, HEADROOM = 10, 8, 20, 1.25
+DIM, EX_BITS = 64, 3
+ROTATION = C.Rotation(DIM)
 SCALE = C.scale_for(DIM, EX_BITS)
 FLAGSHIP = "ivf_search"
-PROBES = (1, 2, 4, 8)
+PROBES, FRONTIER_PROBES, GRID, PAIR_ROWS = (1, 2, 4, 8), 4, ((0.25, 0.5, 0.9), (0.1, 0.5, 0.9)), 256
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,26 +98,70 @@ def cluster_report(spark, sf):
     return _rounded(out, "r_max", "mean_norm", "std_norm")
 
 
-def _candidates(spark, sf):
-    """Every query against every row: stage-1 estimate from sign codes, exact distance, norms, and whether it is one of the K nearest."""
+PAIRS = "qid long, row_id long, cluster_id int, norm_oc double, norm_qc double, est double, est2 double, true double"
+
+
+def _pairs(spark, sf, queries: DataFrame) -> DataFrame:
+    """Every query against every row: norms, estimates from the signs and from all bits of the rotated residual's code, and the exact distance; products of blocks, without a shuffle."""
     base = _base(spark, sf)
-    cent = _centroids(base)
-    coded = base.join(F.broadcast(cent), "cluster_id").withColumn("r", V.residual(F.col("embedding"), F.col("centroid")))
-    coded = coded.withColumn("unit", V.l2_normalize(F.col("r"))).withColumn("levels", V.levels(F.col("unit"), SCALE, EX_BITS)).withColumn("inner", V.dot(F.col("levels"), F.col("unit")))
-    coded = coded.select("row_id", "cluster_id", "embedding", V.sign_code(F.col("r")).alias("code"), V.norm(F.col("r")).alias("norm_oc"), "levels", F.when(F.col("inner") > 0, 1 / F.col("inner")).otherwise(0.0).alias("factor"))
-    q = _queries(spark, sf).crossJoin(F.broadcast(cent)).withColumn("r", V.residual(F.col("qvec"), F.col("centroid")))
-    q = q.select("qid", "qvec", "cluster_id", V.sign_code(F.col("r")).alias("qcode"), V.norm(F.col("r")).alias("norm_qc"), V.l2_normalize(F.col("r")).alias("qunit"))
-    both = q.join(coded, "cluster_id")
-    est = V.popcount_distance(V.hamming(F.col("code"), F.col("qcode")), 64, F.col("norm_oc"), F.col("norm_qc"))
-    est2 = V.level_distance(F.col("levels"), F.col("factor"), F.col("qunit"), F.col("norm_oc"), F.col("norm_qc"))
-    both = both.select("qid", "row_id", "cluster_id", "norm_oc", "norm_qc", est.alias("est"), est2.alias("est2"), V.l2sq(F.col("qvec"), F.col("embedding")).alias("true"))
-    near = F.row_number().over(W.Window.partitionBy("qid").orderBy("true", "row_id")) <= K
-    return both.withColumn("is_true", near).withColumn("margin", F.col("norm_oc") * F.col("norm_qc") * EPS).withColumn("margin2", F.col("norm_oc") * F.col("norm_qc") * EPS2)
+    ids, cent = S.centroid_table(_centroids(base))
+
+    def work(qids: np.ndarray, q: np.ndarray, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for s in range(0, len(rows), PAIR_ROWS):
+            part = rows.iloc[s : s + PAIR_ROWS]
+            x, own = S.matrix(part["embedding"]), np.searchsorted(ids, part["cluster_id"].to_numpy())
+            code = C.encode(x - cent[own], ROTATION, EX_BITS, SCALE)
+            sign = np.where(code["sign"], 1.0, -1.0)
+            level = sign * (code["magnitude"] + 0.5)
+            true = ((x[:, None] - q[None]) ** 2).sum(2)
+            est, est2, norm = np.empty(true.shape), np.empty(true.shape), np.empty(true.shape)
+            for c in np.unique(own):
+                mine, r = own == c, q - cent[c]
+                size = np.linalg.norm(r, axis=1)
+                turned = ROTATION.apply(r / np.where(size > 0, size, 1)[:, None])
+                far = lambda ip, mine=mine, size=size: np.maximum(0, code["norm"][mine, None] ** 2 + size**2 - 2 * code["norm"][mine, None] * size * ip)
+                est[mine] = far(sign[mine] @ np.where(turned >= 0, 1.0, -1.0).T / DIM)
+                est2[mine] = far(level[mine] @ turned.T * code["factor"][mine, None])
+                norm[mine] = size
+            n = len(q)
+            yield pd.DataFrame({"qid": np.tile(qids, len(x)), "row_id": np.repeat(part["row_id"].to_numpy(), n), "cluster_id": np.repeat(ids[own], n), "norm_oc": np.repeat(code["norm"], n), "norm_qc": norm.ravel(), "est": est.ravel(), "est2": est2.ravel(), "true": true.ravel()})
+
+    return S.against(queries, base, work, PAIRS)
+
+
+def _calibration(spark, sf) -> A.Calibration:
+    """From rows that are no queries."""
+    base = _base(spark, sf)
+    sampled = base.filter(f"row_id % {EVERY} = {EVERY // 2}")
+    pairs = _pairs(spark, sf, sampled.select(F.col("row_id").alias("qid"), V.as_double(F.col("embedding")).alias("qvec")))
+    pairs = pairs.join(sampled.select(F.col("row_id").alias("qid"), F.col("cluster_id").alias("own")), "qid").withColumn("in_cluster", F.col("own") == F.col("cluster_id"))
+    path = shared_folder(spark, "calibration")
+    pairs.write.parquet(path)
+    return A.calibrate(spark.read.parquet(path), K)
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def _candidates(spark, sf):
+    """Every query against every row, with calibrated thresholds and margins, and whether the row is one of the K nearest. Written once for a session and table, as all reports read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    path = spark._jvm.org.apache.hadoop.fs.Path(_written.get(key, "none"))
+    if key not in _written or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        c, queries = _calibration(spark, sf), _queries(spark, sf)
+        truth = S.exact_search(queries, _base(spark, sf), K).select("qid", "row_id", F.lit(True).alias("hit"))
+        norms = F.col("norm_oc") * F.col("norm_qc")
+        out = _pairs(spark, sf, queries).join(truth, ["qid", "row_id"], "left").withColumn("is_true", F.coalesce("hit", F.lit(False))).drop("hit")
+        out = out.withColumns({"margin": norms * c.eps, "margin2": norms * c.eps2, "d_k": F.lit(c.d_k), "safein_d_k": F.lit(c.safein_d_k)})
+        folder = shared_folder(spark, "candidates")
+        out.write.parquet(folder)
+        _written[key] = folder
+    return spark.read.parquet(_written[key])
 
 
 def _classed(spark, sf):
     c = F.col
-    return _candidates(spark, sf).withColumn("cls", V.classify_margin(c("est"), F.lit(D_K), F.lit(D_K), c("margin")))
+    return _candidates(spark, sf).withColumn("cls", V.classify_margin(c("est"), c("d_k"), c("safein_d_k"), c("margin")))
 
 
 def stage1_classes(spark, sf):
@@ -140,30 +189,27 @@ def recall(spark, sf):
 
 
 def calibration(spark, sf):
-    """d_k by the low-index rule and by interpolation, and the normalised error by the upper-index rule."""
-    c = _candidates(spark, sf)
-    kth = A.kth_distances(c.select("qid", F.col("true").alias("dist")), K)
-    n = kth.count()
-    low = A.low_index(0.9, n)
-    ranked = kth.select("kth", F.row_number().over(W.Window.orderBy("kth")).alias("r"))  # a row for each sampled query
-    near = c.filter(F.col("true").between(0.1 * D_K, 10 * D_K) & (F.col("norm_oc") * F.col("norm_qc") > 0))
-    e = A.normalised_error(F.col("est"), F.col("true"), F.col("norm_oc"), F.col("norm_qc"))
-    out = ranked.agg(F.max(F.when(F.col("r") == low + 1, F.col("kth"))).alias("d_k_low"), F.percentile("kth", F.lit(0.9)).alias("d_k_linear"))
-    return _rounded(out.crossJoin(near.agg(F.percentile(e, F.lit(0.5)).alias("eps_mid"), F.max(e).alias("eps_max"))), "d_k_low", "d_k_linear", "eps_mid", "eps_max")
+    """Thresholds and error bounds from sampled rows: from exact distances, from stage-2 estimates, and the errors of both stages."""
+    c = _calibration(spark, sf)
+    return _rounded(spark.createDataFrame([(c.d_k, c.safein_d_k, c.eps, c.eps2)], "d_k double, safein_d_k double, eps double, eps2 double"), "d_k", "safein_d_k", "eps", "eps2")
 
 
 def margin_replay(spark, sf):
-    c = _candidates(spark, sf).withColumn("d_k", F.lit(D_K))
-    return _rounded(A.margin_replay(c, [0.0, 0.5, 1.0, 2.0]), "safein_rate", "false_safein_rate")
+    return _rounded(A.margin_replay(_candidates(spark, sf), [0.0, 0.5, 1.0, 2.0]), "safein_rate", "false_safein_rate")
 
 
 def grid_replay(spark, sf):
+    """Percentiles of the sampled thresholds against percentiles of the errors."""
     c = _candidates(spark, sf).withColumn("norms", F.col("norm_oc") * F.col("norm_qc"))
-    return A.grid_replay(c, [1.2, 1.6, 2.0], [0.0, 0.05, 0.1])
+    kth = A.kth_distances(c, K, "est2")
+    error = c.select(A.normalised_error(F.col("est"), F.col("true"), F.col("norm_oc"), F.col("norm_qc")).alias("e"))
+    d_ks = [A.at_index(kth, "kth", lambda n, p=p: A.upper_index_double(p, n)) for p in GRID[0]]
+    epsilons = [A.at_index(error, "e", lambda n, p=p: A.upper_index_double(p, n)) for p in GRID[1]]
+    return _rounded(A.grid_replay(c, d_ks, epsilons), "d_k", "eps")
 
 
 def confusion(spark, sf):
-    c = _classed(spark, sf).withColumn("exact", V.classify_margin(F.col("true"), F.lit(D_K), F.lit(D_K), F.col("margin")))
+    c = _classed(spark, sf).withColumn("exact", V.classify_margin(F.col("true"), F.col("d_k"), F.col("safein_d_k"), F.col("margin")))
     return _rounded(A.confusion(c, "exact", "cls"), "pct")
 
 
@@ -182,11 +228,28 @@ def convergence(spark, sf):
     return _rounded(ranked.select("qid", "probed", F.col("dist").alias("kth")), "kth")
 
 
+def _probed(spark, sf):
+    """The candidates of the first FRONTIER_PROBES clusters of each query, in probe order."""
+    ranks = S.route(_queries(spark, sf), _centroids(_base(spark, sf)), FRONTIER_PROBES).select("qid", "cluster_id", "cluster_rank")
+    return _candidates(spark, sf).join(F.broadcast(ranks), ["qid", "cluster_id"])  # a row for each query and probe
+
+
 def frontier(spark, sf):
-    base = _base(spark, sf)
-    ranks = S.route(_queries(spark, sf), _centroids(base), 4).select("qid", "cluster_id", "cluster_rank")
-    c = _candidates(spark, sf).join(ranks, ["qid", "cluster_id"]).withColumn("safein_d_k", F.lit(D_K))
-    return S.frontier_search(c.select("qid", "cluster_rank", "row_id", "est", "margin", "safein_d_k"), K)
+    """Classes under the moving SafeOut frontier, and the frontiers of upper and of lower bounds before each cluster."""
+    found = S.frontier_search(_probed(spark, sf).select("qid", "cluster_rank", "row_id", "est", "margin", "safein_d_k"), K)
+    found = found.withColumns({c: F.when(F.abs(c) != float("inf"), F.col(c)) for c in ("frontier", "safein_frontier")})
+    return _rounded(found, "est", "margin", "frontier", "safein_frontier")
+
+
+def search_statistics(spark, sf):
+    """What a search counts for each query: probes, candidates, classes, rows to read with and without payload, and the last frontier."""
+    return _rounded(S.search_statistics(S.frontier_search(_probed(spark, sf).select("qid", "cluster_rank", "row_id", "est", "margin", "safein_d_k"), K)), "last_frontier")
+
+
+def space_comparison(spark, sf):
+    """SafeIn under the threshold of exact distances and under that of estimates."""
+    c = _candidates(spark, sf)
+    return A.space_comparison(c)
 
 
 def index_search(spark, sf):
@@ -201,7 +264,7 @@ def index_search(spark, sf):
 def _classed2(spark, sf):
     """Stage-1 classes, stage-2 classes of the uncertain, and the final class."""
     c = F.col
-    two = V.classify_margin(c("est2"), F.lit(D_K), F.lit(D_K), c("margin2"))
+    two = V.classify_margin(c("est2"), c("d_k"), c("safein_d_k"), c("margin2"))
     out = _classed(spark, sf).withColumnRenamed("cls", "s1_class").withColumn("s2_class", F.when(c("s1_class") == "Uncertain", two))
     return out.withColumn("cls", F.coalesce("s2_class", "s1_class"))
 
@@ -223,16 +286,30 @@ def stage_recall(spark, sf):
     return _rounded(c.agg(*(F.avg(F.when(F.col("is_true"), (F.col(f"r{s}") <= K).cast("double"))).alias(f"recall_stage{s}") for s in (1, 2))), "recall_stage1", "recall_stage2")
 
 
+def _diagnosed(spark, sf):
+    """Classes of every candidate of the probed clusters, and the frontier before its cluster."""
+    ranks = S.route(_queries(spark, sf), _centroids(_base(spark, sf)), NPROBE).select("qid", "cluster_id", "cluster_rank")
+    out = _classed2(spark, sf).join(F.broadcast(ranks), ["qid", "cluster_id"])  # a row for each query and probe
+    moving = S.frontier_search(out.select("qid", "cluster_rank", "row_id", "est", "margin", "safein_d_k"), K)
+    before = moving.groupBy("qid", "cluster_rank").agg(F.first("frontier").alias("frontier"))
+    return out.join(before, ["qid", "cluster_rank"])
+
+
 def candidate_table(spark, sf):
-    """The diagnostic fact table: distances, estimates, margins, errors, gaps, ratios and classes of every candidate of the probed clusters."""
-    base, c = _base(spark, sf), F.col
-    ranks = S.route(_queries(spark, sf), _centroids(base), NPROBE).select("qid", "cluster_id", "cluster_rank")
-    out = _classed2(spark, sf).join(ranks, ["qid", "cluster_id"])
-    out = out.withColumns({"abs_err_s1": F.abs(c("est") - c("true")), "abs_err_s2": F.when(c("s2_class").isNotNull(), F.abs(c("est2") - c("true")))})
-    norms = 2 * c("norm_oc") * c("norm_qc")
-    out = out.withColumns({"normalized_err_s1": F.when(norms > 0, c("abs_err_s1") / norms), "safein_gap_s1": F.lit(D_K) - 2 * c("margin") - c("est"), "safeout_gap_s1": c("est") - D_K - 2 * c("margin"), "safein_ratio_s1": F.when(c("margin") > 0, (F.lit(D_K) - c("est")) / (2 * c("margin")))})
-    numbers = ["true", "est", "norm_oc", "norm_qc", "margin", "abs_err_s1", "abs_err_s2", "normalized_err_s1", "safein_gap_s1", "safeout_gap_s1", "safein_ratio_s1"]
-    return _rounded(out.select("qid", "cluster_rank", "cluster_id", "row_id", "is_true", *numbers, "s1_class", "s2_class", F.col("cls").alias("final_class")), *numbers)
+    """The diagnostic fact table: all 28 columns of every candidate of the probed clusters; stage-2 columns are null where stage 1 decided, the dynamic threshold where the frontier was not ready."""
+    c = F.col
+    two, out = c("s2_class").isNotNull(), _diagnosed(spark, sf)
+    out = out.withColumns({"s1": c("est"), "s2": F.when(two, c("est2")), "m1": c("margin"), "m2": F.when(two, c("margin2")), "norms": 2 * c("norm_oc") * c("norm_qc")})
+    columns = {f"abs_err_s{k}": F.abs(c(f"s{k}") - c("true")) for k in (1, 2)}
+    columns |= {f"normalized_err_s{k}": F.when(c("norms") > 0, F.abs(c(f"s{k}") - c("true")) / c("norms")) for k in (1, 2)}
+    columns |= {f"safein_gap_s{k}": c("safein_d_k") - 2 * c(f"m{k}") - c(f"s{k}") for k in (1, 2)}
+    columns |= {f"safeout_gap_s{k}": c(f"s{k}") - c("d_k") - 2 * c(f"m{k}") for k in (1, 2)}
+    columns |= {f"safein_ratio_s{k}": F.when(c(f"m{k}") > 0, (c("safein_d_k") - c(f"s{k}")) / (2 * c(f"m{k}"))) for k in (1, 2)}
+    columns |= {"exact_dist": c("true"), "est_dist_s1": c("s1"), "est_dist_s2": c("s2"), "margin_s1": c("m1"), "margin_s2_current": c("m2"), "d_k_static": c("d_k"), "dynamic_d_k_before_cluster": F.when(c("frontier") != float("inf"), c("frontier"))}
+    out = out.withColumns(columns)
+    keys = [c("qid").alias("query_id"), "cluster_rank", "cluster_id", c("row_id").alias("vector_row"), c("row_id").alias("vector_external_id"), c("is_true").alias("is_true_topk")]
+    numbers = [*columns, "norm_oc", "norm_qc"]
+    return _rounded(out.select(*keys, *numbers, "s1_class", "s2_class", c("cls").alias("final_class")), *numbers)
 
 
 def cluster_classes(spark, sf):
@@ -240,7 +317,7 @@ def cluster_classes(spark, sf):
 
 
 def threshold_report(spark, sf):
-    return _rounded(A.threshold_counts(_candidates(spark, sf), D_K), "share")
+    return _rounded(A.threshold_counts(_candidates(spark, sf)), "share")
 
 
 def margin_quartiles(spark, sf):
@@ -332,9 +409,28 @@ def event_windows(spark, sf):
     return _rounded(tumbling(spark.read.parquet(f"{sf}/events.parquet")), "total")
 
 
-QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, nprobe_sweep, truth_ids, code_symbols, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
+QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, search_statistics, space_comparison, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, nprobe_sweep, truth_ids, code_symbols, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
 
 _D = "pow(list_distance(qvec, e), 2)"
+_TURN = str(ROTATION.apply(np.eye(DIM)).T.tolist())
+
+
+def _VALUES(numbers) -> str:  # noqa: N802
+    return ", ".join(f"({n})" for n in numbers)
+
+
+def _unit(v: str) -> str:
+    return f"list_transform(range(1, 65), lambda i: CASE WHEN list_distance({v}, cent) > 0 THEN ({v}[i] - cent[i]) / list_distance({v}, cent) ELSE 0 END)"
+
+
+def _low(n: str, share: float = 0.9) -> str:
+    return f"least({n} - 1, CAST(floor(CAST(CAST(1 AS FLOAT) - CAST({share} AS FLOAT) AS FLOAT) * CAST({n} AS FLOAT)) AS BIGINT))"
+
+
+def _up(n: str, share: float = 0.9) -> str:
+    return f"CAST(floor(CAST({share} AS FLOAT) * CAST({n} - 1 AS FLOAT)) AS BIGINT)"
+
+
 _CTE = f"""WITH b AS MATERIALIZED (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS e, label AS cluster_id FROM embeddings),
 q AS MATERIALIZED (SELECT row_id AS qid, e AS qvec FROM b WHERE row_id % {EVERY} = 0),
 m AS MATERIALIZED (SELECT cluster_id, i, avg(x) AS m FROM (SELECT cluster_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM b) GROUP BY ALL),
@@ -344,27 +440,37 @@ x AS MATERIALIZED (SELECT qid, row_id, {_D} AS dist FROM q, b),
 gt AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row_id) AS INTEGER) AS rank FROM x) WHERE rank <= {K}),
 own AS MATERIALIZED (SELECT row_id, cluster_id, e FROM (SELECT row_id, e, c.cluster_id, row_number() OVER (PARTITION BY row_id ORDER BY list_distance(e, cent), c.cluster_id) AS r FROM b, c) WHERE r = 1),
 ivf AS MATERIALIZED (SELECT * FROM (SELECT qid, row_id, {_D} AS dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_D}, row_id) AS INTEGER) AS rank FROM p JOIN own USING (cluster_id) WHERE cluster_rank <= {NPROBE}) WHERE rank <= {K}),
-s AS MATERIALIZED (SELECT qid, b.row_id, b.cluster_id, list_distance(e, cent) AS norm_oc, list_distance(qvec, cent) AS norm_qc, {_D} AS tru,
-  list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] - cent[i] >= 0) <> (qvec[i] - cent[i] >= 0) THEN 1 ELSE 0 END)) AS h FROM q, b JOIN c USING (cluster_id)),
-u AS MATERIALIZED (SELECT b.row_id, list_transform(range(1, 65), lambda i: CASE WHEN list_distance(e, cent) > 0 THEN (e[i] - cent[i]) / list_distance(e, cent) ELSE 0 END) AS unit FROM b JOIN c USING (cluster_id)),
-l AS MATERIALIZED (SELECT row_id, unit, list_transform(unit, lambda x: (CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END) * (least({2.0**EX_BITS - 1}, floor(abs(x) * CAST({SCALE!r} AS DOUBLE) + 1e-5)) + 0.5)) AS lv FROM u),
-lf AS MATERIALIZED (SELECT row_id, lv, CASE WHEN list_dot_product(lv, unit) > 0 THEN 1 / list_dot_product(lv, unit) ELSE 0 END AS factor FROM l),
-qu AS MATERIALIZED (SELECT qid, cluster_id, list_transform(range(1, 65), lambda i: CASE WHEN list_distance(qvec, cent) > 0 THEN (qvec[i] - cent[i]) / list_distance(qvec, cent) ELSE 0 END) AS qunit FROM q, c),
-k AS MATERIALIZED (SELECT s.*, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * list_dot_product(lv, qunit) * factor) AS est2, norm_oc * norm_qc * {EPS2} AS margin2, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * (1 - 2 * h / 64.0)) AS est, norm_oc * norm_qc * {EPS} AS margin, row_number() OVER (PARTITION BY s.qid ORDER BY tru, s.row_id) <= {K} AS is_true FROM s JOIN lf USING (row_id) JOIN qu ON qu.qid = s.qid AND qu.cluster_id = s.cluster_id)
+rot AS MATERIALIZED (SELECT CAST({_TURN} AS DOUBLE[][]) AS m),
+br AS MATERIALIZED (SELECT row_id, cluster_id, e, d AS norm_oc, list_transform(m, lambda w: list_dot_product(w, u)) AS u FROM (SELECT b.*, list_distance(e, cent) AS d, {_unit('e')} AS u FROM b JOIN c USING (cluster_id)), rot),
+l AS MATERIALIZED (SELECT row_id, cluster_id, e, norm_oc, u, list_transform(u, lambda x: (CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END) * (least({2.0**EX_BITS - 1}, floor(abs(x) * CAST({SCALE!r} AS DOUBLE) + 1e-5)) + 0.5)) AS lv FROM br),
+lf AS MATERIALIZED (SELECT *, CASE WHEN list_dot_product(lv, u) > 0 THEN 1 / list_dot_product(lv, u) ELSE 0 END AS factor FROM l),
+qa AS MATERIALIZED (SELECT qid, qvec, cal, own, cluster_id, d AS norm_qc, list_transform(m, lambda w: list_dot_product(w, u)) AS qunit FROM (
+  SELECT b.row_id AS qid, e AS qvec, b.row_id % {EVERY} <> 0 AS cal, b.cluster_id AS own, c.cluster_id, list_distance(e, cent) AS d, {_unit('e')} AS u FROM b, c WHERE b.row_id % {EVERY // 2} = 0), rot),
+ka AS MATERIALIZED (SELECT qid, row_id, cluster_id, cal, own, norm_oc, norm_qc, tru, greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * (1 - 2 * h / 64.0)) AS est,
+  greatest(0, norm_oc * norm_oc + norm_qc * norm_qc - 2 * norm_oc * norm_qc * ip) AS est2 FROM (
+  SELECT qid, row_id, lf.cluster_id, cal, own, norm_oc, norm_qc, {_D} AS tru, list_dot_product(lv, qunit) * factor AS ip,
+    list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (u[i] >= 0) <> (qunit[i] >= 0) THEN 1 ELSE 0 END)) AS h FROM lf JOIN qa USING (cluster_id))),
+kc AS MATERIALIZED (SELECT qid, tru, est2, row_number() OVER (PARTITION BY qid ORDER BY tru) AS r1, row_number() OVER (PARTITION BY qid ORDER BY est2) AS r2 FROM ka WHERE cal),
+dk AS MATERIALIZED (SELECT a[1 + {_low('len(a)')}] AS d_k, z[1 + {_low('len(z)')}] AS safein_d_k FROM (SELECT list(tru ORDER BY tru) FILTER (r1 = {K + 1}) AS a, list(est2 ORDER BY est2) FILTER (r2 = {K + 1}) AS z FROM kc)),
+er AS MATERIALIZED (SELECT abs(est - tru) / (2 * norm_oc * norm_qc) AS e1, abs(est2 - tru) / (2 * norm_oc * norm_qc) AS e2 FROM ka, dk WHERE cal AND own = cluster_id AND tru BETWEEN 0.1 * d_k AND 10 * d_k AND norm_oc * norm_qc > 0),
+cal AS MATERIALIZED (SELECT d_k, safein_d_k, x[1 + {_up('len(x)')}] AS eps, y[1 + {_up('len(y)')}] AS eps2 FROM dk, (SELECT list(e1 ORDER BY e1) AS x, list(e2 ORDER BY e2) AS y FROM er)),
+k AS MATERIALIZED (SELECT qid, row_id, cluster_id, norm_oc, norm_qc, tru, est, est2, d_k, safein_d_k, norm_oc * norm_qc * eps AS margin, norm_oc * norm_qc * eps2 AS margin2, row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) <= {K} AS is_true FROM ka, cal WHERE NOT ka.cal)
 """
+#: Every query's frontiers before each probe: the k-th smallest bounds of the candidates of earlier probes. A dropped candidate's upper bound is above the frontier, so all may count for it.
+_FRONTIER = f"""fr AS MATERIALIZED (SELECT qid, cluster_rank, upper AS frontier FROM (SELECT qid, CAST(n AS INTEGER) AS cluster_rank, est + margin AS upper, row_number() OVER (PARTITION BY qid, n ORDER BY est + margin) AS r
+  FROM k JOIN p USING (qid, cluster_id), range(2, {NPROBE + 1}) AS t(n) WHERE p.cluster_rank < n) WHERE r = {K})"""
 
 
-def _cls(d: str, scale: float = 1.0) -> str:
-    return f"CASE WHEN {d} > {D_K} + 2 * margin THEN 'SafeOut' WHEN {d} < {D_K} - 2 * {scale} * margin THEN 'SafeIn' ELSE 'Uncertain' END"
+def _cls(d: str, scale: float = 1.0, margin: str = "margin") -> str:
+    return f"CASE WHEN {d} > d_k + 2 * {margin} THEN 'SafeOut' WHEN {d} < safein_d_k - 2 * {scale} * {margin} THEN 'SafeIn' ELSE 'Uncertain' END"
 
 
 _COUNTS = "count(*) FILTER (cls = 'SafeIn') AS safein, count(*) FILTER (cls = 'SafeOut') AS safeout, count(*) FILTER (cls = 'Uncertain') AS uncertain, count(*) FILTER (cls = 'SafeIn' AND NOT is_true) AS false_safein, count(*) FILTER (cls = 'SafeOut' AND is_true) AS false_safeout"
-_CLS2 = f"CASE WHEN est2 > {D_K} + 2 * margin2 THEN 'SafeOut' WHEN est2 < {D_K} - 2 * margin2 THEN 'SafeIn' ELSE 'Uncertain' END"
+_CLS2 = _cls("est2", margin="margin2")
 _BOTH = f"(SELECT *, CASE WHEN s1_class = 'Uncertain' THEN s2 END AS s2_class, CASE WHEN s1_class = 'Uncertain' THEN s2 ELSE s1_class END AS cls FROM (SELECT *, {_cls('est')} AS s1_class, {_CLS2} AS s2 FROM k))"
 _CURVE = f"SELECT qid, probed, dist AS kth FROM (SELECT qid, probed, dist, row_number() OVER (PARTITION BY qid, probed ORDER BY dist, row_id) AS r FROM (SELECT qid, row_id, {_D} AS dist, CAST(n AS INTEGER) AS probed FROM p JOIN b USING (cluster_id), range(1, 5) AS t(n) WHERE cluster_rank <= n)) WHERE r = {K}"
 _RECALL = ", ".join(f"round(count(*) FILTER (g.rank <= {k} AND f.rank <= {k}) / {float(k)}, 5) AS recall_{k}" for k in (1, 5, 10))
 _REPLAY = " UNION ALL ".join(f"SELECT CAST({s} AS DOUBLE) AS scale, is_true, {_cls('est', s)} AS cls FROM k" for s in (0.0, 0.5, 1.0, 2.0))
-_GRID = ", ".join(f"(CAST({d} AS DOUBLE), CAST({e} AS DOUBLE))" for d in (1.2, 1.6, 2.0) for e in (0.0, 0.05, 0.1))
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS v FROM k" for c in ("norm_oc", "norm_qc", "margin"))
 
 ORACLE = {
@@ -381,12 +487,13 @@ SELECT qid, cluster_id, cluster_rank, round(score, 5) AS score FROM (SELECT qid,
     "stage1_error": _CTE + "SELECT round(avg(a), 5) AS mae, round(avg(CASE WHEN tru > 1e-8 THEN a / tru END), 5) AS mean_rel, round(quantile_cont(a, 0.95), 5) AS p95, round(quantile_cont(a, 0.99), 5) AS p99 FROM (SELECT abs(est - tru) AS a, tru FROM k)",
     "budget_search": _CTE + f"SELECT qid, rank, row_id, round(tru, 5) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, row_id) AS r FROM k) WHERE r <= 50) WHERE rank <= {K}",
     "recall": _CTE + f"SELECT g.qid, {_RECALL} FROM gt g LEFT JOIN ivf f ON f.qid = g.qid AND f.row_id = g.row_id GROUP BY g.qid",
-    "calibration": _CTE + f""", kth AS (SELECT dist AS kth, row_number() OVER (ORDER BY dist) AS r, count(*) OVER () AS n FROM gt WHERE rank = {K}),
-e AS (SELECT abs(est - tru) / (2 * norm_oc * norm_qc) AS e FROM k WHERE tru BETWEEN {0.1 * D_K} AND {10 * D_K} AND norm_oc * norm_qc > 0)
-SELECT (SELECT round(max(CASE WHEN r = 1 + least(n - 1, CAST(floor(CAST(CAST(1 AS FLOAT) - CAST(0.9 AS FLOAT) AS FLOAT) * CAST(n AS FLOAT)) AS BIGINT)) THEN kth END), 5) FROM kth) AS d_k_low, (SELECT round(quantile_cont(kth, 0.9), 5) FROM kth) AS d_k_linear, (SELECT round(quantile_cont(e, 0.5), 5) FROM e) AS eps_mid, (SELECT round(max(e), 5) FROM e) AS eps_max""",
+    "calibration": _CTE + "SELECT round(d_k, 5) AS d_k, round(safein_d_k, 5) AS safein_d_k, round(eps, 5) AS eps, round(eps2, 5) AS eps2 FROM cal",
     "margin_replay": _CTE + f"SELECT scale, safein, safeout, uncertain, false_safein, false_safeout, round(CASE WHEN safein + safeout + uncertain = 0 THEN 0 ELSE safein / (safein + safeout + uncertain) END, 5) AS safein_rate, round(CASE WHEN safein = 0 THEN 0 ELSE false_safein / safein END, 5) AS false_safein_rate FROM (SELECT scale, {_COUNTS} FROM ({_REPLAY}) GROUP BY scale)",
-    "grid_replay": _CTE + f""", g(d_k, eps) AS (VALUES {_GRID}), per AS (SELECT d_k, eps, qid, count(*) FILTER (est < d_k - 2 * (norm_oc * norm_qc * eps)) AS si, count(*) FILTER (est < d_k - 2 * (norm_oc * norm_qc * eps) AND NOT is_true) AS fi, count(*) FILTER (est < d_k AND NOT est < d_k - 2 * (norm_oc * norm_qc * eps)) AS bl FROM k, g GROUP BY ALL)
-SELECT d_k, eps, CAST(sum(si) AS BIGINT) AS safein, CAST(sum(fi) AS BIGINT) AS false_safein, CAST(sum(bl) AS BIGINT) AS blocked, count(*) FILTER (si >= 1) AS queries_1, count(*) FILTER (si >= 2) AS queries_2 FROM per GROUP BY d_k, eps""",
+    "grid_replay": _CTE + f""", kth AS (SELECT list(est2 ORDER BY est2) AS v FROM (SELECT est2, row_number() OVER (PARTITION BY qid ORDER BY est2) AS r FROM k) WHERE r = {K}),
+ne AS (SELECT list(e ORDER BY e) AS v FROM (SELECT abs(est - tru) / (2 * norm_oc * norm_qc) AS e FROM k)),
+g AS (SELECT kth.v[1 + CAST(floor(a * (len(kth.v) - 1)) AS BIGINT)] AS d_k, ne.v[1 + CAST(floor(z * (len(ne.v) - 1)) AS BIGINT)] AS eps FROM kth, ne, (VALUES {_VALUES(GRID[0])}) AS s(a), (VALUES {_VALUES(GRID[1])}) AS t(z)),
+per AS (SELECT g.d_k, eps, qid, count(*) FILTER (est < g.d_k - 2 * (norm_oc * norm_qc * eps)) AS si, count(*) FILTER (est < g.d_k - 2 * (norm_oc * norm_qc * eps) AND NOT is_true) AS fi, count(*) FILTER (est < g.d_k AND NOT est < g.d_k - 2 * (norm_oc * norm_qc * eps)) AS bl FROM k, g GROUP BY ALL)
+SELECT round(d_k, 5) AS d_k, round(eps, 5) AS eps, CAST(sum(si) AS BIGINT) AS safein, CAST(sum(fi) AS BIGINT) AS false_safein, CAST(sum(bl) AS BIGINT) AS blocked, count(*) FILTER (si >= 1) AS queries_1, count(*) FILTER (si >= 2) AS queries_2 FROM per GROUP BY per.d_k, per.eps""",
     "confusion": _CTE + f"SELECT exact, cls, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY exact), 5) AS pct FROM (SELECT {_cls('tru')} AS exact, {_cls('est')} AS cls FROM k) GROUP BY exact, cls",
     "geometry": _CTE + f"SELECT metric, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.95), 5) AS p95, round(quantile_cont(v, 0.99), 5) AS p99, round(max(v), 5) AS max FROM ({_LONG}) GROUP BY metric",
     "convergence": _CTE + f"SELECT qid, probed, round(dist, 5) AS kth FROM (SELECT qid, probed, dist, row_number() OVER (PARTITION BY qid, probed ORDER BY dist, row_id) AS r FROM (SELECT qid, row_id, {_D} AS dist, CAST(n AS INTEGER) AS probed FROM p JOIN b USING (cluster_id), range(1, 5) AS t(n) WHERE cluster_rank <= n)) WHERE r = {K}",
@@ -394,11 +501,23 @@ SELECT d_k, eps, CAST(sum(si) AS BIGINT) AS safein, CAST(sum(fi) AS BIGINT) AS f
     "stage2_classes": _CTE + f"SELECT qid, {_COUNTS} FROM {_BOTH} GROUP BY qid",
     "stage2_error": _CTE + "SELECT round(avg(a), 5) AS mae, round(avg(CASE WHEN tru > 1e-8 THEN a / tru END), 5) AS mean_rel, round(quantile_cont(a, 0.95), 5) AS p95, round(quantile_cont(a, 0.99), 5) AS p99 FROM (SELECT abs(est2 - tru) AS a, tru FROM k)",
     "stage_recall": _CTE + f"SELECT round(avg(CASE WHEN is_true THEN CAST(r1 <= {K} AS INTEGER) END), 5) AS recall_stage1, round(avg(CASE WHEN is_true THEN CAST(r2 <= {K} AS INTEGER) END), 5) AS recall_stage2 FROM (SELECT is_true, row_number() OVER (PARTITION BY qid ORDER BY est, row_id) AS r1, row_number() OVER (PARTITION BY qid ORDER BY est2, row_id) AS r2 FROM k)",
-    "candidate_table": _CTE + f"""SELECT t.qid, cluster_rank, t.cluster_id, row_id, is_true, round(tru, 5) AS "true", round(est, 5) AS est, round(norm_oc, 5) AS norm_oc, round(norm_qc, 5) AS norm_qc, round(margin, 5) AS margin, round(abs(est - tru), 5) AS abs_err_s1,
-round(CASE WHEN s2_class IS NOT NULL THEN abs(est2 - tru) END, 5) AS abs_err_s2, round(CASE WHEN norm_oc * norm_qc > 0 THEN abs(est - tru) / (2 * norm_oc * norm_qc) END, 5) AS normalized_err_s1, round({D_K} - 2 * margin - est, 5) AS safein_gap_s1, round(est - {D_K} - 2 * margin, 5) AS safeout_gap_s1,
-round(CASE WHEN margin > 0 THEN ({D_K} - est) / (2 * margin) END, 5) AS safein_ratio_s1, s1_class, s2_class, cls AS final_class FROM {_BOTH} t JOIN p ON p.qid = t.qid AND p.cluster_id = t.cluster_id WHERE cluster_rank <= {NPROBE}""",
+    "candidate_table": _CTE + f""", {_FRONTIER},
+t AS (SELECT k2.*, p.cluster_rank, CASE WHEN s2_class IS NOT NULL THEN est2 END AS z, CASE WHEN s2_class IS NOT NULL THEN margin2 END AS mz, 2 * norm_oc * norm_qc AS nn FROM {_BOTH} k2 JOIN p ON p.qid = k2.qid AND p.cluster_id = k2.cluster_id WHERE p.cluster_rank <= {NPROBE})
+SELECT t.qid AS query_id, t.cluster_rank, cluster_id, row_id AS vector_row, row_id AS vector_external_id, is_true AS is_true_topk, round(tru, 5) AS exact_dist, round(est, 5) AS est_dist_s1, round(z, 5) AS est_dist_s2, round(norm_oc, 5) AS norm_oc, round(norm_qc, 5) AS norm_qc,
+round(margin, 5) AS margin_s1, round(mz, 5) AS margin_s2_current, round(d_k, 5) AS d_k_static, round(frontier, 5) AS dynamic_d_k_before_cluster, round(abs(est - tru), 5) AS abs_err_s1, round(abs(z - tru), 5) AS abs_err_s2,
+round(CASE WHEN nn > 0 THEN abs(est - tru) / nn END, 5) AS normalized_err_s1, round(CASE WHEN nn > 0 THEN abs(z - tru) / nn END, 5) AS normalized_err_s2, round(safein_d_k - 2 * margin - est, 5) AS safein_gap_s1, round(safein_d_k - 2 * mz - z, 5) AS safein_gap_s2,
+round(est - d_k - 2 * margin, 5) AS safeout_gap_s1, round(z - d_k - 2 * mz, 5) AS safeout_gap_s2, round(CASE WHEN margin > 0 THEN (safein_d_k - est) / (2 * margin) END, 5) AS safein_ratio_s1, round(CASE WHEN mz > 0 THEN (safein_d_k - z) / (2 * mz) END, 5) AS safein_ratio_s2,
+s1_class, s2_class, cls AS final_class FROM t LEFT JOIN fr ON fr.qid = t.qid AND fr.cluster_rank = t.cluster_rank""",
+    "frontier": _CTE + f""", {_FRONTIER}, w AS MATERIALIZED (SELECT k.*, p.cluster_rank, CASE WHEN est > coalesce(frontier, CAST('inf' AS DOUBLE)) + margin THEN 'SafeOut' WHEN est < safein_d_k - margin THEN 'SafeIn' ELSE 'Uncertain' END AS cls, frontier
+  FROM k JOIN p USING (qid, cluster_id) LEFT JOIN fr ON fr.qid = k.qid AND fr.cluster_rank = p.cluster_rank WHERE p.cluster_rank <= {FRONTIER_PROBES}),
+lo AS (SELECT qid, cluster_rank, lower AS safein_frontier FROM (SELECT qid, CAST(n AS INTEGER) AS cluster_rank, est - margin AS lower, row_number() OVER (PARTITION BY qid, n ORDER BY est - margin) AS r FROM w, range(2, {FRONTIER_PROBES + 1}) AS t(n) WHERE w.cluster_rank < n AND cls <> 'SafeOut') WHERE r = {K})
+SELECT w.qid, w.cluster_rank, row_id, round(est, 5) AS est, round(margin, 5) AS margin, cls, round(frontier, 5) AS frontier, round(safein_frontier, 5) AS safein_frontier FROM w LEFT JOIN lo ON lo.qid = w.qid AND lo.cluster_rank = w.cluster_rank""",
+    "search_statistics": _CTE + f""", {_FRONTIER}, w AS MATERIALIZED (SELECT k.qid, p.cluster_rank, frontier, CASE WHEN est > coalesce(frontier, CAST('inf' AS DOUBLE)) + margin THEN 'SafeOut' WHEN est < safein_d_k - margin THEN 'SafeIn' ELSE 'Uncertain' END AS cls
+  FROM k JOIN p USING (qid, cluster_id) LEFT JOIN fr ON fr.qid = k.qid AND fr.cluster_rank = p.cluster_rank WHERE p.cluster_rank <= {FRONTIER_PROBES})
+SELECT qid, count(DISTINCT cluster_rank) AS probed, count(*) AS candidates, count(*) FILTER (cls = 'SafeOut') AS safeout, count(*) FILTER (cls = 'SafeIn') AS payload_reads, count(*) FILTER (cls = 'Uncertain') AS vector_reads, round(max_by(frontier, cluster_rank), 5) AS last_frontier FROM w GROUP BY qid""",
+    "space_comparison": _CTE + "SELECT qid, count(*) FILTER (est2 < d_k - 2 * margin2) AS safein_exact, count(*) FILTER (est2 < safein_d_k - 2 * margin2) AS safein_estimate, count(*) FILTER (est2 < d_k - 2 * margin2 AND NOT is_true) AS false_exact, count(*) FILTER (est2 < safein_d_k - 2 * margin2 AND NOT is_true) AS false_estimate FROM k GROUP BY qid",
     "cluster_classes": _CTE + f"SELECT cluster_id, {_COUNTS} FROM {_BOTH} GROUP BY cluster_id",
-    "threshold_report": _CTE + f"SELECT qid, count(*) FILTER (tru < {D_K}) AS true_below, count(*) FILTER (est < {D_K}) AS est_below, count(*) FILTER (est2 < {D_K}) AS est2_below, count(*) FILTER (tru < {D_K} AND est2 < {D_K}) AS both_below, count(*) FILTER (est2 < {D_K} - 2 * margin2) AS safein, round(avg(CAST(tru <= {D_K} AS INTEGER)), 5) AS share FROM k GROUP BY qid",
+    "threshold_report": _CTE + f"SELECT qid, count(*) FILTER (tru < d_k) AS true_below, count(*) FILTER (est < d_k) AS est_below, count(*) FILTER (est2 < d_k) AS est2_below, count(*) FILTER (tru < d_k AND est2 < d_k) AS both_below, count(*) FILTER (est2 < d_k - 2 * margin2) AS safein, round(avg(CAST(tru <= d_k AS INTEGER)), 5) AS share FROM k GROUP BY qid",
     "margin_quartiles": _CTE + f", n AS (SELECT *, {_cls('est')} AS cls FROM k WHERE is_true), x3 AS (SELECT quantile_cont(margin, 0.25) AS a, quantile_cont(margin, 0.5) AS b, quantile_cont(margin, 0.75) AS d FROM n) SELECT CAST(1 + CAST(margin > a AS INTEGER) + CAST(margin > b AS INTEGER) + CAST(margin > d AS INTEGER) AS INTEGER) AS quartile, count(*) AS n, round(avg(CAST(cls = 'SafeOut' AS INTEGER)), 5) AS rate FROM n, x3 GROUP BY quartile",
     "convergence_series": _CTE + f"SELECT probed, round(avg(kth), 5) AS mean, round(quantile_cont(kth, 0.25), 5) AS p25, round(quantile_cont(kth, 0.75), 5) AS p75 FROM (SELECT qid, probed, round(kth, 5) AS kth FROM ({_CURVE})) GROUP BY probed",
     "frontier_stability": _CTE + f""", f AS (SELECT qid, probed, kth, CASE WHEN pr = 0 THEN abs(kth) ELSE abs(kth - pr) / abs(pr) END AS change FROM (SELECT *, lag(kth) OVER (PARTITION BY qid ORDER BY probed) AS pr FROM (SELECT qid, probed, round(kth, 5) AS kth FROM ({_CURVE})))),
@@ -415,10 +534,9 @@ SELECT qid, probed, kth, round(change, 5) AS change, CAST(CASE WHEN still THEN s
 }
 ORACLE["routing_overlap"] = ORACLE["route_two_level"].replace("\nSELECT qid, cluster_id, cluster_rank", ", two AS (SELECT qid, cluster_id, cluster_rank") + f"""), one AS (SELECT qid, cluster_id FROM (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY -list_dot_product(qvec, cent), cluster_id) AS r FROM q, c) WHERE r <= {NPROBE})
 SELECT one.qid, count(*) AS n, count(two.qid) AS shared FROM one LEFT JOIN two ON two.qid = one.qid AND two.cluster_id = one.cluster_id GROUP BY one.qid"""
-_VALUES = ", ".join(f"({n})" for n in PROBES)
 ORACLE["nprobe_sweep"] = _CTE + f"""SELECT nprobe, round(avg(r), 5) AS mean, round(min(r), 5) AS least, round(max(r), 5) AS most, round(stddev_samp(r), 5) AS std FROM (
-SELECT g.nprobe, g.qid, count(f.row_id) / count(*) AS r FROM (SELECT qid, row_id, nprobe FROM gt, (VALUES {_VALUES}) AS t(nprobe)) g LEFT JOIN (
-SELECT nprobe, qid, row_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY {_D}, row_id) AS r FROM p JOIN own USING (cluster_id), (VALUES {_VALUES}) AS t(nprobe) WHERE cluster_rank <= nprobe
+SELECT g.nprobe, g.qid, count(f.row_id) / count(*) AS r FROM (SELECT qid, row_id, nprobe FROM gt, (VALUES {_VALUES(PROBES)}) AS t(nprobe)) g LEFT JOIN (
+SELECT nprobe, qid, row_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY {_D}, row_id) AS r FROM p JOIN own USING (cluster_id), (VALUES {_VALUES(PROBES)}) AS t(nprobe) WHERE cluster_rank <= nprobe
 ) f ON f.nprobe = g.nprobe AND f.qid = g.qid AND f.row_id = g.row_id AND f.r <= {K} GROUP BY g.nprobe, g.qid) GROUP BY nprobe"""
 ORACLE["truth_ids"] = _CTE + "SELECT DISTINCT row_id FROM gt"
-ORACLE["code_symbols"] = _CTE + "SELECT level, n, round(n / t, 5) AS share, round(-(n / t) * log2(n / t), 5) AS bits FROM (SELECT level, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT CAST(unnest(lv) AS DOUBLE) AS level FROM l) GROUP BY level)"
+ORACLE["code_symbols"] = _CTE + f"SELECT level, n, round(n / t, 5) AS share, round(-(n / t) * log2(n / t), 5) AS bits FROM (SELECT level, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT CAST(unnest(list_transform(un, lambda x: (CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END) * (least({2.0**EX_BITS - 1}, floor(abs(x) * CAST({SCALE!r} AS DOUBLE) + 1e-5)) + 0.5))) AS DOUBLE) AS level FROM (SELECT {_unit('e')} AS un FROM b JOIN c USING (cluster_id))) GROUP BY level)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,20 @@ def upper_index(p: float, n: int) -> int:
     return int(np.floor(np.float32(p) * np.float32(n - 1)))
 
 
+def upper_index_double(p: float, n: int) -> int:
+    """As :func:`upper_index`, in double arithmetic and clamped."""
+    return min(n - 1, max(0, int(p * (n - 1))))
+
+
+def kth_place(k: int, n: int, self_sampled: bool = False) -> int:
+    """Index of a calibration query's k-th neighbour among its n ascending distances: one more where the query is a row itself, and the last where there are fewer."""
+    return min(k + int(self_sampled), n) - 1
+
+
+def max_or_zero(df: DataFrame, value: str) -> float:
+    return df.agg(F.coalesce(F.max(value), F.lit(0.0))).first()[0]
+
+
 def at_index(df: DataFrame, value: str, index) -> float:
     """The value at ``index(n)`` in ascending order; 0 for no rows. Range-sorted, so no task sees all rows."""
     n = df.count()
@@ -33,6 +49,30 @@ def kth_distances(pairs: DataFrame, k: int, dist: str = "dist") -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("qid", F.col(dist).alias("kth"))
 
 
+def d_k_samples(pairs: DataFrame, k: int, dist: str, self_sampled: bool = False) -> DataFrame:
+    """(qid, kth): each sampled query's k-th smallest distance or estimate, its own row skipped by taking one more; queries with too few candidates give none."""
+    return kth_distances(pairs, k + int(self_sampled), dist)
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """Thresholds and error bounds from sampled queries: ``d_k`` from exact distances, ``safein_d_k`` from stage-2 estimates, and the normalised errors of both stages."""
+
+    d_k: float
+    safein_d_k: float
+    eps: float
+    eps2: float
+
+
+def calibrate(pairs: DataFrame, k: int, d_k_share: float = 0.9, eps_share: float = 0.9, self_sampled: bool = True) -> Calibration:
+    """``pairs`` of sampled queries with all rows: qid, true, est, est2, norm_oc, norm_qc, in_cluster (whether the row is in the query's own cluster). Errors count in-cluster pairs only."""
+    d_k = calibrate_d_k(d_k_samples(pairs, k, "true", self_sampled), d_k_share)
+    safein = calibrate_d_k(d_k_samples(pairs, k, "est2", self_sampled), d_k_share)
+    near = pairs.filter("in_cluster").select("true", "norm_oc", "norm_qc", "est", "est2")
+    eps, eps2 = (calibrate_epsilon(near.select("true", "norm_oc", "norm_qc", F.col(e).alias("est")), d_k, eps_share) for e in ("est", "est2"))
+    return Calibration(d_k, safein, eps, eps2)
+
+
 def calibrate_d_k(kth: DataFrame, p: float) -> float:
     return at_index(kth, "kth", lambda n: low_index(p, n))
 
@@ -54,9 +94,9 @@ def class_counts(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def margin_replay(df: DataFrame, scales: list[float]) -> DataFrame:
-    """Counts and rates with SafeIn margins scaled and SafeOut margins as they are. ``df``: est, margin, d_k, is_true. Scales are a short list."""
+    """Counts and rates with SafeIn margins scaled and SafeOut margins as they are. ``df``: est, margin, d_k, safein_d_k, is_true. Scales are a short list."""
     s = F.explode(F.array(*[F.lit(float(x)) for x in scales]))
-    cls = F.when(F.col("est") > F.col("d_k") + 2 * F.col("margin"), "SafeOut").when(F.col("est") < F.col("d_k") - 2 * F.col("scale") * F.col("margin"), "SafeIn").otherwise("Uncertain")
+    cls = F.when(F.col("est") > F.col("d_k") + 2 * F.col("margin"), "SafeOut").when(F.col("est") < F.col("safein_d_k") - 2 * F.col("scale") * F.col("margin"), "SafeIn").otherwise("Uncertain")
     counted = class_counts(df.withColumn("scale", s).withColumn("cls", cls), "scale")
     total = F.col("safein") + F.col("safeout") + F.col("uncertain")
     return counted.withColumn("safein_rate", V.safe_rate(F.col("safein"), total)).withColumn("false_safein_rate", V.safe_rate(F.col("false_safein"), F.col("safein")))
@@ -89,15 +129,39 @@ def entropy_bits(counts: DataFrame, n: str = "n") -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
-    """Correlation of ranks (ties by ``tie``), 0 for fewer than two rows or no variance. For report-sized inputs: each ranking is one sorted task."""
-    rank = lambda c: F.row_number().over(W.Window.orderBy(c, tie)).cast("double")
-    return df.select(rank(x).alias("rx"), rank(y).alias("ry")).agg(F.coalesce(F.corr("rx", "ry"), F.lit(0.0)).alias("rho"))
+    """Correlation of ranks (ties by ``tie``), 0 for fewer than two rows or no variance. Ranks are places in a range sort, so no task sees all rows."""
+    rx = numbered(df.select(x, tie), x, tie).select(tie, F.col("place").cast("double").alias("rx"))
+    ry = numbered(df.select(y, tie), y, tie).select(tie, F.col("place").cast("double").alias("ry"))
+    return rx.join(ry, tie).agg(F.coalesce(F.corr("rx", "ry"), F.lit(0.0)).alias("rho"))
 
 
 def dictionary(df: DataFrame, value: str, position: str) -> DataFrame:
     """(value, code): different values numbered by first place."""
     first = df.groupBy(value).agg(F.min(position).alias("first"))
-    return first.select(value, (F.row_number().over(W.Window.orderBy("first")) - 1).alias("code"))
+    return numbered(first, "first").select(value, F.col("place").cast("int").alias("code"))
+
+
+def decode(codes: DataFrame, dictionary: DataFrame, value: str, code: str = "code") -> DataFrame:
+    """``codes`` with the dictionary's values; an empty string for a code that it does not hold."""
+    return codes.join(dictionary.select(code, value), code, "left").withColumn(value, F.coalesce(value, F.lit("")))
+
+
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """(draw, key): n rows drawn uniformly, each from all rows. Rows are numbered by a range sort, so nothing meets in one task; draws are hashed numbers."""
+    total = df.count()
+    if not total:
+        return df.select(F.lit(0).cast("long").alias("draw"), key).limit(0)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("place"))
+    return draws.join(numbered(df.select(key), key), "place").select("draw", key)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``place``, its row's number from 0 in ascending order: rows are range-sorted, and counts of the ranges before are added to the place within one."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_part").count()
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    return ranged.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
 def sample_without_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -123,12 +187,18 @@ def series(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.75)).alias("p75"))
 
 
-def threshold_counts(df: DataFrame, d_k: float) -> DataFrame:
-    """Per query: candidates within d_k by exact distance, by each estimate and by both, SafeIn, and the share of exact distances at most d_k. ``df``: qid, true, est, est2, margin2."""
-    t, a, b = F.col("true"), F.col("est"), F.col("est2")
+def threshold_counts(df: DataFrame) -> DataFrame:
+    """Per query: candidates within d_k by exact distance, by each estimate and by both, SafeIn, and the share of exact distances at most d_k. ``df``: qid, true, est, est2, margin2, d_k."""
+    t, a, b, d_k = (F.col(c) for c in ("true", "est", "est2", "d_k"))
     return df.groupBy("qid").agg(F.count_if(t < d_k).alias("true_below"), F.count_if(a < d_k).alias("est_below"), F.count_if(b < d_k).alias("est2_below"), F.count_if((t < d_k) & (b < d_k)).alias("both_below"), F.count_if(b < d_k - 2 * F.col("margin2")).alias("safein"), F.avg((t <= d_k).cast("double")).alias("share"))
 
 
+def space_comparison(df: DataFrame) -> DataFrame:
+    """Per query: SafeIn and false SafeIn by the stage-2 estimate, under the threshold of exact distances and under that of estimates. ``df``: qid, est2, margin2, d_k, safein_d_k, is_true."""
+    inside = {name: F.col("est2") < F.col(c) - 2 * F.col("margin2") for name, c in (("exact", "d_k"), ("estimate", "safein_d_k"))}
+    return df.groupBy("qid").agg(*(F.count_if(x).alias(f"safein_{n}") for n, x in inside.items()), *(F.count_if(x & ~F.col("is_true")).alias(f"false_{n}") for n, x in inside.items()))
+
+
 def overlap(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
     """How many items of ``a`` are in ``b`` too, per key."""
     both = a.select(*keys, item).join(b.select(*keys, item).withColumn("hit", F.lit(1)), [*keys, item], "left")

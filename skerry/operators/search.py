@@ -214,21 +214,93 @@ def search_curve(queries: DataFrame, centroids: DataFrame, members: DataFrame, k
     return against(queries, members.select("cluster_id", "row_id", "embedding"), probe_block, f"{FOUND}, cluster_rank int")
 
 
-def frontier_search(candidates: DataFrame, k: int) -> DataFrame:
-    """Classes under a moving frontier, per query in probe order.
+def frontier_search(candidates: DataFrame, k: int, safein: str = "static") -> DataFrame:
+    """Classes under moving frontiers, per query in probe order.
 
-    ``candidates``: qid, cluster_rank, row_id, est, margin, safein_d_k. The frontier before a cluster is the k-th smallest est + margin of earlier
-    clusters' survivors (infinite until there are k). One group is one query's probed candidates, bounded by nprobe clusters.
+    ``candidates``: qid, cluster_rank, row_id, est, margin, safein_d_k. The SafeOut frontier before a cluster is the k-th smallest est + margin of earlier
+    clusters' survivors, the SafeIn frontier the k-th smallest est - margin; both are infinite until there are k, and skip numbers that are not finite. ``safein``: "static" holds estimates against safein_d_k,
+    "frontier" against the SafeIn frontier, which admits nothing until it is ready. One group is one query's probed candidates, bounded by nprobe clusters.
     """
+    if safein not in ("static", "frontier"):
+        raise ValueError(f"no such SafeIn threshold: {safein}")
+
+    def kth(best: np.ndarray) -> float:
+        return float(best[-1]) if len(best) == k else np.inf
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, best, frontier = [], np.zeros(0), np.inf
+        out, upper, lower = [], np.zeros(0), np.zeros(0)
         for _, c in pdf.sort_values(["cluster_rank", "row_id"]).groupby("cluster_rank"):
-            d, m = c["est"].to_numpy(), c["margin"].to_numpy()
-            cls = np.where(d > frontier + m, "SafeOut", np.where(d < c["safein_d_k"].to_numpy() - m, "SafeIn", "Uncertain"))
-            out.append(c.assign(cls=cls, frontier=frontier))
-            best = np.sort(np.r_[best, (d + m)[cls != "SafeOut"]])[:k]
-            frontier = best[-1] if len(best) == k else np.inf
-        return pd.concat(out)[["qid", "cluster_rank", "row_id", "est", "margin", "cls", "frontier"]]
-
-    return candidates.groupBy("qid").applyInPandas(run, "qid long, cluster_rank int, row_id long, est double, margin double, cls string, frontier double")
+            d, m, out_at, in_at = c["est"].to_numpy(), c["margin"].to_numpy(), kth(upper), kth(lower)
+            threshold = c["safein_d_k"].to_numpy() if safein == "static" else in_at if np.isfinite(in_at) else -np.inf
+            cls = np.where(d > out_at + m, "SafeOut", np.where(d < threshold - m, "SafeIn", "Uncertain"))
+            out.append(c.assign(cls=cls, frontier=out_at, safein_frontier=in_at))
+            stay = cls != "SafeOut"
+            upper, lower = (np.sort(np.r_[best, x[stay][np.isfinite(x[stay])]])[:k] for best, x in ((upper, d + m), (lower, d - m)))
+        return pd.concat(out)[["qid", "cluster_rank", "row_id", "est", "margin", "cls", "frontier", "safein_frontier"]]
+
+    return candidates.groupBy("qid").applyInPandas(run, "qid long, cluster_rank int, row_id long, est double, margin double, cls string, frontier double, safein_frontier double")
+
+
+def search_statistics(classed: DataFrame) -> DataFrame:
+    """Counts of a search for each query, from :func:`frontier_search`: SafeIn rows are read with their payload, Uncertain ones as vectors, SafeOut ones not at all."""
+    said = lambda c: F.count_if(F.col("cls") == c)
+    return classed.groupBy("qid").agg(F.countDistinct("cluster_rank").alias("probed"), F.count("*").alias("candidates"), said("SafeOut").alias("safeout"), said("SafeIn").alias("payload_reads"), said("Uncertain").alias("vector_reads"), F.max_by("frontier", "cluster_rank").alias("last_frontier"))
+
+
+def early_budget(candidates: DataFrame, most: int, every: int) -> DataFrame:
+    """Rows that a budget hands out when its best are emitted after each ``every`` clusters: all that are among the ``most`` best by estimate at one of those times, a superset of :func:`budget`'s."""
+    last = F.ceil(F.col("cluster_rank") / every).cast("int")
+    times = candidates.withColumn("_from", last).join(candidates.groupBy("qid").agg(F.max(last).alias("_last")), "qid").withColumn("_time", F.explode(F.sequence("_from", "_last")))
+    w = W.Window.partitionBy("qid", "_time").orderBy("est", "cluster_rank", "row_id")
+    best = times.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    return best.groupBy(*candidates.columns).agg(F.min("_time").alias("emitted"))
+
+
+def super_centroids(centroids: DataFrame, n: int, seed: int = 42, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy over centroids by K-means: (cluster_id, centroid, super_id) and (super_id, super_centroid). Centroids are bounded by MAX_CENTROIDS."""
+    renamed = centroids.select(F.col("cluster_id").alias("row_id"), F.col("centroid").alias("embedding"))
+    supers = train_centroids(renamed, n, seed=seed, iterations=iterations)
+    own = assign(renamed, supers).select(F.col("row_id").alias("cluster_id"), F.col("cluster_id").alias("super_id"))
+    return centroids.join(own, "cluster_id"), supers.select(F.col("cluster_id").alias("super_id"), F.col("centroid").alias("super_centroid"))
+
+
+def route_adaptive(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str, threshold: int, n_super: int = 0) -> DataFrame:
+    """Two-level routing for inner products over more than ``threshold`` clusters; exact routing otherwise, and where the hierarchy leaves fewer than ``nprobe`` children."""
+    nlist = centroids.count()
+    if metric != "ip" or nlist <= threshold:
+        return route(queries, centroids, nprobe, metric, nlist)
+    with_super, supers = super_centroids(centroids, max(1, int(nlist**0.5)))
+    found = route_two_level(queries, with_super, supers, nprobe, super_count(nprobe, nlist, n_super)).drop("super_id")
+    short = queries.join(found.groupBy("qid").count().filter(F.col("count") >= min(nprobe, nlist)), "qid", "left_anti")
+    return found.join(short, "qid", "left_anti").unionByName(route(short, centroids, nprobe, metric, nlist))
+
+
+def coarse_builder(vectors: DataFrame, nlist: int, train_rows: int, metric: str = "l2", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Centroids trained on the first ``train_rows`` rows by id, and every row's cluster."""
+    first = vectors.orderBy("row_id").limit(train_rows)
+    centroids = train_centroids(first, nlist, "cosine" if metric in ("ip", "cosine") else "l2", seed)
+    rows = vectors.select("row_id", V.l2_normalize(F.col("embedding")).alias("embedding")) if metric == "cosine" else vectors
+    return centroids, assign(rows, centroids)
+
+
+def recover_members(codes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cluster_id, row_id) from an index's payload ids; an error names ids that are not there. ``codes``: cluster_id, external_id; ``ids``: external_id, row_id."""
+    lost = codes.join(ids, "external_id", "left_anti").select("external_id").limit(5).collect()
+    if lost:
+        raise KeyError(f"ids without a row: {[r[0] for r in lost]}")
+    return codes.join(ids, "external_id").select("cluster_id", "row_id")
+
+
+def truth_of_ids(truth: DataFrame, ids: DataFrame) -> DataFrame:
+    """(qid, rank, row_id) of ground truth given by external ids; null where there is no such row."""
+    return truth.join(ids, "external_id", "left").select("qid", "rank", "row_id")
+
+
+def read_rows(table: DataFrame, keys: DataFrame, key: str = "row_id") -> DataFrame:
+    """The rows of a table with the given keys, in one semi join whose key range is pushed to the scan; an error for a key without a row."""
+    wanted = keys.select(key).distinct()
+    low, high = wanted.agg(F.min(key), F.max(key)).first()
+    found = table.filter(F.col(key).between(low, high)).join(wanted, key, "left_semi") if low is not None else table.limit(0)
+    if found.select(key).distinct().count() != wanted.filter(F.col(key).isNotNull()).count():
+        raise KeyError("no row for some keys")
+    return found
