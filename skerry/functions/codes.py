@@ -19,16 +19,22 @@ def walsh_hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rotation:
-    """An orthogonal map: signs and a Hadamard transform for powers of two, rounds of them on halves for multiples of 64, else a random basis."""
+    """An orthogonal map: signs and a Hadamard transform for powers of two, rounds of them on halves for multiples of 64, else a random basis; or, if asked for, shuffled components in blocks of powers of two."""
 
     dim: int
     seed: int = 42
     rounds: int = 4
+    blocks: bool = False
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
         self.kind = "hadamard" if self.dim & (self.dim - 1) == 0 else "kac" if self.dim % 64 == 0 else "random"
         self.signs = rng.choice([-1.0, 1.0], (self.rounds, self.dim))
+        if self.blocks:
+            self.kind, self.order, self.cuts, left = "blocks", rng.permutation(self.dim), [0], self.dim
+            while left:
+                self.cuts.append(self.cuts[-1] + (1 << (left.bit_length() - 1)))
+                left = self.dim - self.cuts[-1]
         if self.kind == "random":
             self.basis = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
 
@@ -36,8 +42,13 @@ class Rotation:
         width = 1 << (self.dim.bit_length() - 1)
         return slice(0, width) if k % 2 == 0 else slice(self.dim - width, self.dim)
 
+    def _blocks(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([walsh_hadamard(x[:, a:b]) / np.sqrt(b - a) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)], axis=1)
+
     def apply(self, x: np.ndarray) -> np.ndarray:
         x = np.array(x, float)
+        if self.kind == "blocks":
+            return self._blocks((x * self.signs[0])[:, self.order])
         if self.kind == "random":
             return x @ self.basis
         if self.kind == "hadamard":
@@ -51,6 +62,10 @@ class Rotation:
 
     def invert(self, x: np.ndarray) -> np.ndarray:
         x = np.array(x, float)
+        if self.kind == "blocks":
+            out = np.empty_like(x)
+            out[:, self.order] = self._blocks(x)
+            return out * self.signs[0]
         if self.kind == "random":
             return x @ self.basis.T
         if self.kind == "hadamard":
@@ -81,6 +96,56 @@ def scale_for(dim: int, ex_bits: int, samples: int = 100, seed: int = 42) -> flo
     return float(tries[fit.argmax(0), np.arange(samples)].mean())
 
 
+def best_scales(unit: np.ndarray, ex_bits: int) -> np.ndarray:
+    """Each direction's best scale, exactly: a code changes only where a component passes a whole number, so the fit is taken after each such step in ascending scale."""
+    x, top = np.abs(unit), 2**ex_bits - 1
+    out = np.zeros(len(x))
+    for i, row in enumerate(x):
+        use = np.flatnonzero(row > 0)
+        if not len(use) or not ex_bits:
+            continue
+        steps = (np.arange(1, top + 1)[:, None] / row[use]).ravel()
+        order = np.argsort(steps, kind="stable")
+        owner = np.tile(use, top)[order]
+        level = np.tile(np.arange(1, top + 1)[:, None], len(use)).ravel()[order]
+        inner = 0.5 * row.sum() + np.cumsum(row[owner])
+        square = 0.25 * len(row) + np.cumsum(2.0 * level)  # (c + 1/2)^2 - (c - 1/2)^2 = 2 c
+        best = int(np.argmax(inner / np.sqrt(square)))
+        last = steps[order][best]
+        out[i] = last * (1 + 1e-9)
+    return out
+
+
+def encode_best(residuals: np.ndarray, rotation: Rotation, ex_bits: int) -> dict[str, np.ndarray]:
+    """As :func:`encode`, each vector under its own best scale."""
+    size = np.linalg.norm(residuals, axis=1)
+    unit = rotation.apply(residuals / np.where(size > 0, size, 1)[:, None])
+    c = np.minimum(2**ex_bits - 1, (best_scales(unit, ex_bits)[:, None] * np.abs(unit)).astype(np.int64))
+    inner = ((c + 0.5) * np.abs(unit)).sum(1)
+    return {"norm": size, "sign": unit >= 0, "magnitude": c.astype(np.uint8), "factor": np.divide(1, inner, out=np.zeros(len(inner)), where=inner > 0)}
+
+
+def turned_residuals(queries: np.ndarray, centroids: np.ndarray, rotation: Rotation) -> np.ndarray:
+    """Rotated residuals of every query to every centroid, (queries, centroids, dim), from one rotation of each: the map is linear."""
+    return rotation.apply(queries)[:, None] - rotation.apply(centroids)[None]
+
+
+def calibration_distance(code: dict[str, np.ndarray], unit: np.ndarray, query_norm: float, ex_bits: int, estimator: str | None = "legacy") -> np.ndarray:
+    """The distance that calibration takes: the sum form if the estimator is official, the multi-bit form if there are magnitudes, else signs alone, not held at 0."""
+    from skerry.functions import layouts as L
+
+    sign = np.where(code["sign"], 1.0, -1.0)
+    if not ex_bits:
+        ip = (sign @ unit) / np.sqrt(len(unit))
+        return code["norm"] ** 2 + query_norm**2 - 2 * code["norm"] * query_norm * ip
+    if estimator and L.named(L.ESTIMATORS, estimator) == "official":
+        lower = L.sum_form(code["sign"], code["magnitude"], ex_bits)
+        ip = L.combined_ip(code["sign"] @ unit, lower @ unit, unit.sum(), ex_bits)
+    else:
+        ip = (sign * (code["magnitude"] + 0.5)) @ unit
+    return L.distance(ip * code["factor"], code["norm"], query_norm)
+
+
 def encode(residuals: np.ndarray, rotation: Rotation, ex_bits: int, scale: float) -> dict[str, np.ndarray]:
     """Norms, sign bits, magnitudes and the factor that makes the code's inner product unbiased."""
     size = np.linalg.norm(residuals, axis=1)
