@@ -1,6 +1,6 @@
 """Vector files as DataFrames: fvecs, ivecs, npy; numbered json lines; payload blobs; and sinks for the same formats.
 
-Files are listed and read by Spark (``binaryFile``), so any store that Spark knows will do; a large set is many files.
+Files are read by row ranges and written by the tasks where Arrow's file systems reach them (see ``ranges``), else by Spark as whole files, so any store that Spark knows will do.
 """
 
 from __future__ import annotations
@@ -10,10 +10,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from skerry.functions import vectors as V
+from skerry.operators.analysis import numbered
+from skerry.sources.ranges import file_system, read_ranges, write_ranges
+
+
+def reachable(path: str) -> bool:
+    """Whether Arrow's file systems can open the path; else Spark reads and writes whole files, of less than 2 GB each."""
+    try:
+        file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
 
 def parse_vecs(raw: bytes, dtype: str) -> np.ndarray:
     """Records of an int32 width and so many values; every width must equal the first."""
@@ -40,6 +56,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     end = path.rpartition(".")[2]
     if end not in ("fvecs", "ivecs", "npy"):
         raise ValueError(f"no vector format: {path}")
+    if reachable(path):
+        return read_ranges(spark, path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,11 +99,50 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.select(line.alias("line_no"), F.coalesce(F.get_json_object("value", "$.image_id").cast("long"), F.lit(-1)).alias("image_id"), F.get_json_object("value", "$.caption").alias("caption"))
 
 
-def payload_slices(blob: DataFrame, index: DataFrame) -> DataFrame:
-    """(row_id, payload) by (row_id, offset, length) of a blob (one row, ``content``); an error if a slice leaves it."""
-    both = index.crossJoin(F.broadcast(blob.select("content").limit(1)))
-    bad = (F.col("offset") < 0) | (F.col("length") < 0) | (F.col("offset") + F.col("length") > F.octet_length("content"))
-    return both.select("row_id", F.when(bad, F.raise_error(F.lit("slice outside the blob"))).otherwise(F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int"))).alias("payload"))
+def payload_slices(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """(row_id, payload) by (row_id, offset, length) of a blob file; an error if a slice leaves it. Slices are range-sorted by offset, so a task reads one stretch of the file, in pieces; the blob is never held whole."""
+    system, name = file_system(path)
+    size = system.get_file_info(name).size
+    if index.filter((F.col("offset") < 0) | (F.col("length") < 0) | (F.col("offset") + F.col("length") > size)).limit(1).count():
+        raise ValueError("slice outside the blob")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, name = file_system(path)
+        with system.open_input_file(name) as f:
+            for pdf in batches:
+                for s in range(0, len(pdf), 1024):
+                    part = pdf.iloc[s : s + 1024]
+                    yield pd.DataFrame({"row_id": part["row_id"], "payload": [f.read_at(n, o) for o, n in zip(part["offset"].tolist(), part["length"].tolist(), strict=True)]})
+
+    return index.select("row_id", "offset", "length").repartitionByRange("offset").sortWithinPartitions("offset").mapInPandas(cut, "row_id long, payload binary")
+
+
+def ordered_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, external_id) of an id file: one id a row."""
+    return read_vectors(spark, path).select("row_id", F.element_at("embedding", 1).alias("external_id"))
+
+
+def subset_by_truth(passages: DataFrame, truth: DataFrame, k: int, key: str = "pid") -> DataFrame:
+    """Passages that are among the first ``k`` neighbours of some query, with new dense row numbers in the old order. ``truth``: qid, rank, and the key; ``passages``: row_id, the key, text columns."""
+    wanted = truth.filter(F.col("rank") < k).select(key).distinct()
+    kept = passages.join(wanted, key, "left_semi").withColumnRenamed("row_id", "source_row")
+    return numbered(kept, "source_row").withColumnRenamed("place", "row_id")
+
+
+def passages(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """(row_id, metadata, columns of the table) of a table of passages in its order by ``pid``; metadata is one json object a row. An error if there are not ``rows`` of them."""
+    table = spark.read.parquet(path)
+    out = numbered(table, "pid").withColumnRenamed("place", "row_id").withColumn("metadata", F.to_json(F.struct(*table.columns)))
+    if rows is not None and out.count() != rows:
+        raise ValueError(f"expected {rows} passages")
+    return out
+
+
+def pooled_frames(frames: DataFrame) -> DataFrame:
+    """(video_id, embedding): unit vectors of the mean picture features followed by the mean sound features. ``frames``: video_id, rgb, audio; partial means, so a long video is not held whole."""
+    means = frames.groupBy("video_id").agg(*(Summarizer.mean(array_to_vector(V.as_double(F.col(c)))).alias(c) for c in ("rgb", "audio")))
+    whole = F.concat(*(vector_to_array(c) for c in ("rgb", "audio")))
+    return means.select("video_id", V.l2_normalize(whole).alias("embedding"))
 
 
 def vecs_bytes(rows: np.ndarray, dtype: str = "<f4") -> bytes:
@@ -118,10 +175,12 @@ def npy_bytes(rows: np.ndarray) -> bytes:
 def write_vectors(df: DataFrame, folder: str, column: str = "embedding", kind: str = "fvecs", file_rows: int = 262_144) -> int:
     """Rows of ``column`` (arrays, or numbers for npy) in their order as files ``part-NNNNN`` of .fvecs, .ivecs or .npy; returns the number of files.
 
-    Files of at most ``file_rows`` rows are made on the executors and pass through the driver one at a time, to any store that Spark can write to. Null vectors are refused.
+    Tasks write their own files of at most ``file_rows`` rows. Only to a store that Arrow cannot reach they pass through the driver, one at a time. Null vectors are refused.
     """
     if kind not in ("fvecs", "ivecs", "npy"):
         raise ValueError(f"no vector format: {kind}")
+    if reachable(folder):
+        return write_ranges(df, folder, column, kind, file_rows)
 
     def blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
