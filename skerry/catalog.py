@@ -175,12 +175,53 @@ def stage1_error(spark, sf):
 
 
 def budget_search(spark, sf):
-    """The 50 best estimates of each query, reranked."""
-    c = _candidates(spark, sf).withColumn("cluster_rank", F.lit(1))
-    kept = S.budget(c, 50)
+    """The 50 best estimates of the probed clusters, reranked."""
+    kept = S.budget(_probed(spark, sf), 50)
     return _rounded(S.top_per(kept, "qid", K, "true", "row_id").select("qid", "rank", "row_id", F.col("true").alias("dist")), "dist")
 
 
+def budget_early(spark, sf):
+    """What a budget of 50 hands out when its best are emitted after every second cluster."""
+    return S.early_budget(_probed(spark, sf).select("qid", "cluster_rank", "row_id", "est"), 50, 2).select("qid", "row_id", "emitted")
+
+
+def rows_by_key(spark, sf):
+    """A batch read by key: the rows of the keys that are divisible by 7."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    return S.read_rows(c, c.filter("c_custkey % 7 = 0").select("c_custkey"), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+def decoded(spark, sf):
+    """Each document's source by way of its code in the dictionary; codes past the end decode to an empty string."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    codes = A.dictionary(docs, "source", "doc_id")
+    coded = docs.join(codes, "source").select("doc_id", F.when(F.col("doc_id") % 10 == 0, -1).otherwise(F.col("code")).alias("code"))
+    return A.decode(coded, codes, "source").select("doc_id", "source")
+
+
+def diagnostic_summary(spark, sf):
+    """Shares of final classes among candidates, and the percentiles of the stage-1 errors from the 50th to the 99.9th."""
+    t = candidate_table(spark, sf)
+    share = lambda c: F.avg((F.col("final_class") == c).cast("double")).alias(c.lower())
+    cuts = [F.percentile("abs_err_s1", F.lit(p)).alias(f"p{n}") for p, n in ((0.5, "50"), (0.95, "95"), (0.99, "99"), (0.999, "999"))]
+    out = t.agg(F.count("*").alias("n"), *(share(c) for c in ("SafeIn", "SafeOut", "Uncertain")), F.avg(F.col("s2_class").isNotNull().cast("double")).alias("stage2"), *cuts)
+    return _rounded(out, "safein", "safeout", "uncertain", "stage2", "p50", "p95", "p99", "p999")
+
+
+def probe_statistics(spark, sf):
+    """Stage-1 and final classes of each query's probed clusters."""
+    t = _diagnosed(spark, sf)
+    said = [F.count_if(F.col(c) == x).alias(f"{n}_{x.lower()}") for c, n in (("s1_class", "s1"), ("cls", "final")) for x in ("SafeIn", "SafeOut", "Uncertain")]
+    return t.groupBy("qid", "cluster_id").agg(*said)
+
+
+def kmeans_route(spark, sf):
+    """Clusters trained by K-means on the first rows, a hierarchy over them, and two-level routing by inner product."""
+    base = _base(spark, sf)
+    centroids, _ = S.coarse_builder(base.drop("cluster_id"), 16, 400)
+    return S.route_adaptive(_queries(spark, sf), centroids, 4, "ip", 8).select("qid", "cluster_id", "cluster_rank", F.round("score", 5).alias("score"))
+
+
 def recall(spark, sf):
     truth = S.exact_search(_queries(spark, sf), _base(spark, sf), K)
     ids = lambda df, name: df.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "row_id"))).alias("x")).select("qid", F.col("x.row_id").alias(name))
@@ -409,7 +450,7 @@ def event_windows(spark, sf):
     return _rounded(tumbling(spark.read.parquet(f"{sf}/events.parquet")), "total")
 
 
-QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, search_statistics, space_comparison, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, nprobe_sweep, truth_ids, code_symbols, label_entropy, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
+QUERIES = {f.__name__: f for f in (exact_search, exact_search_ip, ivf_search, route, route_two_level, assign, cluster_report, stage1_classes, stage1_error, budget_search, recall, calibration, margin_replay, grid_replay, confusion, geometry, convergence, frontier, search_statistics, space_comparison, index_search, stage2_classes, stage2_error, stage_recall, candidate_table, cluster_classes, threshold_report, margin_quartiles, convergence_series, frontier_stability, overlap_curve, routing_overlap, nprobe_sweep, truth_ids, code_symbols, label_entropy, budget_early, rows_by_key, decoded, diagnostic_summary, probe_statistics, kmeans_route, source_dictionary, validation, normalised, spearman, payload_projection, event_windows)}
 
 _D = "pow(list_distance(qvec, e), 2)"
 _TURN = str(ROTATION.apply(np.eye(DIM)).T.tolist())
@@ -485,7 +526,11 @@ SELECT qid, cluster_id, cluster_rank, round(score, 5) AS score FROM (SELECT qid,
     "cluster_report": _CTE + "SELECT cluster_id, count(*) AS n, round(max(d), 5) AS r_max, round(avg(d), 5) AS mean_norm, round(stddev_pop(d), 5) AS std_norm FROM (SELECT cluster_id, list_distance(e, cent) AS d FROM b JOIN c USING (cluster_id)) GROUP BY cluster_id",
     "stage1_classes": _CTE + f"SELECT qid, {_COUNTS} FROM (SELECT *, {_cls('est')} AS cls FROM k) GROUP BY qid",
     "stage1_error": _CTE + "SELECT round(avg(a), 5) AS mae, round(avg(CASE WHEN tru > 1e-8 THEN a / tru END), 5) AS mean_rel, round(quantile_cont(a, 0.95), 5) AS p95, round(quantile_cont(a, 0.99), 5) AS p99 FROM (SELECT abs(est - tru) AS a, tru FROM k)",
-    "budget_search": _CTE + f"SELECT qid, rank, row_id, round(tru, 5) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, row_id) AS r FROM k) WHERE r <= 50) WHERE rank <= {K}",
+    "budget_search": _CTE + f"SELECT qid, rank, row_id, round(tru, 5) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tru, row_id) AS INTEGER) AS rank FROM (SELECT k.*, row_number() OVER (PARTITION BY qid ORDER BY est, cluster_rank, row_id) AS r FROM k JOIN p USING (qid, cluster_id) WHERE cluster_rank <= {FRONTIER_PROBES}) WHERE r <= 50) WHERE rank <= {K}",
+    "budget_early": _CTE + f"""SELECT qid, row_id, min(t) AS emitted FROM (SELECT qid, row_id, CAST(n AS INTEGER) AS t, row_number() OVER (PARTITION BY qid, n ORDER BY est, cluster_rank, row_id) AS r
+  FROM k JOIN p USING (qid, cluster_id), range(1, {FRONTIER_PROBES // 2 + 1}) AS t(n) WHERE cluster_rank <= 2 * n) WHERE r <= 50 GROUP BY qid, row_id""",
+    "rows_by_key": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 7 = 0",
+    "decoded": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE source END AS source FROM documents",
     "recall": _CTE + f"SELECT g.qid, {_RECALL} FROM gt g LEFT JOIN ivf f ON f.qid = g.qid AND f.row_id = g.row_id GROUP BY g.qid",
     "calibration": _CTE + "SELECT round(d_k, 5) AS d_k, round(safein_d_k, 5) AS safein_d_k, round(eps, 5) AS eps, round(eps2, 5) AS eps2 FROM cal",
     "margin_replay": _CTE + f"SELECT scale, safein, safeout, uncertain, false_safein, false_safeout, round(CASE WHEN safein + safeout + uncertain = 0 THEN 0 ELSE safein / (safein + safeout + uncertain) END, 5) AS safein_rate, round(CASE WHEN safein = 0 THEN 0 ELSE false_safein / safein END, 5) AS false_safein_rate FROM (SELECT scale, {_COUNTS} FROM ({_REPLAY}) GROUP BY scale)",
@@ -538,5 +583,9 @@ ORACLE["nprobe_sweep"] = _CTE + f"""SELECT nprobe, round(avg(r), 5) AS mean, rou
 SELECT g.nprobe, g.qid, count(f.row_id) / count(*) AS r FROM (SELECT qid, row_id, nprobe FROM gt, (VALUES {_VALUES(PROBES)}) AS t(nprobe)) g LEFT JOIN (
 SELECT nprobe, qid, row_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY {_D}, row_id) AS r FROM p JOIN own USING (cluster_id), (VALUES {_VALUES(PROBES)}) AS t(nprobe) WHERE cluster_rank <= nprobe
 ) f ON f.nprobe = g.nprobe AND f.qid = g.qid AND f.row_id = g.row_id AND f.r <= {K} GROUP BY g.nprobe, g.qid) GROUP BY nprobe"""
+_TABLE = ORACLE["candidate_table"].removeprefix(_CTE).replace("SELECT t.qid AS query_id", ", final AS (SELECT t.qid AS query_id", 1)
+ORACLE["diagnostic_summary"] = _CTE + _TABLE + """) SELECT count(*) AS n, round(avg(CAST(final_class = 'SafeIn' AS INTEGER)), 5) AS safein, round(avg(CAST(final_class = 'SafeOut' AS INTEGER)), 5) AS safeout, round(avg(CAST(final_class = 'Uncertain' AS INTEGER)), 5) AS uncertain,
+round(avg(CAST(s2_class IS NOT NULL AS INTEGER)), 5) AS stage2, round(quantile_cont(abs_err_s1, 0.5), 5) AS p50, round(quantile_cont(abs_err_s1, 0.95), 5) AS p95, round(quantile_cont(abs_err_s1, 0.99), 5) AS p99, round(quantile_cont(abs_err_s1, 0.999), 5) AS p999 FROM final"""
+ORACLE["probe_statistics"] = _CTE + f"SELECT t.qid, t.cluster_id, " + ", ".join(f"count(*) FILTER ({c} = '{x}') AS {n}_{x.lower()}" for c, n in (("s1_class", "s1"), ("cls", "final")) for x in ("SafeIn", "SafeOut", "Uncertain")) + f" FROM {_BOTH} t JOIN p ON p.qid = t.qid AND p.cluster_id = t.cluster_id WHERE cluster_rank <= {NPROBE} GROUP BY t.qid, t.cluster_id"
 ORACLE["truth_ids"] = _CTE + "SELECT DISTINCT row_id FROM gt"
 ORACLE["code_symbols"] = _CTE + f"SELECT level, n, round(n / t, 5) AS share, round(-(n / t) * log2(n / t), 5) AS bits FROM (SELECT level, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT CAST(unnest(list_transform(un, lambda x: (CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END) * (least({2.0**EX_BITS - 1}, floor(abs(x) * CAST({SCALE!r} AS DOUBLE) + 1e-5)) + 0.5))) AS DOUBLE) AS level FROM (SELECT {_unit('e')} AS un FROM b JOIN c USING (cluster_id))) GROUP BY level)"

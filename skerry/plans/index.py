@@ -10,7 +10,7 @@ Null vectors and vectors that hold a null or non-finite component are not indexe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from skerry.functions import codes as C
 from skerry.functions import vectors as V
 from skerry.operators import search as S
 
-VERSION = 1
+VERSION = 2
 TABLES = ("records", "codes", "centroids", "settings")
 
 
@@ -40,8 +40,18 @@ def _encoder(dim: int, ex_bits: int, seed: int):
     return run
 
 
-def build(vectors: DataFrame, centroids: DataFrame, path: str, ex_bits: int = 3, seed: int = 42) -> Index:
-    """Writes the index of ``vectors`` (row_id, embedding and payload columns) under ``path``. ``centroids``: cluster_id, centroid."""
+METRICS = ("l2", "ip", "cosine")
+
+
+def build(vectors: DataFrame, centroids: DataFrame, path: str, ex_bits: int = 3, seed: int = 42, metric: str = "l2", progress: Callable[[int, int], None] | None = None) -> Index:
+    """Writes the index of ``vectors`` (row_id, embedding and payload columns) under ``path``. ``centroids``: cluster_id, centroid.
+
+    ``metric`` decides clustering and routing: rows are placed by squared distance, for ``cosine`` after both sides are scaled to length 1; queries are routed by inner product for ``ip`` and ``cosine``. Ranks are by
+    squared distance of the raw vectors in any case. ``progress`` is told of each written table.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
+    done = progress or (lambda k, n: None)
     spark = vectors.sparkSession
     whole = vectors.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     first = centroids.first()
@@ -52,13 +62,18 @@ def build(vectors: DataFrame, centroids: DataFrame, path: str, ex_bits: int = 3,
         raise ValueError(f"expected vectors of {dim} components and 0 to 6 magnitude bits")
     centroids.select("cluster_id", "centroid").coalesce(1).write.parquet(f"{path}/centroids")
     cent = spark.read.parquet(f"{path}/centroids")
+    done(1, len(TABLES))
     whole.repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(f"{path}/records")
     base = spark.read.parquet(f"{path}/records").select("row_id", "embedding")
-    own = S.assign(base, cent).select("row_id", "cluster_id")
+    done(2, len(TABLES))
+    placed, near = (base, cent) if metric != "cosine" else (base.select("row_id", V.l2_normalize(F.col("embedding")).alias("embedding")), cent.select("cluster_id", V.l2_normalize(F.col("centroid")).alias("centroid")))
+    own = S.assign(placed, near).select("row_id", "cluster_id")
     residuals = base.join(own, "row_id").join(S._small(cent, nlist, S.MAX_CENTROIDS), "cluster_id").select("cluster_id", "row_id", V.residual(F.col("embedding"), F.col("centroid")).alias("r"))
     codes = residuals.mapInPandas(_encoder(dim, ex_bits, seed), f"cluster_id {cent.schema['cluster_id'].dataType.simpleString()}, row_id long, norm_oc double, factor double, levels array<smallint>")
     codes.repartitionByRange("cluster_id", "row_id").sortWithinPartitions("cluster_id", "row_id").write.parquet(f"{path}/codes")
-    spark.createDataFrame([(VERSION, dim, nlist, ex_bits, seed)], "version int, dim int, nlist int, ex_bits int, seed long").coalesce(1).write.parquet(f"{path}/settings")
+    done(3, len(TABLES))
+    spark.createDataFrame([(VERSION, dim, nlist, ex_bits, seed, metric)], "version int, dim int, nlist int, ex_bits int, seed long, metric string").coalesce(1).write.parquet(f"{path}/settings")
+    done(4, len(TABLES))
     return open_index(spark, path)
 
 
@@ -70,7 +85,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         raise ValueError(f"not an index of version {VERSION}: {path}")
     if centroids.count() != s["nlist"] or centroids.filter(F.size("centroid") != s["dim"]).limit(1).count():
         raise ValueError(f"centroids do not fit the settings: {path}")
-    return Index(records, codes, centroids, s["dim"], s["nlist"], s["ex_bits"], s["seed"])
+    return Index(records, codes, centroids, s["dim"], s["nlist"], s["ex_bits"], s["seed"], s["metric"])
 
 
 @dataclass
@@ -82,6 +97,28 @@ class Index:
     nlist: int
     ex_bits: int
     seed: int
+    metric: str = "l2"
+
+    def preload(self) -> Index:
+        """Keeps codes and centroids in the executors' memory and disk, read once before the first query."""
+        for table in (self.codes, self.centroids):
+            table.persist().count()
+        return self
+
+    def unload(self) -> Index:
+        for table in (self.codes, self.centroids):
+            table.unpersist()
+        return self
+
+    def route(self, queries: DataFrame, nprobe: int, threshold: int | None = None) -> DataFrame:
+        """The clusters that a query probes; by the hierarchy over more than ``threshold`` clusters, for inner products."""
+        if self.metric == "cosine":
+            turned = queries.select("qid", V.l2_normalize(F.col("qvec")).alias("qvec"), F.col("qvec").alias("raw"))
+        else:
+            turned = queries.withColumn("raw", F.col("qvec"))
+        metric = "l2" if self.metric == "l2" else "ip"
+        found = S.route(turned.select("qid", "qvec"), self.centroids, nprobe, metric, self.nlist) if threshold is None else S.route_adaptive(turned.select("qid", "qvec"), self.centroids, nprobe, metric, threshold)
+        return found.drop("qvec").join(turned.select("qid", F.col("raw").alias("qvec")), "qid")
 
     def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
         """A row for each query and probed cluster, with the rotated unit residual of the query."""
@@ -94,7 +131,7 @@ class Index:
                     size = np.linalg.norm(r, axis=1)
                     yield pdf.assign(norm_qc=size, turned=list(rotation.apply(r / np.where(size > 0, size, 1)[:, None])))
 
-        routed = S.route(queries, self.centroids, nprobe, nlist=self.nlist).select("qid", "cluster_id", "cluster_rank", V.residual(F.col("qvec"), F.col("centroid")).alias("r"))
+        routed = self.route(queries, nprobe).select("qid", "cluster_id", "cluster_rank", V.residual(F.col("qvec"), F.col("centroid")).alias("r"))
         kind = self.centroids.schema["cluster_id"].dataType.simpleString()
         return routed.mapInPandas(rotate, f"qid long, cluster_id {kind}, cluster_rank int, norm_qc double, turned array<double>")
 

@@ -150,7 +150,7 @@ def test_index_odd_rows(spark, sf, tmp_path):
         I.build(base.limit(0), catalog._centroids(base), str(tmp_path / "none"))
     with pytest.raises(KeyError):
         index.search(catalog._queries(spark, sf), 3, 2, 1.0, payload=["absent"])
-    spark.createDataFrame([(9, 64, 10, 3, 42)], "version int, dim int, nlist int, ex_bits int, seed long").write.mode("overwrite").parquet(str(tmp_path / "i/settings"))
+    spark.createDataFrame([(9, 64, 10, 3, 42, "l2")], "version int, dim int, nlist int, ex_bits int, seed long, metric string").write.mode("overwrite").parquet(str(tmp_path / "i/settings"))
     with pytest.raises(ValueError):
         I.open_index(spark, str(tmp_path / "i"))
 
