@@ -40,7 +40,7 @@ from skerry.llm.shared import Scratch
 
 FREQUENT, BEGINNINGS, ENDINGS = 8192, 64, 128
 WIDTH, NOISE, BATCH, RATE, ROUNDS = 16, 64, 4096, 0.1, 1
-CHUNK_BYTES, SLICE, TOKENS = 8 << 20, 2048, 1 << 18
+CHUNK_BYTES, SLICE, TOKENS = 6 << 20, 2048, 1 << 18
 END = np.uint64(0x5EED0E4D)
 CHUNK = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, counts binary, cells binary"
 
@@ -74,7 +74,7 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 4), np.uint8)
     planes = len(raw) // n
     out[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, n).T
-    return out.view("<u4").ravel().astype(np.int64)
+    return out.view("<i4").ravel()
 
 
 def _chunks(limit: int):
@@ -158,22 +158,24 @@ class LogBilinear:
         share = np.concatenate((v.counts + 1, [v.ends + 1 if v.ends else 0], v.cells[i, j])).astype(float)
         self.noise = np.cumsum(share) / max(share.sum(), 1)
 
-    def rows(self, h: np.ndarray, cell: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The two target rows of words, and the one that they have as a context."""
+    def own(self, h: np.ndarray) -> np.ndarray:
+        """The rows of words that have one of their own, else that of zeros."""
         at, hit = self.vocabulary.own(h)
-        cell = cell.astype(np.int64)
-        one = np.where(hit, at, self.first + cell // ENDINGS)
+        return np.where(h == END, self.end, np.where(hit, at, self.zero))
+
+    def rows(self, own: np.ndarray, cell: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two target rows of words, and the one that they have as a context."""
+        hit, cell = own != self.zero, cell.astype(np.int64)
+        one = np.where(hit, own, self.first + cell // ENDINGS)
         two = np.where(hit, self.zero, self.last + cell % ENDINGS)
-        context = np.where(hit, at, two)
-        end = h == END
-        one[end], two[end], context[end] = self.end, self.zero, self.end
+        context = np.where(hit, own, two)
         if known is not None:
             one[~known], two[~known] = self.zero, self.zero
-        return one, two, context
+        return tuple(x.astype(np.int32) for x in (one, two, context))
 
     def before(self, context: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The context rows one and two tokens before; ends stand before a text."""
-        one, two = np.full(len(context), self.end), np.full(len(context), self.end)
+        one, two = np.full(len(context), self.end, np.int32), np.full(len(context), self.end, np.int32)
         one[1:], two[2:] = context[:-1], context[:-2]
         begin = np.cumsum(sizes) - sizes
         one[begin], two[begin] = self.end, self.end
@@ -275,7 +277,7 @@ def _pass(model: LogBilinear, rate: float):
                 for flags, sizes, codes, words, cells in zip(*(batch.column(k) for k in range(5)), strict=True):
                     flags, sizes = flags.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy()
                     code = _unpack(codes.as_buffer(), int(sizes.sum()))
-                    a, z, context = (r[code] for r in model.rows(np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(cells.as_buffer(), np.uint16)))
+                    a, z, context = (r[code] for r in model.rows(model.own(np.frombuffer(words.as_buffer(), np.uint64)), np.frombuffer(cells.as_buffer(), np.uint16)))
                     keep = np.repeat(~flags, sizes)
                     yield tuple(x[keep] for x in (a, z, *model.before(context, sizes)))
 
@@ -289,21 +291,34 @@ def _pass(model: LogBilinear, rate: float):
     return run
 
 
+def _placed(model: LogBilinear):
+    """Chunks whose words are replaced by their own rows: a quarter of the bytes to shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            k = names.index("words")
+            own = [model.own(np.frombuffer(x.as_buffer(), np.uint64)).astype("<u2").tobytes() for x in batch.column(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()) if i == k else c for i, c in enumerate(batch.columns)], names)
+
+    return run
+
+
 def _score(model: LogBilinear):
     v = model.vocabulary
+    often = np.concatenate((v.counts, [v.ends]))
 
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
         where, times = counts["pos"].to_numpy(), counts["c"].to_numpy()
         for ids, flags, sizes, codes, words, here, cells in zip(*(rows[c].combine_chunks() for c in ("ids", "held", "sizes", "codes", "words", "counts", "cells")), strict=True):
             size = sizes.values.to_numpy()
-            code, h = _unpack(codes.as_buffer(), int(size.sum())), np.frombuffer(words.as_buffer(), np.uint64)
+            code, own = _unpack(codes.as_buffer(), int(size.sum())), np.frombuffer(words.as_buffer(), "<u2").astype(np.int64)
             c = np.frombuffer(here.as_buffer(), np.int32).astype(np.int64)
             c[where] = times
-            at, hit = v.own(h)
-            c[hit] = v.counts[at[hit]]
-            c[h == END] = v.ends
-            a, z, context = model.rows(h, np.frombuffer(cells.as_buffer(), np.uint16), c > 0)
+            hit = own != model.zero
+            c[hit] = often[own[hit]]
+            a, z, context = model.rows(own, np.frombuffer(cells.as_buffer(), np.uint16), c > 0)
             one, two = model.before(context[code], size)
             log_u = np.log((c + 1) / v.whole)[code]
             lp = model.log_prob(log_u, a[code], z[code], one, two) / np.log(10)
@@ -328,7 +343,7 @@ class Corpus:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
         self.chunks = self.scratch.keep(rows.mapInArrow(_chunks(chunk_bytes), CHUNK), "chunks")
         self.words = self.chunks.select("chunk", "words", "counts", "cells").mapInArrow(_words, "chunk long, pos int, h long, n int, cell int")
-        self.counts = self.scratch.keep(self.words.groupBy("h").agg(F.sum("n").alias("c"), F.min("cell").alias("cell")).filter("c > 0"), "counts")
+        self.counts = self.scratch.keep(self.words.groupBy("h").agg(F.sum("n").alias("c"), F.min("cell").alias("cell"), F.count("*").alias("k")).filter("c > 0"), "counts")
 
     def vocabulary(self, frequent: int = FREQUENT) -> Vocabulary:
         total, types = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -355,9 +370,9 @@ class Corpus:
     def score(self, model: LogBilinear) -> DataFrame:
         own = np.concatenate((model.vocabulary.words, [END])).astype(np.uint64).view(np.int64)
         sent = self.spark.createDataFrame([(int(x),) for x in own], "h long")
-        mine = self.words.select("chunk", "pos", "h", "n").join(F.broadcast(sent), "h", "left_anti").join(self.counts.select("h", "c"), "h").filter("c <> n").select("chunk", "pos", "c")
+        mine = self.words.select("chunk", "pos", "h", "n").join(F.broadcast(sent), "h", "left_anti").join(self.counts.filter("k > 1").select("h", "c"), "h").filter("c <> n").select("chunk", "pos", "c")
         kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return self.chunks.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(model), kind)
+        return self.chunks.mapInArrow(_placed(model), CHUNK).groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(model), kind)
 
 
 def score_texts(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:

@@ -217,9 +217,9 @@ def test_lm_score_against_brute_force(spark):
 
     def rows_of(w):
         if w is None:
-            return np.array([op4_lm.END]), np.zeros(1, np.uint16)
+            return model.own(np.array([op4_lm.END])), np.zeros(1, np.uint16)
         b = next(text_blocks(pa.array([w])))
-        return b.words(), op4_lm.forms(b)
+        return model.own(b.words()), op4_lm.forms(b)
 
     def factor(w, one, two):
         context = [int(model.rows(*rows_of(x))[2][0]) for x in (one, two)]
