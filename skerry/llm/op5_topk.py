@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 K, SCALE, EVERY = 5, 256, 50
-CANDIDATE_BLOCK, QUERY_BLOCK, FIRST_STEP, GROWTH = 8192, 4096, 16, 1.5
+CANDIDATE_BLOCK, QUERY_BLOCK, FIRST_STEP, GROWTH = 8192, 4096, 16, 2.0
 
 
 def threshold_top_k(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Scores and row numbers of one query's best, by score, then id, and how many rows were met. ``order``: rows of each dimension in ascending component. Vectors hold whole numbers as doubles."""
+    """Scores and row numbers of one query's best, by score, then id, and how many rows were met. ``order``: for each dimension the rows in ascending component. Vectors hold whole numbers as doubles."""
     n = len(vectors)
     used = np.flatnonzero(query)
     seen, score = np.zeros(n, bool), np.zeros(n)
@@ -32,14 +32,17 @@ def threshold_top_k(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.nd
     while not seen.all():
         at, step = at + step, step * GROWTH
         upto = np.minimum(n, np.ceil(at * pace).astype(np.int64))
-        met = np.concatenate([order[n - b : n - a, d] if query[d] > 0 else order[a:b, d] for d, a, b in zip(used, depth, upto, strict=True)]) if len(used) else np.arange(n)
-        met = np.unique(met[~seen[met]])
-        seen[met] = True
+        fresh = np.full(n, not len(used))
+        for d, a, b in zip(used.tolist(), depth.tolist(), upto.tolist(), strict=True):
+            fresh[order[d, n - b : n - a] if query[d] > 0 else order[d, a:b]] = True
+        fresh &= ~seen
+        met = np.flatnonzero(fresh)
+        seen |= fresh
         score[met] = vectors[met] @ query
         depth = upto
         if not len(used):
             break
-        reached = np.array([order[n - x, d] if query[d] > 0 else order[x - 1, d] for d, x in zip(used, depth, strict=True)])
+        reached = order[used, np.where(query[used] > 0, n - depth, depth - 1)]
         bound = float((query[used] * vectors[reached, used]).sum())
         good = np.flatnonzero(seen & (ids != own))
         if len(good) >= k and np.partition(score[good], len(good) - k)[len(good) - k] > bound:
@@ -59,7 +62,7 @@ def _cell(k: int):
                 for i, v in enumerate(vs):
                     m[i, : len(v)] = v
             ids = rows["id"].to_numpy()
-            order = np.argsort(x, axis=0, kind="stable")
+            order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
             for qid, vector in zip(queries["id"].tolist(), q, strict=True):
                 score, best, _ = threshold_top_k(vector, qid, x, ids, order, k)
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": score}))

@@ -268,7 +268,7 @@ def test_the_bound_stops_where_components_are_uneven():
     rng = np.random.default_rng(2)
     for skew, share in ((4.0, 0.5), (0.0, 1.0)):
         x = np.floor(256 * rng.normal(size=(3000, 32)) * np.exp(-skew * np.arange(32) / 8))
-        order = np.argsort(x, axis=0, kind="stable")
+        order = np.argsort(x, axis=0, kind="stable").T
         met = 0
         for i in range(0, 3000, 300):
             score, best, n = op5_topk.threshold_top_k(x[i], i, x, np.arange(3000), order, 5)
