@@ -346,6 +346,8 @@ class Corpus:
         self.counts = self.scratch.keep(self.words.groupBy("h").agg(F.sum("n").alias("c"), F.min("cell").alias("cell"), F.count("*").alias("k")).filter("c > 0"), "counts")
 
     def vocabulary(self, frequent: int = FREQUENT) -> Vocabulary:
+        if not 1 <= frequent <= 1 << 15:
+            raise ValueError(f"frequent must be between 1 and 32,768: {frequent}")
         total, types = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         end = int(END.astype(np.int64))
         ends = next((r["c"] for r in self.counts.filter(f"h = {end}").collect()), 0)
