@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -249,6 +250,60 @@ def test_lm_of_many_equal_rows(spark):
     assert len(out) == 3001 and len({round(r["score"], 9) for r in out if r["doc_id"] is None}) == 1
 
 
+def test_lm_holds_a_few_megabytes_at_a_time(spark, monkeypatch, tmp_path):
+    """One task's share of 24 MB goes to Python in batches of a few MB, in each stage; the session's settings stay as they were."""
+    log = str(tmp_path)
+
+    def watched(make, name):
+        def wrapped(*args):
+            inner = make(*args)
+
+            def run(batches):
+                def seen():
+                    for batch in batches:
+                        with open(f"{log}/{name}", "a") as f:
+                            f.write(f"{batch.nbytes}\n")
+                        yield batch
+
+                return inner(seen())
+
+            return run
+
+        return wrapped
+
+    for name in ("_chunks", "_pass", "_placed"):
+        monkeypatch.setattr(op4_lm, name, watched(getattr(op4_lm, name), name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    docs = spark.range(0, 120, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat(md5(string(id)), ' '), 6250)").alias("text"), (F.col("id") % 5 == 0).alias("held_out"))
+    corpus = op4_lm.Corpus(docs, chunk_bytes=3 << 20)
+    out = corpus.score(corpus.fit(corpus.vocabulary())).collect()
+    assert len(out) == 120 and {r["n_tokens"] for r in out} == {6251}
+    for name in ("_chunks", "_pass", "_placed"):
+        assert max(map(int, (tmp_path / name).read_text().split())) < 8 << 20, name
+    assert corpus.chunks.count() >= 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_lm_scores_many_contexts_in_bounded_memory():
+    """What scoring holds besides its result is a few numbers a token, not a vector for each different context."""
+    rng, n, tokens = np.random.default_rng(2), 3000, 400_000
+    words = np.sort(rng.integers(1, 2**63, n, dtype=np.uint64))
+    vocabulary = op4_lm.Vocabulary(10 * n, n, words, np.full(n, 10), 5, np.ones((op4_lm.BEGINNINGS, op4_lm.ENDINGS)))
+    model = op4_lm.LogBilinear(vocabulary)
+    one, two = (rng.integers(0, n, tokens).astype(np.int32) for _ in range(2))
+    a, z = one[::-1].copy(), np.full(tokens, model.zero, np.int32)
+    log_u = np.full(tokens, -5.0)
+    tracemalloc.start()
+    got = model.log_prob(log_u, a, z, one, two)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 * tokens
+    for i in range(0, tokens, 80_000):
+        q = model.parts["R"][one[i : i + 1]] @ model.parts["C1"] + model.parts["R"][two[i : i + 1]] @ model.parts["C2"]
+        want = log_u[i] - model.log_z(q)[0] + model.log_factor(q, a[i : i + 1], z[i : i + 1])[0]
+        assert math.isclose(got[i], want, rel_tol=1e-5)
+
+
 def test_lm_of_odd_rows(odd, empty):
     with_flag = lambda df: df.withColumn("held_out", F.lit(False))
     assert op4_lm.score_texts(with_flag(odd)).count() == len(ODD)
