@@ -9,7 +9,7 @@ from skerry.operators import analysis as A
 from skerry.operators import pairs as P
 from skerry.operators import search as S
 
-REPORTS = ["calibration"]
+REPORTS = ["calibration", "budget_early"]
 
 
 @pytest.mark.parametrize("name", REPORTS)
