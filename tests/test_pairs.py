@@ -9,7 +9,7 @@ from skerry.operators import analysis as A
 from skerry.operators import pairs as P
 from skerry.operators import search as S
 
-REPORTS = ["calibration", "budget_early"]
+REPORTS = ["calibration", "budget_early", "geometry"]
 
 
 @pytest.mark.parametrize("name", REPORTS)
@@ -68,3 +68,11 @@ def test_more_queries_than_a_block_give_the_same_counts(spark, sf, monkeypatch):
     monkeypatch.setattr(S, "EMIT_QUERIES", 8)
     monkeypatch.setattr(S, "EMIT_ROWS", 200)
     assert (count(), give()) == want
+
+
+def test_geometry_has_all_metrics_and_whole_places(spark, sf):
+    """A percentile is a value itself, at the whole part of p * (n - 1)."""
+    long = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 10)] + [("b", 7.0)], "metric string, v double")
+    got = {r["metric"]: tuple(r[c] for c in ("mean", "p50", "p95", "p99", "max")) for r in A.distribution(long).collect()}
+    assert got == {"a": (4.0, 2.0, 3.0, 3.0, 10.0), "b": (7.0,) * 5}
+    assert {r["metric"] for r in catalog.geometry(spark, sf).collect()} == {"cluster_size", "cluster_rmax", "norm_oc_all", "norm_qc_topn", "margin_factor_topn"}
