@@ -2,8 +2,8 @@
 
 Codes are rotated residuals at a few bits a component, stored as small odd integers (sign and magnitude), which Parquet packs to their bits. They are range-sorted by cluster and row,
 so a large cluster is spread over files and a probe of few clusters skips the rest by file statistics. Only what is bounded by ``nlist`` is
-broadcast. A search estimates distances from codes alone, sets a query's frontier at the k-th smallest upper bound, reads the raw vectors of candidates
-whose lower bound is not beyond it, and joins payload to the final rows.
+broadcast. A search estimates distances from codes, sets a query's frontier at the k-th smallest upper bound, compares the raw vectors of candidates
+whose lower bound is not beyond it, and joins payload to the final rows. Candidates are made and compared in the tasks, each raw vector being read once for all queries; only a task's nearest leave it.
 
 Null vectors and vectors that hold a null or non-finite component are not indexed. An empty table is refused, as it has no centroids.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import window as W
 
 from skerry.functions import codes as C
 from skerry.functions import vectors as V
+from skerry.operators import pairs as P
 from skerry.operators import search as S
 
 VERSION = 2
@@ -120,56 +121,63 @@ class Index:
         found = S.route(turned.select("qid", "qvec"), self.centroids, nprobe, metric, self.nlist) if threshold is None else S.route_adaptive(turned.select("qid", "qvec"), self.centroids, nprobe, metric, threshold)
         return found.drop("qvec").join(turned.select("qid", F.col("raw").alias("qvec")), "qid")
 
-    def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
-        """A row for each query and probed cluster, with the rotated unit residual of the query."""
-        rotation = C.Rotation(self.dim, self.seed)
-
-        def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    r = np.stack(pdf.pop("r").to_numpy()).astype(float)
-                    size = np.linalg.norm(r, axis=1)
-                    yield pdf.assign(norm_qc=size, turned=list(rotation.apply(r / np.where(size > 0, size, 1)[:, None])))
-
-        routed = self.route(queries, nprobe).select("qid", "cluster_id", "cluster_rank", V.residual(F.col("qvec"), F.col("centroid")).alias("r"))
-        kind = self.centroids.schema["cluster_id"].dataType.simpleString()
-        return routed.mapInPandas(rotate, f"qid long, cluster_id {kind}, cluster_rank int, norm_qc double, turned array<double>")
+    def _scan(self, queries: DataFrame, nprobe: int) -> tuple[DataFrame, DataFrame, P.Frame]:
+        """The queries with the clusters that they probe, and codes beside their vectors."""
+        clusters = F.array_sort(F.collect_list(F.struct("cluster_rank", "cluster_id")))
+        routed = self.route(queries, nprobe).groupBy("qid").agg(clusters.alias("p")).select("qid", F.col("p.cluster_id").alias("probes"))
+        rows = S.spread(self.codes.join(self.records.select("row_id", "embedding"), "row_id"))
+        return queries.select("qid", "qvec").join(routed, "qid"), rows, P.Frame(*S.centroid_table(self.centroids), C.Rotation(self.dim, self.seed), self.ex_bits, 0.0)
 
     def candidates(self, queries: DataFrame, nprobe: int) -> DataFrame:
         """(qid, row_id, cluster_id, cluster_rank, norm_oc, norm_qc, est1, est2) of all members of the probed clusters: estimates from signs and from all bits."""
-        both = self.probes(queries, nprobe).join(self.codes, "cluster_id")
-        signs = F.transform("levels", lambda x: F.signum(x))
-        ip1 = V.dot(signs, F.col("turned")) / float(np.sqrt(self.dim))
-        ip2 = V.dot(F.col("levels"), F.col("turned")) / 2 * F.col("factor")
-        far = lambda ip: F.greatest(F.lit(0.0), F.col("norm_oc") ** 2 + F.col("norm_qc") ** 2 - 2 * F.col("norm_oc") * F.col("norm_qc") * ip)
-        return both.select("qid", "row_id", "cluster_id", "cluster_rank", "norm_oc", "norm_qc", far(ip1).alias("est1"), far(ip2).alias("est2"))
+        asks, rows, frame = self._scan(queries, nprobe)
+        kinds = {"cluster_id": self.centroids.schema["cluster_id"].dataType.simpleString(), "cluster_rank": "int"} | {c: "double" for c in ("norm_oc", "norm_qc", "est1", "est2")}
+        of = lambda b: {"cluster_id": frame.ids[b.cluster], "cluster_rank": b.slot + 1, "norm_oc": b.oc[:, None], "norm_qc": b.size, "est1": b.by_signs, "est2": b.est2}
+        return P.emit(asks, rows, frame, kinds, of, read=P.read_codes)
 
     def error_bound(self, queries: DataFrame, nprobe: int, p: float = 1.0) -> float:
         """The p-quantile of the stage-2 error over twice the norms, of the candidates of calibration queries (other ones than those that are to be answered); 1.0 gives the largest."""
-        c = self.candidates(queries, nprobe).filter(F.col("norm_oc") * F.col("norm_qc") > 0)
-        c = c.join(self.records.select("row_id", "embedding"), "row_id").join(queries, "qid")
-        e = F.abs(F.col("est2") - V.l2sq(F.col("qvec"), F.col("embedding"))) / (2 * F.col("norm_oc") * F.col("norm_qc"))
-        row = c.agg((F.max(e) if p >= 1 else F.percentile_approx(e, F.lit(float(p)), F.lit(100_000))).alias("e")).first()
-        return row["e"] or 0.0
+        scan = self._scan(queries, nprobe)
+        if p >= 1:
+            return P.run(*scan, P.Largest, P.read_codes).agg(F.max("most")).first()[0] or 0.0
+        of = lambda b: [np.abs(b.est2 - b.true)[b.norms > 0] / (2 * b.norms[b.norms > 0])]
+        (e,) = P.ordered(*scan, of, [lambda n: [max(0, int(np.ceil(p * n)) - 1)] if n else []], P.read_codes)
+        return next(iter(e.at.values()), 0.0)
+
+    def _frontiers(self, queries: DataFrame, k: int, nprobe: int, bound: float) -> tuple[DataFrame, DataFrame, P.Frame]:
+        """:meth:`_scan` with each query's frontier and the number of candidates that it rests on, k at most."""
+        asks, rows, frame = self._scan(queries, nprobe)
+        upper = P.smallest(asks, rows, frame, k, 1, lambda b: [(b.est2 + 2 * bound * b.norms, 0.0, None)], P.read_codes)
+        told = upper.groupBy("qid").agg(F.max("value").alias("frontier"), F.count("*").alias("met"))
+        return asks.join(told, "qid"), rows, frame
 
     def survivors(self, queries: DataFrame, k: int, nprobe: int, bound: float, budget: int = 0) -> DataFrame:
         """Candidates whose lower bound is not beyond the query's frontier, and of those the ``budget`` best by estimate (0: all). Queries with fewer than k keep all."""
-        margin = 2 * bound * F.col("norm_oc") * F.col("norm_qc")
-        c = self.candidates(queries, nprobe).withColumn("upper", F.col("est2") + margin).withColumn("lower", F.col("est2") - margin)
-        frontier = S.top_per(c.select("qid", "upper"), "qid", k, "upper").groupBy("qid").agg(F.max("upper").alias("frontier"), F.count("*").alias("n"))
-        kept = c.join(frontier, "qid").filter((F.col("n") < k) | (F.col("lower") <= F.col("frontier") + 1e-9)).withColumnRenamed("est2", "est")
-        return S.budget(kept.select("qid", "row_id", "cluster_rank", "est"), budget)
+        scan = self._frontiers(queries, k, nprobe, bound)
+        if not budget:
+            return P.emit(*scan, {"cluster_rank": "int", "est": "double"}, lambda b: {"cluster_rank": b.slot + 1, "est": b.est2}, lambda b: _survives(b, k, bound), P.read_codes)
+        best = P.smallest(*scan, budget, 1, lambda b: [(np.where(_survives(b, k, bound), b.est2, np.nan), b.slack2, b.est2_of)], P.read_codes)
+        return best.select("qid", "row_id", (F.col("slot") + 1).alias("cluster_rank"), F.col("value").alias("est"))
 
     def search(self, queries: DataFrame, k: int, nprobe: int, bound: float, budget: int = 0, payload: list[str] | None = None) -> DataFrame:
         """(qid, rank, row_id, dist, payload...). ``bound`` is that of :meth:`error_bound`; with the largest error and no budget, the rows are those of an exact search of the probed clusters."""
-        kept = self.survivors(queries, k, nprobe, bound, budget).select("qid", "row_id")
-        found = S.rerank(kept.join(queries, "qid"), self.records, k)
+        if budget:
+            found = S.rerank(self.survivors(queries, k, nprobe, bound, budget).select("qid", "row_id").join(queries, "qid"), self.records, k)
+        else:
+            scan = self._frontiers(queries, k, nprobe, bound)
+            best = P.smallest(*scan, k, 1, lambda b: [(np.where(_survives(b, k, bound), b.true, np.nan), b.slack, b.true_of)], P.read_codes, by_row=True)
+            found = best.select("qid", "rank", "row_id", F.col("value").alias("dist"))
         extra = [c for c in self.records.columns if c not in ("row_id", "embedding")] if payload is None else payload
         if missing := [c for c in extra if c not in self.records.columns]:
             raise KeyError(f"no such columns: {missing}")
         return S.with_payload(found, self.records.select("row_id", *extra)).select("qid", "rank", "row_id", "dist", *extra) if extra else found
 
 
+def _survives(b: P.Block, k: int, bound: float) -> np.ndarray:
+    frontier, met = (b.asks.told[c].to_numpy()[b.at] for c in ("frontier", "met"))
+    return (b.est2 - 2 * bound * b.norms <= frontier + 1e-9) | (met < k)
+
+
 def frontier_changes(curve: DataFrame, value: str = "kth", tolerance: float = 0.01, least: int = 2) -> DataFrame:
     """Change of each query's value against the probe before, and how many probes in a row it has moved by at most ``tolerance`` (relative), from probe ``least`` on."""
     w = W.Window.partitionBy("qid").orderBy("probed")

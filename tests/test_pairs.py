@@ -8,6 +8,7 @@ from skerry import catalog
 from skerry.operators import analysis as A
 from skerry.operators import pairs as P
 from skerry.operators import search as S
+from skerry.plans import index as I
 
 REPORTS = ["calibration", "budget_early", "geometry"]
 
@@ -76,3 +77,16 @@ def test_geometry_has_all_metrics_and_whole_places(spark, sf):
     got = {r["metric"]: tuple(r[c] for c in ("mean", "p50", "p95", "p99", "max")) for r in A.distribution(long).collect()}
     assert got == {"a": (4.0, 2.0, 3.0, 3.0, 10.0), "b": (7.0,) * 5}
     assert {r["metric"] for r in catalog.geometry(spark, sf).collect()} == {"cluster_size", "cluster_rmax", "norm_oc_all", "norm_qc_topn", "margin_factor_topn"}
+
+
+def test_an_index_is_searched_without_a_table_of_candidates(spark, sf, tmp_path, monkeypatch):
+    base, queries = catalog._base(spark, sf), catalog._queries(spark, sf)
+    index = I.build(base.drop("cluster_id"), catalog._centroids(base), str(tmp_path / "i"))
+    every = index.candidates(queries, 3).join(index.records, "row_id").join(queries, "qid")
+    error = F.abs(F.col("est2") - catalog.V.l2sq(F.col("qvec"), F.col("embedding"))) / (2 * F.col("norm_oc") * F.col("norm_qc"))
+    want = sorted(r["e"] for r in every.select(error.alias("e")).collect())
+    monkeypatch.setattr(I.Index, "candidates", None)
+    assert index.error_bound(queries, 3) == pytest.approx(want[-1]) and index.error_bound(queries, 3, 0.5) == pytest.approx(want[(len(want) + 1) // 2 - 1])
+    found = index.search(queries, 10, 3, want[-1]).select("qid", "rank", "row_id")
+    right = S.ivf_search(queries, index.centroids, S.members(base, index.centroids), 10, 3).select("qid", "rank", "row_id")
+    assert found.exceptAll(right).isEmpty() and right.exceptAll(found).isEmpty()
