@@ -10,7 +10,7 @@ from skerry.operators import pairs as P
 from skerry.operators import search as S
 from skerry.plans import index as I
 
-REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics"]
+REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics", "stage2_error"]
 
 
 @pytest.mark.parametrize("name", REPORTS)
