@@ -10,7 +10,7 @@ from skerry.operators import pairs as P
 from skerry.operators import search as S
 from skerry.plans import index as I
 
-REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics", "stage2_error", "budget_search", "cluster_classes", "diagnostic_summary", "confusion", "frontier", "grid_replay", "margin_quartiles", "margin_replay", "search_statistics", "space_comparison", "stage1_error", "stage1_classes"]
+REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics", "stage2_error", "budget_search", "cluster_classes", "diagnostic_summary", "confusion", "frontier", "grid_replay", "margin_quartiles", "margin_replay", "search_statistics", "space_comparison", "stage1_error", "stage1_classes", "stage2_classes"]
 
 
 @pytest.mark.parametrize("name", REPORTS)
