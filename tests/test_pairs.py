@@ -9,6 +9,7 @@ from skerry.operators import analysis as A
 from skerry.operators import pairs as P
 from skerry.operators import search as S
 from skerry.plans import index as I
+from skerry.plans.inspect import plan_nodes
 
 REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics", "stage2_error", "budget_search", "cluster_classes", "diagnostic_summary", "confusion", "frontier", "grid_replay", "margin_quartiles", "margin_replay", "search_statistics", "space_comparison", "stage1_error", "stage1_classes", "stage2_classes"]
 
@@ -90,3 +91,12 @@ def test_an_index_is_searched_without_a_table_of_candidates(spark, sf, tmp_path,
     found = index.search(queries, 10, 3, want[-1]).select("qid", "rank", "row_id")
     right = S.ivf_search(queries, index.centroids, S.members(base, index.centroids), 10, 3).select("qid", "rank", "row_id")
     assert found.exceptAll(right).isEmpty() and right.exceptAll(found).isEmpty()
+
+
+CURVES = ["convergence"]
+
+
+@pytest.mark.parametrize("name", CURVES)
+def test_curves_join_no_rows_to_queries(spark, sf, name):
+    nodes = plan_nodes(catalog.QUERIES[name](spark, sf))
+    assert not any("Join" in n for n in nodes) and nodes["MapInPandas"] == 1
