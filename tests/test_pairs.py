@@ -100,3 +100,9 @@ CURVES = ["convergence"]
 def test_curves_join_no_rows_to_queries(spark, sf, name):
     nodes = plan_nodes(catalog.QUERIES[name](spark, sf))
     assert not any("Join" in n for n in nodes) and nodes["MapInPandas"] == 1
+
+
+def test_a_curve_keeps_the_nearest_of_each_step(spark, sf):
+    base = catalog._base(spark, sf)
+    curve = S.search_curve(catalog._queries(spark, sf), catalog._centroids(base), base, 3, (1, 2, 4, 8))
+    assert curve.groupBy("qid", "step").count().agg(F.max("count")).first()[0] == 3 and {r["step"] for r in curve.collect()} == {0, 1, 2, 3}
