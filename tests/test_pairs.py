@@ -106,3 +106,9 @@ def test_a_curve_keeps_the_nearest_of_each_step(spark, sf):
     base = catalog._base(spark, sf)
     curve = S.search_curve(catalog._queries(spark, sf), catalog._centroids(base), base, 3, (1, 2, 4, 8))
     assert curve.groupBy("qid", "step").count().agg(F.max("count")).first()[0] == 3 and {r["step"] for r in curve.collect()} == {0, 1, 2, 3}
+
+
+def test_members_come_with_their_vectors_without_a_join(spark, sf):
+    base = catalog._base(spark, sf)
+    members = catalog._members(base, catalog._centroids(base))
+    assert not any("Join" in n for n in plan_nodes(members)) and members.count() == base.count()
