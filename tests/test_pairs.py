@@ -11,7 +11,7 @@ from skerry.operators import search as S
 from skerry.plans import index as I
 from skerry.plans.inspect import plan_nodes
 
-REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics", "stage2_error", "budget_search", "cluster_classes", "diagnostic_summary", "confusion", "frontier", "grid_replay", "margin_quartiles", "margin_replay", "search_statistics", "space_comparison", "stage1_error", "stage1_classes", "stage2_classes", "candidate_table", "stage_recall"]
+REPORTS = ["calibration", "budget_early", "geometry", "probe_statistics", "stage2_error", "budget_search", "cluster_classes", "diagnostic_summary", "confusion", "frontier", "grid_replay", "margin_quartiles", "margin_replay", "search_statistics", "space_comparison", "stage1_error", "stage1_classes", "stage2_classes", "candidate_table", "stage_recall", "threshold_report"]
 
 
 @pytest.mark.parametrize("name", REPORTS)
