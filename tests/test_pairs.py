@@ -93,7 +93,7 @@ def test_an_index_is_searched_without_a_table_of_candidates(spark, sf, tmp_path,
     assert found.exceptAll(right).isEmpty() and right.exceptAll(found).isEmpty()
 
 
-CURVES = ["convergence", "frontier_stability"]
+CURVES = ["convergence", "frontier_stability", "convergence_series"]
 
 
 @pytest.mark.parametrize("name", CURVES)
